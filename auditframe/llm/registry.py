@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from auditframe.llm import bpe, warc
+from auditframe.llm import bpe, media, packing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_bpe": bpe.op2_bpe,
+    "op3_packing": packing.op3_packing,
+    "op8_media": media.op8_media,
 }
 ORACLES = {"op1_warc": warc.OP1_SQL}
