@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from auditframe.llm import bpe, media, packing, toxicity, warc
+from auditframe.llm import bpe, media, neardup, packing, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_bpe": bpe.op2_bpe,
     "op3_packing": packing.op3_packing,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
     "op8_media": media.op8_media,
     "op10_toxicity": toxicity.op10_toxicity,
 }
