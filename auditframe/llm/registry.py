@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from auditframe.llm import bpe, linededup, media, neardup, packing, toxicity, warc
+from auditframe.llm import bpe, fingerprints, linededup, media, neardup, packing, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_bpe": bpe.op2_bpe,
     "op3_packing": packing.op3_packing,
     "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op8_media": media.op8_media,
     "op10_toxicity": toxicity.op10_toxicity,
