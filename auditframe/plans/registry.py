@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from auditframe.plans import evaluation, evaluation_sql
+
+QUERIES = evaluation.QUERIES
+ORACLES = evaluation_sql.ORACLES
 FLAGSHIP = "boot_specificity_ci"
