@@ -115,11 +115,11 @@ def straddling(labels: DataFrame, partitions: DataFrame) -> DataFrame:
 def chi_square(rows: DataFrame, row: str, positive: Column) -> DataFrame:
     """One row (n, df, chi2) of a k x 2 table; Yates' correction applies to 2 x 2 only."""
     t = rows.groupBy(row).agg(F.sum(positive.cast("long")).alias("p"), F.count("*").alias("m"))
-    total = t.agg(F.sum("p").alias("P"), F.sum("m").alias("N"), F.count("*").alias("k"))
-    cells = t.join(F.broadcast(total)).select("k", "N", F.explode(F.array(F.struct(F.col("p").alias("o"), div(F.col("m") * F.col("P"), F.col("N")).alias("e")), F.struct((F.col("m") - F.col("p")).alias("o"), div(F.col("m") * (F.col("N") - F.col("P")), F.col("N")).alias("e")))).alias("c"))
+    total = t.agg(F.sum("p").alias("hits"), F.sum("m").alias("total"), F.count("*").alias("k"))
+    cells = t.join(F.broadcast(total)).select("k", "total", F.explode(F.array(F.struct(F.col("p").alias("o"), div(F.col("m") * F.col("hits"), F.col("total")).alias("e")), F.struct((F.col("m") - F.col("p")).alias("o"), div(F.col("m") * (F.col("total") - F.col("hits")), F.col("total")).alias("e")))).alias("c"))
     gap = F.abs(F.col("c.o") - F.col("c.e"))
     gap = F.when(F.col("k") == 2, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    return cells.agg(F.max("N").alias("n"), (F.max("k") - 1).alias("df"), F.sum(div(gap * gap, F.col("c.e"))).alias("chi2"))
+    return cells.agg(F.max("total").alias("n"), (F.max("k") - 1).alias("df"), F.sum(div(gap * gap, F.col("c.e"))).alias("chi2"))
 
 
 def mann_whitney(rows: DataFrame, value: str, first: Column) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from auditframe.plans import evaluation, evaluation_sql
+from auditframe.plans import audit, audit_sql, evaluation, evaluation_sql
 
-QUERIES = evaluation.QUERIES
-ORACLES = evaluation_sql.ORACLES
+QUERIES = evaluation.QUERIES | audit.QUERIES
+ORACLES = evaluation_sql.ORACLES | audit_sql.ORACLES
 FLAGSHIP = "boot_specificity_ci"
