@@ -12,11 +12,11 @@ from auditframe.functions.numeric import div
 
 def auc(rows: DataFrame, score: str, positive: Column, keys: list[str]) -> DataFrame:
     """(keys, n_pos, n_neg, auc): Mann-Whitney with ties counted half, from counts per distinct score."""
-    counts = rows.groupBy(*keys, score).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("p") * (2 * F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n"))
-    rows = counts.select(*keys, "p", "n", wins.alias("w")).groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum("w").alias("w"))
-    return rows.select(*keys, "n_pos", "n_neg", div(F.col("w"), 2 * F.col("n_pos") * F.col("n_neg")).alias("auc"))
+    counts = rows.groupBy(*keys, F.col(score).alias("_score")).agg(F.sum(positive.cast("long")).alias("_pos"), F.sum((~positive).cast("long")).alias("_neg"))
+    below = Window.partitionBy(*keys).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    wins = F.col("_pos") * (2 * F.coalesce(F.sum("_neg").over(below), F.lit(0)) + F.col("_neg"))
+    rows = counts.select(*keys, "_pos", "_neg", wins.alias("_wins")).groupBy(*keys).agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"), F.sum("_wins").alias("_wins"))
+    return rows.select(*keys, "n_pos", "n_neg", div(F.col("_wins"), 2 * F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
 def auc_by_level(units: DataFrame, levels: list[int]) -> DataFrame:
