@@ -80,11 +80,12 @@ def labelled_shingles(words: list[list[str]], hashes: WordHashes, size: int = SH
     order = np.argsort(salted, kind="stable")
     ranked = salted[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    if not new.all():
+    # The first occurrence keeps its hash, whatever else is in the slice.
+    again = np.flatnonzero(~new)
+    if len(again):
         run = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        occurrence = np.empty(len(new), np.uint64)
-        occurrence[order] = (np.arange(len(new)) - run).astype(np.uint64)
-        shingles = _mixed(shingles + occurrence * np.uint64(0xA24BAED4963EE407))
+        at = order[again]
+        shingles[at] = _mixed(shingles[at] + (again - run[again]).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     return shingles, begins
 
 
