@@ -57,7 +57,9 @@ class Chunks(dict):
             self.old = dict(self)
             self.clear()
         missing = []
-        for c in set(chunks).difference(self):
+        for c in set(chunks):
+            if c in self:
+                continue
             if (kept := self.old.get(c)) is not None:
                 self[c] = kept
             else:
