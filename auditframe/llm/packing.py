@@ -15,7 +15,8 @@ pads one window at most, and no row is moved between partitions: no shuffle, no
 skew. Memory is the ids of the open windows, ``window`` of them at most per level in use.
 
 Tokenisation drops white space and treats every space- or line-separated chunk alike, so
-each distinct chunk is tokenised once and kept, as bytes, in a bounded cache.
+each distinct chunk of a slice is tokenised once, together with the other new ones, and
+kept, as bytes, in a bounded cache.
 
 Defined results: a null text is the empty text, a lone end id; documents of any length are
 cut; repeated rows (and null ids) are packed as often as they occur; other columns are ignored.
@@ -34,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from auditframe.llm.common import table
+from auditframe.llm.common import slices, table
 
 VOCABULARY, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Distinct chunks in each of the two generations of the cache; pieces in an output batch.
-CACHE_CHUNKS, BATCH_IDS = 200_000, 1_000_000
+CACHE_CHUNKS, BATCH_IDS = 250_000, 1_000_000
+#: Characters whose chunks are looked up at once; new chunks tokenised together, and what stands between them.
+SLICE_CHARS, TOGETHER, MARK = 1_000_000, 2_000, "~"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -49,23 +52,38 @@ class Chunks(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.size, self.old = size, {}
 
-    def learn(self, chunks: list[str]) -> None:
-        """Tokenise what is missing, all at once."""
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, chunks: set[str]) -> None:
+        """Have the ids of all ``chunks``. New ones are tokenised together, with a mark between them that none of them has."""
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         missing = []
-        for c in set(chunks):
-            if c in self:
-                continue
-            if (kept := self.old.get(c)) is not None:
-                self[c] = kept
-            else:
-                missing.append(c)
-        for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+        for c in chunks:
+            if c not in self:
+                kept = self.old.get(c)
+                if kept is None:
+                    missing.append(c)
+                else:
+                    self[c] = kept
+        plain = [c for c in missing if MARK not in c]
+        for c in missing:
+            if MARK in c:
+                self[c] = self._ids(c).tobytes()
+        for k in range(0, len(plain), TOGETHER):
+            group = plain[k : k + TOGETHER]
+            ids = self._ids(f" {MARK} ".join(group))
+            cut = np.flatnonzero(ids == self.mark)
+            if len(cut) != len(group) - 1:
+                raise ValueError("the tokenizer does not keep the mark apart")
+            data = ids.tobytes()
+            for c, x, y in zip(group, [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(data)]):
+                self[c] = data[x:y]
 
 
 @cache
@@ -73,14 +91,13 @@ def chunks(path: str) -> Chunks:
     return Chunks(path)
 
 
-def token_bytes(text: str, known: Chunks) -> bytes:
-    """The ids of a text, little-endian unsigned 32-bit."""
-    words = text.replace("\n", " ").split(" ")
-    try:
-        return b"".join([known[w] for w in words])
-    except KeyError:
-        known.learn(words)
-        return b"".join([known[w] for w in words])
+def token_bytes(texts: list[str], known: Chunks) -> Iterator[bytes]:
+    """The ids of each text, little-endian unsigned 32-bit."""
+    for a, b in slices(texts, SLICE_CHARS):
+        words = [t.replace("\n", " ").split(" ") for t in texts[a:b]]
+        known.learn({w for part in words for w in part})
+        for part in words:
+            yield b"".join([known[w] for w in part])
 
 
 class SumOfSquares:
@@ -158,8 +175,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = token_bytes(text.as_py() or "", known) + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), token_bytes(texts, known)):
+                data = ids + end
                 total, start = len(data) // 4, 0
                 while total - start >= window:
                     close([(doc, start, data[4 * start : 4 * (start + window)], total)])
