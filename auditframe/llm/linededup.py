@@ -24,6 +24,7 @@ their names, pass through the pipeline stage.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,30 +39,29 @@ from auditframe.llm.common import shared_dir, stored, table
 MIN_DOCS, MIN_TOKENS, LEADING, ALIKE = 4, 3, 3, 0.85
 #: Leaves with more distinct lines are clustered in salted parts of about this size first.
 LEAF_PART = 2000
-BROADCAST_KEYS, CACHE_WORDS = 300_000, 300_000
+BROADCAST_KEYS = 300_000
 LAST_ID = 2**63 - 1
 VARIABLE = bytes(4)
 
 
-class Tokens(dict):
-    """Token to the four bytes that stand for it; variable tokens are zero."""
+#: What stands for a variable token, and how one is found.
+FIELD, DIGIT, FIELDS = "\0", re.compile(r"\d"), re.compile(r"(?<!\S)[^\s\d]*\d\S*")
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        variable = any(c.isdigit() for c in word)
-        value = VARIABLE if variable else (xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) | 1).to_bytes(4, "little")
-        self[word] = value
-        return value
 
-
-def parse(line: str, tokens: Tokens) -> tuple[int, int, bytes] | None:
-    """(leaf, line hash, token hashes) of a line, None if it is too short."""
+def parse(line: str) -> tuple[int, int, list[str]] | None:
+    """(leaf, line hash, tokens) of a line, None if it is too short. Hashes are of the tokens, variable ones masked."""
+    if DIGIT.search(line):
+        line = FIELDS.sub(FIELD, line)
     words = line.split()
     if len(words) < MIN_TOKENS:
         return None
-    data = b"".join([tokens[w] for w in words])
-    return _signed(xxhash.xxh64_intdigest(data[: 4 * LEADING], seed=len(words))), _signed(xxhash.xxh64_intdigest(data)), data
+    leaf = xxhash.xxh64_intdigest(" ".join(words[:LEADING]).encode("utf-8", "surrogatepass"), seed=len(words))
+    return _signed(leaf), _signed(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))), words
+
+
+def token_bytes(words: list[str]) -> bytes:
+    """Four bytes for each token; variable tokens are zero."""
+    return b"".join([VARIABLE if w == FIELD else (xxhash.xxh32_intdigest(w.encode("utf-8", "surrogatepass")) | 1).to_bytes(4, "little") for w in words])
 
 
 def _signed(x: int) -> int:
@@ -73,13 +73,12 @@ def _text_key(text: str) -> int:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens = Tokens()
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             text = text.as_py() or ""
             key = _text_key(text)
-            parsed = [parse(line, tokens) for line in text.split("\n")]
+            parsed = [parse(line) for line in text.split("\n")]
             rows.extend((*x, key, doc) for x in {p[:2] for p in parsed if p})
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["leaf", "line", "text_key", "doc_id"])
@@ -87,13 +86,12 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _token_rows(wanted: Callable[[int], bool]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
         for batch in batches:
             rows = {}
             for text in batch.column("text"):
                 for line in (text.as_py() or "").split("\n"):
-                    if (p := parse(line, tokens)) and p[1] not in rows and wanted(p[0]):
-                        rows[p[1]] = (p[0], p[2])
+                    if (p := parse(line)) and p[1] not in rows and wanted(p[0]):
+                        rows[p[1]] = (p[0], token_bytes(p[2]))
             if rows:
                 leaf, data = zip(*rows.values())
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(list(rows), pa.int64()), pa.array(data, pa.binary())], ["leaf", "line", "tokens"])
@@ -178,11 +176,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_keys: int = B
     return stored(names.join(counts, ["leaf", "cluster"]).select("line", "keeper"), f"{path}/recurring")
 
 
-def _clean(text: str, tokens: Tokens, keepers: dict[int, int]) -> tuple[str, int, int]:
+def _clean(text: str, keepers: dict[int, int]) -> tuple[str, int, int]:
     """(text without dropped lines, lines, dropped lines)."""
     lines, key, kept = text.split("\n"), None, []
     for line in lines:
-        p = parse(line, tokens)
+        p = parse(line)
         keeper = keepers.get(p[1]) if p else None
         if keeper is not None:
             key = _text_key(text) if key is None else key
@@ -209,13 +207,12 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         rows = rows.join(keys.join(mine, "text_key").select(F.col("address").alias("__address"), "__keepers"), "__address", "left").select(*docs.columns, "__keepers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
         for batch in batches:
             texts, read, dropped = [], [], []
             own = batch.column(width).to_pylist() if batch.num_columns > width else None
             for i, text in enumerate(batch.column(at)):
                 text = text.as_py()
-                new = (None, 0, 0) if text is None else _clean(text, tokens, known.value if own is None else dict(own[i] or ()))
+                new = (None, 0, 0) if text is None else _clean(text, known.value if own is None else dict(own[i] or ()))
                 for to, value in zip((texts, read, dropped), new):
                     to.append(value)
             columns = list(batch.columns)[:width]
