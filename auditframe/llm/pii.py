@@ -6,7 +6,7 @@ parts between and of the matches themselves give code point offsets. The pattern
 so that a match needs time linear in the text and no recursion.
 
 *Method.* Tokens that look like identifiers (a digit and six characters, or ``key=value``) are
-instances; the two words before an instance, or its key, are its lexical pattern. Seeds are
+instances; the word before an instance, or its key, is its lexical pattern. Seeds are
 instances that overlap a checked base entity, or are long mixes of letters and digits.
 Patterns and instances form a bipartite graph that Spark scores in turns: a pattern's score is
 the sum of its instances' scores over all places where its words occur in the corpus (so
@@ -17,8 +17,7 @@ score of its best pattern. After ``ROUNDS`` rounds, patterns of at least ``CONFI
 
 Data flow: one scan writes a lean table of base spans and instances (no texts); edges are
 aggregated before each round; hot patterns cost one row per map task in aggregations, and their
-joins are skew-splittable. A second scan counts contexts; the candidate patterns are
-broadcast if counted few (``BROADCAST_PATTERNS``), else joined.
+joins are skew-splittable. A second scan counts words, aggregated before they are joined.
 
 Defined results: a null text is the empty text; spans that fail their check are dropped
 without retry; equal texts have equal spans; ids may be null or repeated; other columns are
@@ -49,7 +48,7 @@ INSTANCE = r"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+|[A-Za-z_-]{2,24}[=:][^\s]{4,}+)"
 KEY = r"^[\"'(\[<]*([A-Za-z_-]{2,24}[=:])[\"'(\[<]*[^\s\"'=:].{2,}"
 OPENING, CLOSING = r"^[\"'(\[<{]+", r"[\"')\]>},.;:!?*#%&$]+$"
 MIXED = r"^(?=(?:[^0-9]*[0-9]){3})(?=(?:[^A-Za-z]*[A-Za-z]){3})[A-Za-z0-9+/_-]{12,128}$"
-ROUNDS, CONFIDENT, SUPPORT, SEEDS, BROADCAST_PATTERNS, BLOCK, CONTEXT = 3, 0.6, 3, 2, 200_000, 128, 80
+ROUNDS, CONFIDENT, SUPPORT, SEEDS, BLOCK, CONTEXT = 3, 0.6, 3, 2, 128, 80
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -127,8 +126,7 @@ def instances(text: Column, base: Column) -> Column:
         token = x["match"]
         key = F.regexp_extract(token, KEY, 1)
         left = F.split(F.trim(F.substring(F.concat(before, x["gap"]), -CONTEXT, CONTEXT)), r"\s+")
-        words = F.array_join(F.slice(left, F.greatest(F.size(left) - 1, F.lit(1)), F.lit(2)), " ")
-        pattern = F.when(key != "", F.lower(key)).otherwise(F.lower(words))
+        pattern = F.when(key != "", F.lower(key)).otherwise(F.lower(F.get(left, F.size(left) - 1)))
         lead = F.char_length(F.regexp_extract(token, OPENING, 0))
         skip = F.when(key != "", F.instr(token, key) - 1 + F.char_length(key)).otherwise(lead)
 
@@ -156,7 +154,7 @@ def instances(text: Column, base: Column) -> Column:
     return _let(_places(text, INSTANCE), all_of)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_patterns: int = BROADCAST_PATTERNS) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, base, extra) of each row: sorted spans of the base kinds, and those that the method adds."""
     path = shared_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -164,14 +162,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadc
     rows = rows.select("doc_id", node_of(F.col("text")).alias("node"), "text", base_spans(F.col("text")).alias("base"))
     found = stored(rows.select("doc_id", "node", "base", instances(F.col("text"), F.col("base")).alias("instances")), f"{path}/found")
     places = found.select("node", F.explode("instances").alias("i")).select("node", "i.*")
-    edges = places.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+    edges = places.filter("pattern <> ''").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     able = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum("n").alias("n")).filter((F.col("values") >= SUPPORT) & (F.col("seeds") >= SEEDS))
-    able = stored(able.withColumn("address", F.xxhash64(F.split("pattern", " "))), f"{path}/patterns")
+    able = stored(able.withColumn("address", F.xxhash64("pattern")), f"{path}/patterns")
     edges = stored(edges.join(able.select("pattern"), "pattern", "left_semi"), f"{path}/edges")
-    side = F.broadcast(able.select("address")) if able.count() <= broadcast_patterns else able.select("address")
-    words = F.split(F.trim(F.lower(F.col("text"))), r"\s+")
-    contexts = _let(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(2)))))
-    totals = docs.select(text.alias("text")).select(F.explode(contexts).alias("address")).join(side, "address", "left_semi").groupBy("address").agg(F.count("*").alias("total"))
+    # Words are counted before they meet the patterns, so the join makes a row per pattern.
+    words = F.transform(F.split(F.trim(F.lower(F.col("text"))), r"\s+"), lambda w: F.xxhash64(w))
+    totals = docs.select(text.alias("text")).select(F.explode(words).alias("address")).groupBy("address").agg(F.count("*").alias("total"))
     able = stored(able.join(totals, "address", "left").select("pattern", F.greatest("n", F.coalesce("total", F.lit(0))).cast("double").alias("total")), f"{path}/totals")
     scores = edges.select("value", F.col("seed").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
     for k in range(ROUNDS):
