@@ -29,6 +29,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -124,11 +125,22 @@ class EliasFano:
         place = (word << 6) + _select(self.high[word], i - self.ones[word])
         return ((place - i).astype(U64) << U64(self.bits)) | self.lower(i)
 
-    def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Values whose upper part is at most k."""
+    def _bucket(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) of the values whose upper part is k: the ones between two zeros."""
         zeros = (np.arange(len(self.ones), dtype=np.int64) << 6) - self.ones
         word = np.minimum(np.searchsorted(zeros, k, "right") - 1, len(self.high) - 1)
-        return (word << 6) + _select(~self.high[word], k - zeros[word]) - k
+        bits = ~self.high[word]
+        place = _select(bits, k - zeros[word])
+        end = (word << 6) + place - k
+        bits &= (U64(1) << place.astype(U64)) - U64(1)
+        for shift in (1, 2, 4, 8, 16, 32):
+            bits |= bits >> U64(shift)
+        begin = end - place + np.bitwise_count(bits).astype(np.int64)  # behind the zero before, if it is in this word
+        far = np.flatnonzero((bits == 0) & (k > 0))
+        begin[(bits == 0) & (k == 0)] = 0
+        if len(far):
+            begin[far] = self._bucket(k[far] - 1)[1]
+        return begin, end
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, -1 where it is absent."""
@@ -139,9 +151,9 @@ class EliasFano:
         most = len(self.high) * 64 - self.n - 1  # zeros there are
         inside = np.flatnonzero(upper < most)
         upper, goal = upper[inside], values[inside] & U64((1 << self.bits) - 1)
-        end = np.minimum(self._zero(upper), self.n)
-        begin = np.where(upper > 0, self._zero(np.maximum(upper - 1, 0)), 0)
-        a, b = begin.copy(), end.copy()
+        a, end = self._bucket(upper)
+        end = np.minimum(end, self.n)
+        b = end.copy()
         live = np.flatnonzero(a < b)
         while len(live):
             middle = (a[live] + b[live]) >> 1
@@ -314,28 +326,31 @@ def trie_piece(count: np.ndarray, before: np.ndarray, second: np.ndarray, words:
     return np.minimum((at * pieces).astype(np.int64), pieces - 1)
 
 
-def _sequences(flat: np.ndarray, lengths: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids with an end before each text too; where texts begin; distinct ids' (count, before) as a table by inverse."""
-    keys, inverse = np.unique(flat, return_inverse=True)
-    ids = words.ids(keys)[inverse]
-    ends = np.cumsum(lengths)
-    end = words.ids(np.array([END_HASH], U64))[0]
-    sequence = np.insert(ids, ends - lengths, end)
-    return sequence, ends - lengths + np.arange(len(lengths)), np.array([end])
+@dataclass
+class Sequence:
+    """Texts of a slice, each with an end before and behind it: places in a table of the slice's distinct words."""
 
+    at: np.ndarray
+    begins: np.ndarray
+    ids: np.ndarray
+    counts: np.ndarray
+    before: np.ndarray
 
-def _pair_counts(sequence: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    distinct, inverse = np.unique(sequence, return_inverse=True)
-    count, before = words.counts(distinct)
-    return count[inverse], before[inverse]
+    @staticmethod
+    def of(flat: np.ndarray, lengths: np.ndarray, words: Words) -> Sequence:
+        keys, inverse = np.unique(flat, return_inverse=True)
+        ids = words.ids(keys)
+        ends = np.cumsum(lengths)
+        at = np.insert(inverse, ends - lengths, np.searchsorted(keys, U64(END_HASH)))
+        return Sequence(at, ends - lengths + np.arange(len(lengths)), ids, *words.counts(ids))
 
 
 def _count_trigrams(words: Words, pieces: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for flat, lengths, _ in _token_slices(batches, hashes):
-            s, begins, _ = _sequences(flat, lengths, words)
-            count, before = _pair_counts(s, words)
+            slice_ = Sequence.of(flat, lengths, words)
+            s, begins, count, before = slice_.ids[slice_.at], slice_.begins, slice_.counts[slice_.at], slice_.before[slice_.at]
             second = np.append(s[1:], 0)
             third = np.append(s[2:], [words.types, words.types])
             last = np.append(begins[1:], len(s)) - 1  # each text's final end begins nothing
@@ -417,10 +432,10 @@ class Trie:
         head, arrays = mapped(f"{self.path}/trie-{i}")
         return *(EliasFano(head[k]["n"], head[k]["bits"], *arrays[3 * j : 3 * j + 3]) for j, k in enumerate(("pairs", "triples", "contexts"))), *arrays[9:]
 
-    def probabilities(self, sequence: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def probabilities(self, texts: Sequence) -> tuple[np.ndarray, np.ndarray]:
         """(count, probability) of every token but the end before each text."""
-        words = self.words
-        count, before = _pair_counts(sequence, words)
+        words, begins = self.words, texts.begins
+        sequence, count, before = texts.ids[texts.at], texts.counts[texts.at], texts.before[texts.at]
         floor = (count + 1.0) / (words.tokens + words.types + 1.0)
         width = U64(words.types + 1)
         first, second = sequence[:-1], sequence[1:]
@@ -438,9 +453,7 @@ class Trie:
                 found = pairs.find(keys[at])
                 at, found = at[found >= 0], found[found >= 0]
                 node[at], share[at], back3[at] = found, LEVELS[code2[found]], code_back3[found]
-        contexts, context_inverse = np.unique(first, return_inverse=True)
-        back2 = self._backoff(contexts)[context_inverse]
-        p = back2 * floor[1:]
+        p = self._backoff(texts.ids, texts.counts, texts.before)[texts.at[:-1]] * floor[1:]
         p[usable] += share[inverse]
         # A trigram's context is the pair one place before, if that has successors.
         at_pair = np.full(len(pair), -1, np.int64)
@@ -464,11 +477,10 @@ class Trie:
         real = ~starts[1:]
         return count[1:][real], p[real]
 
-    def _backoff(self, contexts: np.ndarray) -> np.ndarray:
-        """Backoff weight of (sorted, distinct) word ids; 1 without successors."""
+    def _backoff(self, contexts: np.ndarray, count: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Backoff weight of distinct word ids; 1 without successors."""
         out = np.ones(len(contexts))
         words = self.words
-        count, before = words.counts(contexts)
         live = np.flatnonzero(count > 0)
         place = trie_piece(count[live], before[live], np.zeros(len(live)), words, self.pieces)
         for i in np.unique(place):
@@ -504,8 +516,7 @@ def _score(trie: Trie) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hashes = trie.words, Hashes()
         for flat, lengths, ids in _token_slices(batches, hashes):
-            sequence, begins, _ = _sequences(flat, lengths, words)
-            count, p = trie.probabilities(sequence, begins)
+            count, p = trie.probabilities(Sequence.of(flat, lengths, words))
             at = np.cumsum(lengths) - lengths
             base = np.log10((count + 1.0) / (words.tokens + words.types + 1.0))
             columns = [lengths, np.add.reduceat((count > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)]
