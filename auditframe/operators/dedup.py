@@ -32,6 +32,22 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, sig): 64-bit signature of each row's text, from all its distinct words: the signs of their summed hash bits.
+
+    Words are what single spaces separate; a null text is the empty text; equal texts are hashed once.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("key"))
+    words = rows.groupBy("key").agg(F.first("text").alias("text")).select("key", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    words = words.select("key", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 16), 16, -10).cast("long").alias("h"))
+    ones = words.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))).alias(f"o{i}") for i in range(64)])
+    sig = F.lit(0).cast("long")
+    for i in range(64):
+        sig = sig.bitwiseOR(F.shiftleft((2 * F.col(f"o{i}") > F.col("n")).cast("long"), i))
+    return rows.select("id", "key").join(ones.select("key", sig.alias("sig")), "key").select("id", "sig")
+
+
 def near_pairs(signatures: DataFrame, most: int = 6) -> DataFrame:
     """(a, b, distance) of distinct items whose 64-bit signatures differ in ``most`` bits or fewer.
 

@@ -123,12 +123,8 @@ def within_subset_dups(spark, d):
 
 
 def _signatures(spark, d):
-    """64-bit signatures of texts: equal first words give near signatures."""
-    docs = fx.table(spark, d, "documents")
-    words = F.slice(F.split("text", " "), 1, 16)
-    nibble = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 1), 16, 10).cast("long")
-    sig = F.aggregate(F.transform(words, nibble), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 4).bitwiseOR(x))
-    return docs.select(F.col("doc_id").alias("id"), sig.alias("sig"))
+    """64-bit signatures of texts, from all their words."""
+    return dd.simhash(fx.table(spark, d, "documents"), "doc_id", "text")
 
 
 def near_pairs(spark, d):

@@ -324,6 +324,26 @@ def test_near_pairs_is_exact(spark):
         dd.near_pairs(rows, 16)
 
 
+def simhash_brute(text):
+    import hashlib
+
+    hashes = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in set((text or "").split(" "))]
+    sig = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+    return sig - (1 << 64) if sig >> 63 else sig
+
+
+def test_signatures_are_of_all_words(spark, tmp_path):
+    from auditframe.plans import audit
+
+    opening, body, other = (" ".join(f"{k}{i}" for i in range(n)) for k, n in (("o", 16), ("b", 400), ("x", 400)))
+    texts = [f"{opening} {body}", f"another start {body}", f"{opening} {other}", None, "", "é 漢字 a a  a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.sig for r in audit._signatures(spark, str(tmp_path)).collect()}
+    assert got == {i: simhash_brute(t) for i, t in enumerate(texts)}
+    apart = lambda a, b: bin((got[a] ^ got[b]) & (2**64 - 1)).count("1")
+    assert apart(0, 1) < 16 < apart(0, 2)
+
+
 def test_connected(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101)], "a long, b long")
     labels = {r.id: r.label for r in dd.connected(links).collect()}
