@@ -52,7 +52,8 @@ def near_pairs(signatures: DataFrame, most: int = 6) -> DataFrame:
     """(a, b, distance) of distinct items whose 64-bit signatures differ in ``most`` bits or fewer.
 
     Exact: with more bands than bits allowed to differ, one band agrees. Bands are the keys of an
-    equi-join; items with equal signatures are collapsed first, so copies make no pairs of pairs.
+    equi-join; items with equal signatures are collapsed first, so copies make no pairs of pairs:
+    ``members`` says whom each item stands for.
     """
     if not 0 <= most < 16:
         raise ValueError(f"between 0 and 15 bits may differ, not {most}")
@@ -67,10 +68,30 @@ def near_pairs(signatures: DataFrame, most: int = 6) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), "b", hamming(F.col("sig"), F.col("sig_b")).alias("distance")).filter(F.col("distance") <= most)
 
 
-def threshold_grid(pairs: DataFrame, distances: list[int]) -> DataFrame:
-    """(most, n): pairs within each distance."""
-    grid = pairs.sparkSession.createDataFrame([(d,) for d in distances], "most int")
-    counts = pairs.groupBy("distance").agg(F.count("*").alias("n"))
+def members(signatures: DataFrame) -> DataFrame:
+    """(id, representative) of every item: the smallest id with its signature."""
+    least = signatures.groupBy("sig").agg(F.min("id").alias("representative")).withColumnRenamed("sig", "of")
+    return signatures.join(least, F.col("sig").eqNullSafe(F.col("of"))).select("id", "representative")
+
+
+def with_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``pairs`` of representatives and (representative, copy, 0) of every other item: every pair within the bound follows from them."""
+    copies = members.filter("id <> representative").select(F.col("representative").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance"))
+    return pairs.select("a", "b", F.col("distance").cast("int")).unionByName(copies)
+
+
+def pair_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(distance, n): pairs of items, counted from ``pairs`` of representatives and the numbers of their copies."""
+    m = members.groupBy("representative").agg(F.count("*").alias("m"))
+    a, b = m.select(F.col("representative").alias("a"), F.col("m").alias("ma")), m.select(F.col("representative").alias("b"), F.col("m").alias("mb"))
+    apart = pairs.join(a, "a").join(b, "b").select(F.col("distance").cast("int").alias("distance"), (F.col("ma") * F.col("mb")).alias("n"))
+    equal = m.filter("m > 1").select(F.lit(0).alias("distance"), F.expr("m * (m - 1) div 2").alias("n"))
+    return apart.unionByName(equal).groupBy("distance").agg(F.sum("n").alias("n"))
+
+
+def threshold_grid(counts: DataFrame, distances: list[int]) -> DataFrame:
+    """(most, n): pairs within each distance, from ``pair_counts``."""
+    grid = counts.sparkSession.createDataFrame([(d,) for d in distances], "most int")
     return F.broadcast(grid).join(counts, F.col("distance") <= F.col("most"), "left").groupBy("most").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
@@ -111,6 +132,14 @@ def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
     return labels
 
 
+def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, label) of every item with a partner, copies included: the smallest id of its group. Only representatives take part in the rounds."""
+    labels = connected(pairs).select(F.col("id").alias("representative"), "label")
+    m = members.groupBy("representative").agg(F.count("*").alias("m"))
+    found = m.join(labels, "representative", "left").filter("m > 1 OR label IS NOT NULL")
+    return members.join(found, "representative").select("id", F.coalesce("label", "representative").alias("label"))
+
+
 def group_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups"))
 
@@ -122,6 +151,21 @@ def pair_quality(declared: DataFrame, true: DataFrame) -> DataFrame:
     return counts.select("*", div(F.col("both"), F.col("n_declared")).alias("precision"), div(F.col("both"), F.col("n_true")).alias("recall"))
 
 
+def pair_quality_of_groups(pairs: DataFrame, members: DataFrame, truth: DataFrame) -> DataFrame:
+    """As ``pair_quality``: declared are all pairs of items that ``pairs`` of representatives stand for, true all pairs of one ``truth`` group (id, grp).
+
+    Pairs are counted from group sizes and never emitted; a null group is like no other.
+    """
+    pairs_of = lambda c: F.expr(f"{c} * ({c} - 1) div 2")
+    cells = members.join(truth, "id").filter("grp IS NOT NULL").groupBy("representative", "grp").agg(F.count("*").alias("c"))
+    a, b = cells.select(F.col("representative").alias("a"), "grp", F.col("c").alias("ca")), cells.select(F.col("representative").alias("b"), "grp", F.col("c").alias("cb"))
+    met = pairs.select("a", "b").join(a, "a").join(b, ["b", "grp"]).select((F.col("ca") * F.col("cb")).alias("n"))
+    both = met.unionByName(cells.select(pairs_of("c").alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("both"))
+    true = truth.filter("grp IS NOT NULL").groupBy("grp").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(pairs_of("c")), F.lit(0)).alias("n_true"))
+    counts = pair_counts(pairs, members).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_declared")).join(true).join(both)
+    return counts.select("*", div(F.col("both"), F.col("n_declared")).alias("precision"), div(F.col("both"), F.col("n_true")).alias("recall"))
+
+
 def straddling(labels: DataFrame, partitions: DataFrame) -> DataFrame:
     """One row (groups, straddling): recovered groups, and those whose members lie in several partitions."""
     rows = labels.join(partitions, "id").groupBy("label").agg((F.count_distinct("partition") > 1).cast("long").alias("s"))

@@ -127,12 +127,18 @@ def _signatures(spark, d):
     return dd.simhash(fx.table(spark, d, "documents"), "doc_id", "text")
 
 
+def _near(spark, d, most=6):
+    """Pairs of representatives, and the representative of every document."""
+    signatures = _signatures(spark, d)
+    return dd.near_pairs(signatures, most), dd.members(signatures)
+
+
 def near_pairs(spark, d):
-    return dd.near_pairs(_signatures(spark, d), 6)
+    return dd.with_copies(*_near(spark, d))
 
 
 def threshold_grid(spark, d):
-    return dd.threshold_grid(dd.near_pairs(_signatures(spark, d), 10), [0, 2, 4, 6, 8, 10])
+    return dd.threshold_grid(dd.pair_counts(*_near(spark, d, 10)), [0, 2, 4, 6, 8, 10])
 
 
 def nn_cosine(spark, d):
@@ -142,25 +148,24 @@ def nn_cosine(spark, d):
 
 
 def recovered_groups(spark, d):
-    return dd.connected(dd.near_pairs(_signatures(spark, d), 6))
+    return dd.groups(*_near(spark, d))
 
 
 def recovered_group_sizes(spark, d):
-    return dd.group_sizes(dd.connected(dd.near_pairs(_signatures(spark, d), 6)))
+    return dd.group_sizes(dd.groups(*_near(spark, d)))
 
 
 def split_sensitivity(spark, d):
-    labels = dd.connected(dd.near_pairs(_signatures(spark, d), 6))
+    labels = dd.groups(*_near(spark, d))
     docs = fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.col("doc_id").alias("id"))
     parts = sp.naive_image_split(docs, SEED).select("id", "partition")
     return dd.straddling(labels, parts)
 
 
 def pair_quality(spark, d):
-    pairs = dd.near_pairs(_signatures(spark, d), 6).select("a", "b")
-    subset = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
-    same = pairs.join(subset.select(F.col("id").alias("a"), F.col("lang").alias("la")), "a").join(subset.select(F.col("id").alias("b"), F.col("lang").alias("lb")), "b").filter("la = lb").select("a", "b")
-    return _r(dd.pair_quality(pairs, same), "precision", "recall")
+    """Near pairs against all pairs of documents in one language."""
+    truth = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"))
+    return _r(dd.pair_quality_of_groups(*_near(spark, d), truth), "precision", "recall")
 
 
 # --- Tests of hypotheses -----------------------------------------------------------------

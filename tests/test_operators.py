@@ -344,6 +344,30 @@ def test_signatures_are_of_all_words(spark, tmp_path):
     assert apart(0, 1) < 16 < apart(0, 2)
 
 
+def test_copies_count_as_items(spark):
+    from itertools import combinations
+
+    sigs = [5, 5, 5, 7, 7, 1 << 40, -1, -1, 255 << 20]  # copies with and without near neighbours
+    lang = ["en", "en", "de", "en", "de", "de", "en", None, "en"]
+    near = {(a, b): d for a, b in combinations(range(9), 2) if (d := bin((sigs[a] ^ sigs[b]) & (2**64 - 1)).count("1")) <= 6}
+    rows = spark.createDataFrame(list(enumerate(sigs)), "id long, sig long")
+    pairs, members = dd.near_pairs(rows, 6), dd.members(rows)
+    grid = {r.most: r.n for r in dd.threshold_grid(dd.pair_counts(pairs, members), [0, 2, 6]).collect()}
+    assert grid == {most: sum(d <= most for d in near.values()) for most in (0, 2, 6)} and grid[0] == 5
+    labels = {i: i for i in range(9)}
+    for a, b in sorted(near) * 9:
+        labels[a] = labels[b] = min(labels[a], labels[b])
+    want = {i: labels[i] for i in range(9) if any(i in p for p in near)}
+    found = dd.groups(pairs, members)
+    assert {r.id: r.label for r in found.collect()} == want and {6, 7} <= set(want)
+    assert {r.id for p in ("a", "b") for r in dd.with_copies(pairs, members).select(dd.F.col(p).alias("id")).collect()} == set(want)
+    homes = spark.createDataFrame([(i, "test" if i == 7 else "train") for i in range(9)], "id long, partition string")
+    assert dd.straddling(found, homes).first().asDict() == {"groups": 2, "straddling": 1}
+    true = {(a, b) for a, b in combinations(range(9), 2) if lang[a] and lang[a] == lang[b]}
+    q = dd.pair_quality_of_groups(pairs, members, spark.createDataFrame(list(enumerate(lang)), "id long, grp string")).first()
+    assert (q.n_declared, q.n_true, q.both) == (len(near), len(true), len(true & set(near))) and 0 < q.recall < 1
+
+
 def test_connected(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101)], "a long, b long")
     labels = {r.id: r.label for r in dd.connected(links).collect()}
