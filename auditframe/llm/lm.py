@@ -11,7 +11,7 @@ pruned (``PRUNE``).
 *Trie.* A piece is one file in the shared folder, memory-mapped by its readers: levels 2 and 3
 are monotone sequences of (context base + word id) in Elias-Fano form, cumulative word counts
 are monotone pointers in the same form, and smoothed probabilities and backoff weights are
-quantised to 8 bits (rounded down). An n-gram is found by successor search relative to the
+quantised to 8 bits (rounded down), spread over the range that occurs in the piece. An n-gram is found by successor search relative to the
 base of its context: two selects on the upper bits, and bisection of the lower bits between.
 
 *Smoothing.* Interpolated absolute discounting: p(w|c) = max(n - D, 0)/n(c) + backoff(c) p(w|c'),
@@ -46,8 +46,10 @@ PRUNE, DISCOUNT = 2, 0.75
 #: Tokens counted at once in a map task; bytes of text per vocabulary piece, tokens per trie piece.
 SLICE_TOKENS, PIECE_BYTES, PIECE_TOKENS = 1_500_000, 24_000_000, 4_000_000
 CACHE_WORDS = 200_000
-#: Quantisation of log10: steps of 1/40 down to -6.35; code 255 means none.
-STEPS, NONE = 40, 255
+#: Backoff of a context whose successors leave nothing but a rounding error.
+LEAST = 1e-12
+#: Quantisation of log10: codes from 0 (one) to 254 (the least value of the array); code 255 means none.
+NONE = 255
 END = b""
 U64 = np.uint64
 
@@ -371,14 +373,15 @@ def _count_trigrams(words: Words, pieces: int) -> Callable:
     return run
 
 
-def quantised(p: np.ndarray) -> np.ndarray:
-    """8-bit codes of probabilities, rounded down; ``NONE`` for zero."""
-    with np.errstate(divide="ignore"):
-        code = np.ceil(-np.log10(p) * STEPS - 1e-9)
-    return np.where(code < NONE, np.maximum(code, 0), NONE).astype(np.uint8)
+def quantised(p: np.ndarray) -> tuple[np.ndarray, float]:
+    """8-bit codes of positive probabilities, rounded down, and their steps per power of ten: 1/40 or less as long as the least fits, so none reads as zero."""
+    cost = np.maximum(-np.log10(p), 0.0)
+    steps = min(40.0, (NONE - 1) / cost.max()) if len(p) and cost.max() > 0 else 40.0
+    return np.minimum(np.ceil(cost * steps - 1e-9), NONE - 1).astype(np.uint8), steps
 
 
-LEVELS = np.append(10.0 ** (-np.arange(NONE) / STEPS), 0.0)
+def levels(steps: float) -> np.ndarray:
+    return np.append(10.0 ** (-np.arange(NONE) / steps), 0.0)
 
 
 def _merge_trigrams(path: str, words: Words) -> Callable:
@@ -405,12 +408,14 @@ def _merge_trigrams(path: str, words: Words) -> Callable:
         deep = kept[of] & (seen >= PRUNE) & (third < words.types)
         node, share3 = rank[of[deep]], (seen[deep] - DISCOUNT) / total[of[deep]]
         mass3 = np.bincount(node, share3, int(kept.sum()))
-        back3 = np.where(mass3 > 0, quantised(np.maximum(1 - mass3, 1e-6)), NONE).astype(np.uint8)
+        (code2, s2), (code3, s3) = quantised(share[kept]), quantised(share3)
+        (code_back3, sb3), (code_back, sb) = quantised(np.maximum(1 - mass3, LEAST)), quantised(np.maximum(1 - mass, LEAST))
+        code_back3[mass3 == 0] = NONE
         keys3 = node.astype(U64) * width + third[deep].astype(U64)
         (h2, a2), (h3, a3), (hc, ac) = EliasFano.arrays(pairs[kept]), EliasFano.arrays(keys3), EliasFano.arrays(distinct.astype(U64))
-        arrays = a2 + a3 + ac + [quantised(share[kept]), quantised(share3), back3, quantised(np.maximum(1 - mass, 1e-6))]
+        arrays = a2 + a3 + ac + [code2, code3, code_back3, code_back]
         piece = key[0].as_py()
-        write_arrays(f"{path}/trie-{piece}", {"pairs": h2, "triples": h3, "contexts": hc}, arrays)
+        write_arrays(f"{path}/trie-{piece}", {"pairs": h2, "triples": h3, "contexts": hc, "steps": [s2, s3, sb3, sb]}, arrays)
         edge = sorted({0, len(distinct) - 1})
         return pa.table({
             "piece": pa.array([piece] * len(edge), pa.int32()), "context": pa.array(distinct[edge], pa.int64()), "mass": pa.array(mass[edge], pa.float64()),
@@ -430,7 +435,7 @@ class Trie:
 
     def _piece(self, i: int) -> tuple:
         head, arrays = mapped(f"{self.path}/trie-{i}")
-        return *(EliasFano(head[k]["n"], head[k]["bits"], *arrays[3 * j : 3 * j + 3]) for j, k in enumerate(("pairs", "triples", "contexts"))), *arrays[9:]
+        return *(EliasFano(head[k]["n"], head[k]["bits"], *arrays[3 * j : 3 * j + 3]) for j, k in enumerate(("pairs", "triples", "contexts"))), *zip(arrays[9:], map(levels, head["steps"]))
 
     def probabilities(self, texts: Sequence) -> tuple[np.ndarray, np.ndarray]:
         """(count, probability) of every token but the end before each text."""
@@ -445,14 +450,14 @@ class Trie:
         one = usable[one]
         place = trie_piece(count[one], before[one], second[one], words, self.pieces)
         node, share = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
-        back3 = np.full(len(keys), NONE, np.uint8)
+        back3 = np.zeros(len(keys))  # 0: no successors
         for i in np.unique(place):
             if i in self.present:
-                pairs, _, _, code2, _, code_back3, _ = self._piece(i)
+                pairs, _, _, (code2, level2), _, (code_back3, level_back3), _ = self._piece(i)
                 at = np.flatnonzero(place == i)
                 found = pairs.find(keys[at])
                 at, found = at[found >= 0], found[found >= 0]
-                node[at], share[at], back3[at] = found, LEVELS[code2[found]], code_back3[found]
+                node[at], share[at], back3[at] = found, level2[code2[found]], level_back3[code_back3[found]]
         p = self._backoff(texts.ids, texts.counts, texts.before)[texts.at[:-1]] * floor[1:]
         p[usable] += share[inverse]
         # A trigram's context is the pair one place before, if that has successors.
@@ -463,17 +468,17 @@ class Trie:
         starts[begins] = True
         before_pair[starts[:-1]] = -1
         deep = np.flatnonzero((before_pair >= 0) & (second < words.types))
-        deep = deep[back3[before_pair[deep]] != NONE]
+        deep = deep[back3[before_pair[deep]] > 0]
         if len(deep):
             known = before_pair[deep]
-            p[deep] *= LEVELS[back3[known]]
+            p[deep] *= back3[known]
             where = place[known]
             target = node[known].astype(U64) * width + second[deep].astype(U64)
             for i in np.unique(where):
-                _, triples, _, _, code3, _, _ = self._piece(i)
+                _, triples, _, _, (code3, level3), _, _ = self._piece(i)
                 at = np.flatnonzero(where == i)
                 found = triples.find(target[at])
-                p[deep[at[found >= 0]]] += LEVELS[code3[found[found >= 0]]]
+                p[deep[at[found >= 0]]] += level3[code3[found[found >= 0]]]
         real = ~starts[1:]
         return count[1:][real], p[real]
 
@@ -485,10 +490,10 @@ class Trie:
         place = trie_piece(count[live], before[live], np.zeros(len(live)), words, self.pieces)
         for i in np.unique(place):
             if i in self.present:
-                *_, held, _, _, _, code = self._piece(i)
+                *_, held, _, _, _, (code, level) = self._piece(i)
                 at = live[place == i]
                 found = held.find(contexts[at].astype(U64))
-                out[at[found >= 0]] = LEVELS[code[found[found >= 0]]]
+                out[at[found >= 0]] = level[code[found[found >= 0]]]
         if len(self.shared_ids):
             k = np.minimum(np.searchsorted(self.shared_ids, contexts), len(self.shared_ids) - 1)
             same = self.shared_ids[k] == contexts
@@ -509,7 +514,7 @@ def fit(texts: DataFrame, path: str) -> Trie:
     mass: dict[int, float] = {}
     for r in sorted(edges, key=lambda r: (r.context, r.piece)):
         mass[r.context] = mass.get(r.context, 0.0) + r.mass
-    return Trie(path, words, pieces, sorted({r.piece for r in edges}), {c: max(1 - m, 1e-6) for c, m in mass.items()})
+    return Trie(path, words, pieces, sorted({r.piece for r in edges}), {c: max(1 - m, LEAST) for c, m in mass.items()})
 
 
 def _score(trie: Trie) -> Callable:

@@ -364,6 +364,16 @@ def test_isotonic_is_monotone_and_pools():
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all() and y[0] == 0 and np.isclose(np.interp(1.5, x, y), 0.5)
 
 
+def test_rare_ngrams_keep_a_probability():
+    from auditframe.llm import lm
+
+    for least in (0.5, 1e-4, 1.25 / 4e6, 0.25 / 1e10):
+        p = np.geomspace(least, 1, 500)
+        code, steps = lm.quantised(p)
+        back = lm.levels(steps)[code]
+        assert (back > 0).all() and (back <= p * (1 + 1e-6)).all() and (back >= p * 10 ** (-1.01 / steps)).all()
+
+
 def test_elias_fano():
     from auditframe.llm.lm import EliasFano
 
