@@ -5,8 +5,8 @@ piece, and a word's id is its rank. A second pass counts trigrams of ids. Map ta
 aggregate slices of the corpus and send sorted, packed count lists, so a frequent word or
 n-gram is one entry per slice; a trigram belongs to the piece that the cumulative count of
 its first word and its second id give, so the successors of a frequent word are spread
-over pieces. All training rows are counted; of bigrams and trigrams those seen once are
-pruned (``PRUNE``).
+over pieces. All training rows are counted, and every n-gram counted is kept: only those
+seen fewer than ``PRUNE`` times, none as it is set, would leave levels 2 and 3.
 
 *Trie.* A piece is one file in the shared folder, memory-mapped by its readers: levels 2 and 3
 are monotone sequences of (context base + word id) in Elias-Fano form, cumulative word counts
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from auditframe.llm.common import shared_dir, table
 
-PRUNE, DISCOUNT = 2, 0.75
+PRUNE, DISCOUNT = 1, 0.75
 #: Tokens counted at once in a map task; bytes of text per vocabulary piece, tokens per trie piece.
 SLICE_TOKENS, PIECE_BYTES, PIECE_TOKENS = 1_500_000, 24_000_000, 4_000_000
 CACHE_WORDS = 200_000

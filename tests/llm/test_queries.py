@@ -273,6 +273,45 @@ def test_lm(spark, tables, monkeypatch, small):
         assert r.train_tokens == w[2] and r.held_out == held(r.doc_id) and abs(r.score - w[4]) <= 0.05 * r.n_tokens + 0.01
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_keeps_ngrams_seen_once(spark, tables, monkeypatch, small):
+    from auditframe.llm import lm
+
+    if small:
+        for name, value in (("PIECE_BYTES", 50_000), ("PIECE_TOKENS", 3_000), ("SLICE_TOKENS", 2_000)):
+            monkeypatch.setattr(lm, name, value)
+    token = lambda t: ["", *[w.decode("utf-8", "surrogatepass") for w in lm.words_of(t)], ""]
+    c, c2, c3 = Counter(), Counter(), Counter()
+    for i, t in DOCS:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            s = token(t)
+            c.update(s[1:])
+            c2.update(zip(s, s[1:]))
+            c3.update(zip(s, s[1:], s[2:]))
+    m2, m3 = Counter(), Counter()
+    for (a, _), n in c2.items():
+        m2[a] += (n - 0.75) / c[a]
+    for (a, b, _), n in c3.items():
+        m3[a, b] += (n - 0.75) / c2[a, b]
+    want = Counter()
+    for i, t in DOCS:
+        s, score = token(t), 0.0
+        for j in range(1, len(s)):
+            a, b = s[j - 1 : j + 1]
+            p = (1 - m2[a]) * (c[b] + 1) / (sum(c.values()) + len(c) + 1)
+            p += (c2[a, b] - 0.75) / c[a] if (a, b) in c2 else 0.0
+            if j > 1 and (s[j - 2], a) in m3:
+                p *= 1 - m3[s[j - 2], a]
+                p += (c3[s[j - 2], a, b] - 0.75) / c2[s[j - 2], a] if (s[j - 2], a, b) in c3 else 0.0
+            score += math.log10(p)
+        want[i] += score
+    got, n = Counter(), Counter()
+    for r in rows_of(spark, "op7_lm", tables):
+        got[r.doc_id] += r.score
+        n[r.doc_id] += r.n_tokens
+    assert all(abs(got[i] - want[i]) <= 0.05 * n[i] + 0.01 for i in want) and set(got) == set(want)
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_media(spark, tables, tmp_path, few):
     from auditframe.llm import media
