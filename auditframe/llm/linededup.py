@@ -6,7 +6,9 @@ The lines of a leaf are clustered: a line joins the most similar template if the
 equal constant tokens reaches ``ALIKE``, and the positions that differ become variable. A
 template that occurs in ``MIN_DOCS`` different texts or more is boilerplate: its lines are
 dropped everywhere but in the text with the smallest id that has one, so content that is
-merely copied stays in the corpus once.
+merely copied stays in the corpus once. A line of ``LONG`` tokens or more is a passage rather
+than a chance repeat: it is dropped likewise if it is the same (but for tokens with digits) in
+``LONG_DOCS`` different texts, whatever its template does.
 
 Data flow: (1) a lean table of (leaf, line, text) hashes counts, by leaf, the texts; (2) only
 leaves with enough texts give their distinct lines, as token hashes, to the clustering, one
@@ -37,6 +39,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from auditframe.llm.common import shared_dir, stored, table
 
 MIN_DOCS, MIN_TOKENS, LEADING, ALIKE = 4, 3, 3, 0.85
+#: A line of LONG tokens or more recurs from LONG_DOCS different texts on.
+LONG, LONG_DOCS = 20, 2
 #: Leaves with more distinct lines are clustered in salted parts of about this size first.
 LEAF_PART = 2000
 BROADCAST_KEYS = 300_000
@@ -72,6 +76,9 @@ def _text_key(text: str) -> int:
     return _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
+LINE_ROWS = "leaf long, line long, long long, text_key long, doc_id long"
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -79,9 +86,9 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py() or ""
             key = _text_key(text)
             parsed = [parse(line) for line in text.split("\n")]
-            rows.extend((*x, key, doc) for x in {p[:2] for p in parsed if p})
+            rows.extend((*x, key, doc) for x in {(*p[:2], int(len(p[2]) >= LONG)) for p in parsed if p})
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["leaf", "line", "text_key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["leaf", "line", "long", "text_key", "doc_id"])
 
 
 def _token_rows(wanted: Callable[[int], bool]) -> Callable:
@@ -154,8 +161,8 @@ def _by_group(rows: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``(line, keeper)``: hashes of the lines of recurring templates, and the text that keeps each. ``docs``: (doc_id, text)."""
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
-    seen = docs.mapInArrow(_line_rows, "leaf long, line long, text_key long, doc_id long")
-    seen = stored(seen.groupBy("leaf", "line", "text_key").agg(F.min("doc_id").alias("doc_id")), f"{path}/seen")
+    seen = docs.mapInArrow(_line_rows, LINE_ROWS)
+    seen = stored(seen.groupBy("leaf", "line", "long", "text_key").agg(F.min("doc_id").alias("doc_id")), f"{path}/seen")
     lines = seen.groupBy("leaf", "line").agg(F.count("*").alias("texts"))
     leaves = stored(lines.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.count("*").alias("lines")).filter(F.col("texts") >= min_docs), f"{path}/leaves")
     if leaves.count() <= broadcast_keys:
@@ -173,7 +180,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_keys: int = B
     names = first.join(merged, ["leaf", "cluster"], "left").select("leaf", "line", F.coalesce("whole", "cluster").alias("cluster"))
     of = seen.join(names, ["leaf", "line"]).groupBy("leaf", "cluster", "text_key").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("doc_id"))
     counts = of.groupBy("leaf", "cluster").agg(F.count("*").alias("texts"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("keeper")).filter(F.col("texts") >= min_docs)
-    return stored(names.join(counts, ["leaf", "cluster"]).select("line", "keeper"), f"{path}/recurring")
+    templates = names.join(counts, ["leaf", "cluster"]).select("line", "keeper")
+    keeper = F.min_by("text_key", F.struct(F.coalesce("doc_id", F.lit(LAST_ID)), "text_key")).alias("keeper")
+    passages = seen.filter("long = 1").groupBy("line").agg(F.count("*").alias("texts"), keeper).filter(F.col("texts") >= min(min_docs, LONG_DOCS)).select("line", "keeper")
+    both = templates.select("line", "keeper", F.lit(0).alias("rank")).unionByName(passages.select("line", "keeper", F.lit(1).alias("rank")))
+    return stored(both.groupBy("line").agg(F.min_by("keeper", "rank").alias("keeper")), f"{path}/recurring")
 
 
 def _clean(text: str, keepers: dict[int, int]) -> tuple[str, int, int]:
@@ -200,7 +211,7 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         known = spark.sparkContext.broadcast({r.line: r.keeper for r in found.toLocalIterator()})
         rows = docs
     else:
-        pairs = lean.mapInArrow(_line_rows, "leaf long, line long, text_key long, doc_id long").select("line", "text_key").distinct().join(found, "line")
+        pairs = lean.mapInArrow(_line_rows, LINE_ROWS).select("line", "text_key").distinct().join(found, "line")
         mine = pairs.groupBy("text_key").agg(F.map_from_entries(F.collect_set(F.struct("line", "keeper"))).alias("__keepers"))
         keys = lean.mapInArrow(_keys, "address binary, text_key long").distinct()
         rows = docs.withColumn("__address", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))

@@ -211,6 +211,20 @@ def test_line_dedup(spark, tables, few):
         assert r.text == "\n".join(keep), i
 
 
+@pytest.mark.parametrize("few", [300_000, 0])
+def test_long_passages_recur_from_two_texts(spark, few):
+    from auditframe.llm import linededup
+
+    passage = {n: " ".join(f"{n}word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)) for n in ("two", "three", "once")}
+    short = "only seven words stand in this"
+    own = lambda i: f"text of its own {chr(97 + i) * 9}"
+    lines = {1: ["two", "three"], 2: ["two"], 3: ["three"], 4: ["three", "once"], 5: []}
+    rows = [(i, "\n".join([own(i), *(passage[n] for n in names), short if i < 4 else "end"])) for i, names in lines.items()]
+    got = {r.doc_id: r.text for r in linededup.drop_recurring(spark.createDataFrame([*rows, rows[3]], "doc_id long, text string"), broadcast_keys=few).collect()}
+    want = {1: ["two", "three"], 2: [], 3: [], 4: ["once"], 5: []}
+    assert got == {i: "\n".join([own(i), *(passage[n] for n in names), short if i < 4 else "end"]) for i, names in want.items()}
+
+
 def test_template_tree():
     from auditframe.llm.linededup import cluster, parse, token_bytes
 
