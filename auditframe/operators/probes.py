@@ -106,7 +106,7 @@ def silhouette(rows: DataFrame) -> float | None:
     return each.agg(F.avg("s")).first()[0]
 
 
-def cluster_sites(rows: DataFrame, seed: int, expected_k: int = 3, ks: range = range(2, 7), restarts: int = 3) -> dict:
+def cluster_sites(rows: DataFrame, seed: int, expected_k: int = 3, ks: range = range(2, 7), restarts: int = 10) -> dict:
     """Clusters for each k (best of several starts), their silhouettes, and whether the expected number stands out."""
     data = standardised(rows).cache()
     found = {}

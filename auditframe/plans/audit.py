@@ -14,7 +14,7 @@ from auditframe.operators import splits as sp
 from auditframe.operators.bootstrap import Resampled
 from auditframe.sources import fixtures as fx
 
-SEED, N_BOOT, IOU, SCORE = 20261009, 200, 0.5, 0.3
+SEED, N_BOOT, IOU, SCORE = 20261009, 2000, 0.5, 0.3
 DF = DataFrame
 
 

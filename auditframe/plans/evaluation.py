@@ -12,7 +12,7 @@ from auditframe.operators import splits as sp
 from auditframe.operators.bootstrap import Resampled, difference, estimate
 from auditframe.sources import fixtures as fx
 
-SEED, N_BOOT, THRESHOLD, K = 20261009, 200, 0.3, 3
+SEED, N_BOOT, THRESHOLD, K = 20261009, 2000, 0.3, 3
 DF = DataFrame
 
 

@@ -123,7 +123,7 @@ def tripwire(estimates: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("n") < SMALL, "small cell").otherwise("flag"))
 
 
-def noise_floor(rows: DataFrame, n_sim: int = 200, n_bins: int = 10, seed: int = 1) -> DataFrame:
+def noise_floor(rows: DataFrame, n_sim: int = 1000, n_bins: int = 10, seed: int = 1) -> DataFrame:
     """95th percentile of the calibration error of outcomes drawn from the probabilities themselves; bins stay fixed."""
     from auditframe.functions.numeric import uniform
 
@@ -135,7 +135,7 @@ def noise_floor(rows: DataFrame, n_sim: int = 200, n_bins: int = 10, seed: int =
     return each.agg(F.percentile("ece", F.lit(0.95)).alias("floor"))
 
 
-def ece_interval(rows: DataFrame, seed: int, n_boot: int = 200, n_bins: int = 10) -> DataFrame:
+def ece_interval(rows: DataFrame, seed: int, n_boot: int = 2000, n_bins: int = 10) -> DataFrame:
     """Interval of the quantile-bin calibration error with edges recomputed in each resample: ranks are windows over weighted distinct values."""
     from pyspark.sql import Window
 

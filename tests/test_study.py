@@ -50,3 +50,14 @@ def test_small_tables_only(spark):
     with pytest.raises(ValueError):
         report.markdown_table(spark.range(2000))
     assert "<svg" in report.svg_line([(0, 0), (1, 1)], "x")
+
+
+def test_resamples_are_those_of_the_reference():
+    import inspect
+
+    from auditframe.operators import probes
+    from auditframe.plans import audit, evaluation
+
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    assert audit.N_BOOT == evaluation.N_BOOT == 2000
+    assert (default(study.noise_floor, "n_sim"), default(study.ece_interval, "n_boot"), default(probes.cluster_sites, "restarts")) == (1000, 2000, 10)
