@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,34 @@ def checkpointed(df: DataFrame, name: str = "part") -> DataFrame:
     return stored(df, f"{shared_dir(df.sparkSession)}/{name}")
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` does not have (Spark compares them without case)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_rows(docs: DataFrame, run, added: dict[str, DataType] | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """``docs.mapInArrow(run)`` for column names of any kind; rows keep the columns of ``docs`` but for ``more``, and get those of ``added``.
+
+    ``run`` sees and makes columns by place.
+    """
+    names = [*(c for c in docs.columns if c not in more), *(added or {})]
+    kept = [f for f in docs.schema.fields if f.name not in more]
+    kinds = [*(f.dataType for f in kept), *(added or {}).values()]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, StructType([StructField(f"c{i}", k) for i, k in enumerate(kinds)])).toDF(*names)
+
+
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (a written table), to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with about ``chars`` characters each, one text at least."""
     start, size = 0, 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import checkpointed, table
+from auditframe.llm.common import checkpointed, map_rows, table
 
 SAMPLE_ROWS, LEXICON_UNITS = 20_000, 4_000
 #: Word beginnings of these lengths are lexicon units beside whole words.
@@ -281,12 +281,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` whose score is below 0.5, with all their columns."""
-    model = trained(spark, sf_dir, docs)
+    model, at = trained(spark, sf_dir, docs), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(model.lexicon)
         for batch in batches:
-            x = np.array([features(t or "", words) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, -1)
+            x = np.array([features(t or "", words) for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, -1)
             yield batch.filter(pa.array(model.score(x) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
