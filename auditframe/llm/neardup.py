@@ -1,25 +1,36 @@
 """Near-duplicate documents by order MinHash.
 
 Of each text, the 5-word shingles are labelled with their occurrence number. Each of
-``SKETCHES`` hash functions samples the ``2`` labelled shingles with the smallest hashes; the
-pair is kept in the order in which it stands in the text, so a sketch agrees if the texts
-share these shingles *and* their order: the agreement follows edit similarity. Equal
-sketches put texts into a bucket, and each text of a bucket is a candidate partner of two of
-its texts (smallest and largest digest): candidates grow with the number of texts, never
-with the square of a bucket.
+``SKETCHES`` hash functions samples the three labelled shingles with the smallest hashes; every
+two of them are kept in the order in which they stand in the text, so a sketch agrees if the
+texts share these shingles *and* their order: the agreement follows edit similarity. With a
+resemblance J of the shingles, two texts share a pair of one function with probability
+J^2 (1 + 2 (1 - J) + 1.5 (1 - J)^2), order aside, which is 0.14 at J = 0.2, about that of two texts
+of which every fifth word differs.
+
+Equal sketches put texts into a bucket. Each text of a bucket is a candidate partner of its
+two ends (smallest and largest digest), which for up to three texts are all pairs; in larger
+buckets also of its successor when the texts are ordered by another sketch, which places alike
+texts side by side. After verification, buckets that still hold texts of several classes are
+compared again, by one text of each class and in another order, until a round links nothing.
+Candidates grow with the number of texts, never with the square of a bucket.
 
 Candidates are verified by banded alignment of their words: the edit distance within a band
 of ``floor((1 - similarity) * longer)`` diagonals, as a bit-parallel dynamic program; the pair
 is a link if ``1 - distance / longer >= similarity``. Classes are the connected components.
 
 Copies: equal texts collapse to one node before anything else, so a text that fills a third
-of all rows is one node. Data moved: lean sketches, and texts of candidates only; their ids
-are broadcast to filter the scan if they are proven few (``BROADCAST_KEYS``), else joined.
+of all rows is one node. Data moved: lean sketches, and texts of candidates only, the text at
+the common end of many pairs once; ids, labels and classes are broadcast where they are
+counted few (``BROADCAST_KEYS``), else joined, classes of more than ``HOT`` rows still by
+broadcast (there are no more of them than rows / ``HOT``). Orders within a bucket of more than
+``HOT`` texts are those of random parts of it.
 
 Defined results: a null text is the empty text; texts of fewer than five words have one
 shingle, all their words; the empty texts (and those of white space only) form one class;
 repeated rows are copies of each other; ids may be null or repeated; the class id is the
-smallest id of its documents (null if all are null); other columns are ignored.
+smallest id of its documents (null if all are null); other columns, whatever their names, are
+ignored by the query and pass through the pipeline stage.
 """
 
 from __future__ import annotations
@@ -30,15 +41,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import shared_dir, slices, stored, table
+from auditframe.llm.common import few, fresh, shared_dir, slices, stored, table
 from auditframe.llm.components import components
 
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 20
-BROADCAST_KEYS = 300_000
+#: Pairs of the three sampled shingles, and so buckets of each text for each hash function.
+PAIRS = 3
+BROADCAST_KEYS, HOT = 300_000, 200_000
 SLICE_CHARS, CACHE_WORDS = 600_000, 200_000
+#: Bits for a place in a text while a hash function samples; longer texts get as many as they need.
 POSITION_BITS = 24
 PHI = 0x9E3779B97F4A7C15
 
@@ -90,12 +104,13 @@ def labelled_shingles(words: list[list[str]], hashes: WordHashes, size: int = SH
 
 
 def sketch(shingles: np.ndarray, begins: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
-    """(text, sketch) array of order-sensitive hashes."""
+    """(text, PAIRS * sketches) array of order-sensitive hashes; the pairs of one function stand together."""
     n = np.diff(np.concatenate([begins, [len(shingles)]]))
+    if len(n) > 1 and n.max() >> POSITION_BITS:  # so that a sketch does not depend on the other texts
+        return np.concatenate([sketch(shingles[b : b + m], np.zeros(1, np.int64), sketches) for b, m in zip(begins, n)])
     position = (np.arange(len(shingles)) - np.repeat(begins, n)).astype(np.uint64)
-    low = np.uint64((1 << POSITION_BITS) - 1)
-    position &= low
-    out = np.empty((len(begins), sketches), np.uint64)
+    low = np.uint64((1 << max(POSITION_BITS, int(n.max()).bit_length())) - 1)
+    out = np.empty((len(begins), PAIRS * sketches), np.uint64)
     top = np.uint64(2**64 - 1)
     for i in range(sketches):
         seed = np.uint64((PHI * (2 * i + 1)) & (2**64 - 1))
@@ -105,12 +120,16 @@ def sketch(shingles: np.ndarray, begins: np.ndarray, sketches: int = SKETCHES) -
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h &= ~low
         h |= position
-        first = np.minimum.reduceat(h, begins) & low
-        h[begins + first.astype(np.int64)] = top
-        second = np.minimum.reduceat(h, begins) & low
-        second = np.where(n > 1, second, first)
-        a, b = np.minimum(first, second).astype(np.int64), np.maximum(first, second).astype(np.int64)
-        out[:, i] = _mixed(shingles[begins + a] * np.uint64(3) + shingles[begins + b] + seed)
+        first = (np.minimum.reduceat(h, begins) & low).astype(np.int64)
+        h[begins + first] = top
+        second = np.where(n > 1, np.minimum.reduceat(h, begins) & low, first.astype(np.uint64)).astype(np.int64)
+        h[begins + second] = top
+        third = np.where(n > 2, np.minimum.reduceat(h, begins) & low, second.astype(np.uint64)).astype(np.int64)
+        third = np.where(n > 2, third, first)  # two shingles make one pair, whatever their order here
+        for k, (x, y) in enumerate(((first, second), (first, third), (second, third))):
+            if k == 1:
+                x, y = np.where(n > 2, x, first), np.where(n > 2, y, second)
+            out[:, PAIRS * i + k] = _mixed(shingles[begins + np.minimum(x, y)] * np.uint64(3) + shingles[begins + np.maximum(x, y)] + seed)
     return out
 
 
@@ -181,8 +200,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(texts, SLICE_CHARS):
             words = [(t or "").lower().split() for t in texts[a:b]]
             values = sketch(*labelled_shingles(words, hashes)).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), SKETCHES).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("node").slice(a, b - a), lists], ["doc_id", "node", "sketches"])
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.int64()))
+            sizes = pa.array([len(w) for w in words], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("node").slice(a, b - a), sizes, lists], ["doc_id", "node", "n", "sketches"])
 
 
 def _verified(least: float):
@@ -205,40 +225,81 @@ def node_of(text) -> "F.Column":
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
 
+def _pairs(members: DataFrame, others: list[str], similarity: float) -> DataFrame:
+    """(a, b) of the candidates in ``members``: column ``who`` (node, n) with each of the columns ``others``; ``b`` is the end that many may share."""
+    longer = F.greatest("who.n", "to.n")
+    both = members.select("who", F.explode(F.array(*others)).alias("to")).filter((F.col("who.node") != F.col("to.node")) & (F.abs(F.col("who.n") - F.col("to.n")) <= (1 - similarity) * longer + 1e-9))
+    both = both.groupBy(F.greatest("who.node", "to.node").alias("x"), F.least("who.node", "to.node").alias("y")).agg(F.max("to.node").alias("b"))
+    return both.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b")
+
+
+def _next(members: DataFrame, *order: str) -> DataFrame:
+    """``members`` (bucket, who, m, ...) with the text that follows in its bucket as ``next``."""
+    part = F.pmod(F.xxhash64("who.node"), F.ceil(F.col("m") / HOT))
+    return members.withColumn("next", F.lead("who").over(Window.partitionBy("bucket", part).orderBy(*order, "who.node")))
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, broadcast_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame]:
-    """``(members, links)``: (doc_id, node) of each row, and verified (a, b, similarity) between different texts."""
+    """``(members, labels)``: (doc_id, node) of each row, and the class label of the texts that have links."""
     path = shared_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text).alias("node"), text.alias("text"))
-    known = stored(rows.mapInArrow(_sketches, "doc_id long, node binary, sketches array<long>"), f"{path}/sketches")
-    nodes = known.groupBy("node").agg(F.first("sketches").alias("sketches"))
-    entries = nodes.select("node", F.posexplode("sketches").alias("i", "h")).select("node", F.xxhash64("i", "h").alias("bucket"))
-    ends = entries.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    pairs = entries.join(ends, "bucket").select(F.explode(F.array(F.struct("node", F.col("lo").alias("to")), F.struct("node", F.col("hi").alias("to")))).alias("p")).select("p.*")
-    pairs = pairs.filter("node <> to").select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
-    pairs = stored(pairs, f"{path}/pairs")
+    known = stored(rows.mapInArrow(_sketches, "doc_id long, node binary, n int, sketches array<long>"), f"{path}/sketches")
+    nodes = known.groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    nearby = F.get("sketches", (F.col("i") + PAIRS * (SKETCHES // 2) + 1) % (PAIRS * SKETCHES))
+    entries = nodes.select("node", "n", "sketches", F.posexplode("sketches").alias("i", "bucket")).select("bucket", nearby.alias("near"), F.struct("node", "n").alias("who"))
+    ends = entries.groupBy("bucket").agg(F.min("who").alias("lo"), F.max("who").alias("hi"), F.count("*").alias("m")).filter("lo.node <> hi.node")
+    shared = stored(entries.join(ends, "bucket"), f"{path}/shared")
+    crowded = shared.filter("m > 3").select("bucket", "near", "who", "m")
+    pairs = _pairs(shared, ["lo", "hi"], similarity).unionByName(_pairs(_next(crowded, "near"), ["next"], similarity))
+    found, tried, turn = None, None, 0
+    while True:
+        turn += 1
+        pairs = pairs.groupBy(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).agg(F.max("b").alias("b"))
+        if tried is not None:
+            pairs = pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti")
+        pairs = stored(pairs.select("x", "y", F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"), f"{path}/pairs{turn}")
+        new = stored(_verify(rows, pairs, similarity, broadcast_keys, f"{path}/{turn}"), f"{path}/links{turn}")
+        if turn > 1 and not new.limit(1).count():
+            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = new if found is None else found.unionByName(new)
+        labels = stored(components(found), f"{path}/labels{turn}")
+        # Buckets whose texts are of several classes: one text of each class goes on.
+        named = crowded.select("bucket", F.col("who.node").alias("node"), "who").join(few(labels, broadcast_keys), "node", "left")
+        one = named.groupBy("bucket", F.coalesce("label", "node").alias("label")).agg(F.min("who").alias("who"))
+        order = F.xxhash64("who.node", F.lit(turn))
+        ends = one.groupBy("bucket").agg(F.min_by("who", order).alias("lo"), F.max_by("who", order).alias("hi"), F.count("*").alias("m")).filter("m > 1")
+        again = one.join(ends, "bucket").withColumn("near", order)
+        pairs = _pairs(again, ["lo", "hi"], similarity).unionByName(_pairs(_next(again, "near"), ["next"], similarity))
+    return known.select("doc_id", "node"), labels
+
+
+def _verify(rows: DataFrame, pairs: DataFrame, similarity: float, broadcast_keys: int, path: str) -> DataFrame:
+    """(a, b, similarity) of the ``pairs`` that are alike. The text of ``b`` is joined last, so it moves once however many pairs it is in."""
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{path}/wanted")
-    few = wanted.count() <= broadcast_keys
-    texts = rows.select("node", "text").join(F.broadcast(wanted) if few else wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = rows.select("node", "text").join(few(wanted, broadcast_keys), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = stored(texts, f"{path}/texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    found = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(similarity), "a binary, b binary, similarity double")
-    return known.select("doc_id", "node"), stored(found, f"{path}/links")
+    both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(similarity), "a binary, b binary, similarity double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, node, label, class_id, class_size, links); ``links``: of its text to other texts."""
-    members, found = links(docs, id_col, text_col, similarity, broadcast_keys)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    labels = components(found).join(degree, "node")
-    rows = stored(members.join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), f"{shared_dir(docs.sparkSession)}/members")
-    classes = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(classes, "label").select("doc_id", "node", "label", "class_id", "class_size", "links")
+    """One row per row of ``docs``: (doc_id, node, label, class_id, class_size)."""
+    members, labels = links(docs, id_col, text_col, similarity, broadcast_keys)
+    rows = members.join(few(labels, broadcast_keys), "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    path = shared_dir(docs.sparkSession)
+    rows = stored(rows, f"{path}/members")
+    classes = stored(rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).filter("class_size > 1"), f"{path}/classes")
+    # A class of one row needs no join; the largest classes never need a shuffle.
+    large = F.broadcast(classes.filter(F.col("class_size") > HOT).select("label", F.col("class_id").alias("large_id"), F.col("class_size").alias("large_size")))
+    rows = rows.join(large, "label", "left").join(few(classes.filter(F.col("class_size") <= HOT), broadcast_keys), "label", "left")
+    return rows.select("doc_id", "node", "label", F.when(F.coalesce("large_size", "class_size").isNull(), F.col("doc_id")).otherwise(F.coalesce("large_id", "class_id")).alias("class_id"), F.coalesce("large_size", "class_size", F.lit(1)).alias("class_size"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -248,14 +309,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_keys:
     rows are aggregated (partially first, so large groups of copies stay spread).
     """
     path = shared_dir(spark)
-    rows = stored(near_duplicates(docs), f"{path}/classes")
+    rows = stored(near_duplicates(docs, broadcast_keys=broadcast_keys), f"{path}/classes")
     by_node = rows.groupBy("node").agg(F.first("label").alias("label"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("least"), F.count("*").alias("n"))
-    chosen = by_node.groupBy("label").agg(F.min_by("node", F.struct("least", "node")).alias("chosen"))
-    touched = by_node.join(chosen, "label").filter("n > 1 OR node <> chosen").select(F.col("node").alias("__node"), (F.col("node") == F.col("chosen")).alias("__keep"))
-    touched = stored(touched, f"{path}/touched")
-    side = F.broadcast(touched) if touched.count() <= broadcast_keys else touched
-    marked = docs.withColumn("__node", node_of(F.col("text"))).join(side, "__node", "left")
-    alone = marked.filter("__keep IS NULL").select(*docs.columns)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    several = marked.filter("__keep").groupBy("__node").agg(F.min_by(whole, F.struct(F.col("doc_id").isNull(), "doc_id")).alias("row")).select("row.*")
+    chosen = by_node.groupBy("label").agg(F.min_by("node", F.struct("least", "node")).alias("chosen"), F.sum("n").alias("class_size")).filter("class_size > 1")
+    node, keep, whole = fresh(docs, "node", "keep", "row")
+    touched = by_node.join(chosen, "label").select(F.col("node").alias(node), (F.col("node") == F.col("chosen")).alias(keep), "n").filter(f"n > 1 OR NOT `{keep}`")
+    touched = stored(touched.drop("n"), f"{path}/touched")
+    marked = docs.withColumn(node, node_of(F.col("text"))).join(few(touched, broadcast_keys), node, "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    alone = marked.filter(F.col(keep).isNull()).select(*own)
+    several = marked.filter(F.col(keep)).groupBy(node).agg(F.min_by(F.struct(*own), F.struct(F.col("doc_id").isNull(), "doc_id")).alias(whole)).select(f"{whole}.*")
     return alone.unionByName(several)
