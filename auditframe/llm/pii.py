@@ -6,18 +6,21 @@ parts between and of the matches themselves give code point offsets. The pattern
 so that a match needs time linear in the text and no recursion.
 
 *Method.* Tokens that look like identifiers (a digit and six characters, or ``key=value``) are
-instances; the word before an instance, or its key, is its lexical pattern. Seeds are
-instances that overlap a checked base entity, or are long mixes of letters and digits.
-Patterns and instances form a bipartite graph that Spark scores in turns: a pattern's score is
+instances; the word before an instance, or its key, is its lexical pattern. Patterns of
+``SUPPORT`` different values or more and instances form a bipartite graph that Spark scores in turns.
+Seeds start it: values that overlap a checked base entity (1), and long mixes of letters and
+digits (``MIXED_SEED``); all others start at 0. In each turn every pattern is judged anew from all its
+edges: with ``SEEDS`` values or more that are known by now (a score of ``KNOWN`` or more), its score is
 the sum of its instances' scores over all places where its words occur in the corpus (so
-common words score low although identifiers follow them); an instance that is no seed has the
-score of its best pattern. After ``ROUNDS`` rounds, patterns of at least ``CONFIDENT`` with
-``SUPPORT`` different values are accepted and every instance in their context is added, as kind
-``id``, if it overlaps no base entity. Long mixes of letters and digits are added as well.
+common words score low although identifiers follow them), else 0; then a value has the score of
+its best pattern, or its seed if that is more. So what one pattern reveals seeds the next one.
+Turns end when no pattern's score moves by ``STILL``, after ``ROUNDS`` at the latest. The values of
+patterns of ``CONFIDENT`` or more are identifiers: every instance with such a value, in any
+context, is added as kind ``id``, if it overlaps no base entity. Seeds are added by no other way.
 
 Data flow: one scan writes a lean table of base spans and instances (no texts); edges are
-aggregated before each round; hot patterns cost one row per map task in aggregations, and their
-joins are skew-splittable. A second scan counts words, aggregated before they are joined.
+aggregated before each turn; hot patterns and values cost one row per map task in aggregations, and
+their joins are skew-splittable. A second scan counts words, aggregated before they are joined.
 
 Defined results: a null text is the empty text; spans that fail their check are dropped
 without retry; equal texts have equal spans; ids may be null or repeated; other columns are
@@ -31,7 +34,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import shared_dir, stored, table
+from auditframe.llm.common import few, fresh, shared_dir, stored, table
 from auditframe.llm.neardup import node_of
 
 KINDS = ["email", "ip", "card", "phone", "id"]
@@ -44,11 +47,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Instances: a token with a digit, or a key with its value.
-INSTANCE = r"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+|[A-Za-z_-]{2,24}[=:][^\s]{4,}+)"
-KEY = r"^[\"'(\[<]*([A-Za-z_-]{2,24}[=:])[\"'(\[<]*[^\s\"'=:].{2,}"
+INSTANCE = r"(?<!\S)(?:[^\s0-9]*+[0-9]\S*+|[A-Za-z_-]{2,}+[=:][^\s]{4,}+)"
+KEY = r"^[\"'(\[<]*([A-Za-z_-]{2,}[=:])[\"'(\[<]*[^\s\"'=:].{2,}"
 OPENING, CLOSING = r"^[\"'(\[<{]+", r"[\"')\]>},.;:!?*#%&$]+$"
-MIXED = r"^(?=(?:[^0-9]*[0-9]){3})(?=(?:[^A-Za-z]*[A-Za-z]){3})[A-Za-z0-9+/_-]{12,128}$"
-ROUNDS, CONFIDENT, SUPPORT, SEEDS, BLOCK, CONTEXT = 3, 0.6, 3, 2, 128, 80
+MIXED = r"^(?=(?:[^0-9]*[0-9]){3})(?=(?:[^A-Za-z]*[A-Za-z]){3})[A-Za-z0-9+/_-]{12,}$"
+ROUNDS, STILL, CONFIDENT, KNOWN, MIXED_SEED, SUPPORT, SEEDS = 12, 0.01, 0.6, 0.5, 0.8, 3, 2
+BLOCK, BROADCAST_KEYS = 128, 300_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -120,13 +124,14 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column, base: Column) -> Column:
-    """array<struct<start, end, pattern, value, seed, mixed, taken>> of the identifier-like tokens."""
+    """array<struct<start, end, pattern, value, seed, taken, long>> of the identifier-like tokens."""
 
     def one(x: Column, before: Column) -> Column:
         token = x["match"]
         key = F.regexp_extract(token, KEY, 1)
-        left = F.split(F.trim(F.substring(F.concat(before, x["gap"]), -CONTEXT, CONTEXT)), r"\s+")
-        pattern = F.when(key != "", F.lower(key)).otherwise(F.lower(F.get(left, F.size(left) - 1)))
+        word = lambda s: F.substring_index(F.rtrim(F.translate(s, "\t\n\x0b\f\r", "     ")), " ", -1)
+        left = _let(word(x["gap"]), lambda w: F.when(w != "", w).otherwise(word(before)))
+        pattern = F.lower(F.when(key != "", key).otherwise(left))
         lead = F.char_length(F.regexp_extract(token, OPENING, 0))
         skip = F.when(key != "", F.instr(token, key) - 1 + F.char_length(key)).otherwise(lead)
 
@@ -140,7 +145,7 @@ def instances(text: Column, base: Column) -> Column:
                 taken = F.exists(base, lambda b: (b["start"] < end) & (start < b["end"]))
                 mixed = v.rlike(MIXED)
                 return F.struct(
-                    start.alias("start"), end.alias("end"), pattern.alias("pattern"), F.xxhash64(v).alias("value"), (taken | mixed).alias("seed"), (mixed & ~taken).alias("mixed"),
+                    start.alias("start"), end.alias("end"), pattern.alias("pattern"), F.xxhash64(v).alias("value"), F.when(taken, 1.0).when(mixed, MIXED_SEED).otherwise(0.0).alias("seed"),
                     taken.alias("taken"), (F.char_length(v) >= F.when(key != "", 4).otherwise(6)).alias("long"),
                 )
 
@@ -154,7 +159,26 @@ def instances(text: Column, base: Column) -> Column:
     return _let(_places(text, INSTANCE), all_of)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(edges: DataFrame, totals: DataFrame, path: str, rounds: int = ROUNDS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """(pattern, score) after the turns; ``edges``: (pattern, value, n, seed), ``totals``: (pattern, total), both written."""
+    patterns = None
+    for k in range(rounds):
+        if patterns is None:
+            score = edges.groupBy("value").agg(F.max("seed").alias("score"))
+            before = totals.select("pattern", "total", F.lit(0.0).alias("before"))
+        else:
+            score = edges.join(few(patterns.select("pattern", "score"), broadcast_keys), "pattern").groupBy("value").agg(F.max(F.greatest("seed", "score")).alias("score"))
+            before = totals.join(patterns.select("pattern", F.col("score").alias("before")), "pattern")
+        judged = edges.join(score, "value").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.count_if(F.col("score") >= KNOWN).alias("known"))
+        now = F.when(F.col("known") >= SEEDS, F.col("weight") / F.col("total")).otherwise(0.0)
+        patterns = stored(judged.join(before, "pattern").select("pattern", now.alias("score"), "before"), f"{path}/scores{k}")
+        moved = patterns.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0]
+        if moved is None or moved < STILL:
+            break
+    return patterns.select("pattern", "score")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc_id, node, base, extra) of each row: sorted spans of the base kinds, and those that the method adds."""
     path = shared_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -163,26 +187,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = stored(rows.select("doc_id", "node", "base", instances(F.col("text"), F.col("base")).alias("instances")), f"{path}/found")
     places = found.select("node", F.explode("instances").alias("i")).select("node", "i.*")
     edges = places.filter("pattern <> ''").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    able = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum("n").alias("n")).filter((F.col("values") >= SUPPORT) & (F.col("seeds") >= SEEDS))
+    able = edges.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("n").alias("n")).filter(F.col("values") >= SUPPORT)
     able = stored(able.withColumn("address", F.xxhash64("pattern")), f"{path}/patterns")
-    edges = stored(edges.join(able.select("pattern"), "pattern", "left_semi"), f"{path}/edges")
+    edges = stored(edges.join(few(able.select("pattern"), broadcast_keys), "pattern", "left_semi"), f"{path}/edges")
     # Words are counted before they meet the patterns, so the join makes a row per pattern.
     words = F.transform(F.split(F.trim(F.lower(F.col("text"))), r"\s+"), lambda w: F.xxhash64(w))
     totals = docs.select(text.alias("text")).select(F.explode(words).alias("address")).groupBy("address").agg(F.count("*").alias("total"))
     able = stored(able.join(totals, "address", "left").select("pattern", F.greatest("n", F.coalesce("total", F.lit(0))).cast("double").alias("total")), f"{path}/totals")
-    scores = edges.select("value", F.col("seed").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
-    for k in range(ROUNDS):
-        weight = edges.join(scores, "value").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("weight"))
-        patterns = stored(weight.join(able, "pattern").select("pattern", (F.col("weight") / F.col("total")).alias("score")), f"{path}/scores{k}")
-        best = edges.join(patterns, "pattern").groupBy("value").agg(F.max(F.greatest(F.col("seed").cast("double"), F.col("score"))).alias("score"))
-        scores = best
-    accepted = patterns.filter(F.col("score") >= CONFIDENT).select("pattern")
+    accepted = scored(edges, able, path, broadcast_keys=broadcast_keys).filter(F.col("score") >= CONFIDENT)
+    known = stored(edges.join(accepted, "pattern", "left_semi").select("value").distinct(), f"{path}/known")
     span = F.struct("start", F.lit(KINDS.index("id")).alias("kind"), "end")
-    by_pattern = places.filter("NOT taken AND NOT mixed").join(accepted, "pattern", "left_semi").select("node", span.alias("span"))
-    extra = by_pattern.groupBy("node").agg(F.collect_set("span").alias("spans"))
-    own = F.transform(F.filter("instances", lambda x: x["mixed"]), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index("id")).alias("kind"), x["end"].alias("end")))
-    none = F.filter(own, lambda x: F.lit(False))
-    return found.join(extra, "node", "left").select("doc_id", "node", "base", F.array_sort(F.array_distinct(F.concat(own, F.coalesce("spans", none)))).alias("extra"))
+    extra = places.filter("NOT taken").join(few(known, broadcast_keys), "value", "left_semi").groupBy("node").agg(F.sort_array(F.collect_set(span)).alias("extra"))
+    extra = stored(extra, f"{path}/extra")
+    none = F.filter("base", lambda x: F.lit(False))
+    return found.select("doc_id", "node", "base").join(few(extra, broadcast_keys // 3), "node", "left").select("doc_id", "node", "base", F.coalesce("extra", none).alias("extra"))
 
 
 def _named(spans: Column) -> Column:
@@ -204,7 +222,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row stays; each span becomes ``<KIND>``, overlapping spans the first one's; ``n_chars`` follows."""
-    found = find(docs).groupBy("node").agg(F.first(F.array_sort(F.concat("base", "extra"))).alias("__spans")).filter(F.size("__spans") > 0)
+    node, spans = fresh(docs, "node", "spans")
+    found = find(docs).groupBy("node").agg(F.first(F.array_sort(F.concat("base", "extra"))).alias(spans)).filter(F.size(spans) > 0)
     text, names = F.col("text"), F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     empty = F.struct(F.lit(0).alias("end"), F.filter(F.array(F.lit("")), lambda x: F.lit(False)).alias("parts"))
 
@@ -214,10 +233,10 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         inside = F.struct(F.greatest(acc["end"], x["end"]).alias("end"), acc["parts"].alias("parts"))
         return F.when(x["start"] < acc["end"], inside).otherwise(behind)
 
-    masked = F.aggregate("__spans", empty, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["end"] + 1, F.char_length(text))))
-    rows = docs.withColumn("__node", node_of(text)).join(found.withColumnRenamed("node", "__node"), "__node", "left")
-    touched = F.col("__spans").isNotNull()
+    masked = F.aggregate(spans, empty, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["end"] + 1, F.char_length(text))))
+    rows = docs.withColumn(node, node_of(text)).join(found.select(F.col("node").alias(node), spans), node, "left")
+    touched = F.col(spans).isNotNull()
     rows = rows.withColumn("text", F.when(touched, masked).otherwise(text))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(touched, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
