@@ -12,15 +12,17 @@ an element whose bin differs from its predecessor's is that bin's least value, o
 sentinel of an empty bin.
 
 ``edited_pairs`` brings each text together with the next one by id. Ids are cut into ranges of
-about ``RANGE_ROWS`` rows; a text goes to its range, and the first text of each range also
-to the range before (the very first to the last), so one shuffle and a window within ranges
-give every successor. The table of range begins is broadcast only if counted small
-(``BROADCAST_RANGES``), else joined.
+about ``RANGE_ROWS`` rows (rows without an id by a hash of their text); a text goes to its range, and
+the first text of each range also to the range before (the very first to the last), so one
+shuffle and a window within ranges give every successor. Which range comes before is found in two
+levels, within ``BLOCK`` ranges and between blocks, so no window holds all ranges; their table is
+broadcast only if counted small (``BROADCAST_RANGES``), else joined. The shuffle of texts has as many
+partitions as their bytes need (``PART_BYTES``).
 
 Defined results: a null text is the empty text; a text with fewer than five words has one
-shingle, all its words; equal texts have equal fingerprints; rows are ordered by id (null ids
-first), then text, so repeated ids follow each other; a single row is its own successor; other
-columns are ignored.
+shingle, all its words; equal texts have equal fingerprints; rows are ordered by id, then text, so
+repeated ids follow each other; null ids come first, in order of a hash of their text, then the
+text; a single row is its own successor; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ SHINGLE, BIN_BITS, BITS = 5, 7, 8
 BINS = 1 << BIN_BITS
 VALUE_BITS = 63 - BIN_BITS
 EMPTY = (1 << VALUE_BITS) - 1
-RANGE_ROWS, BROADCAST_RANGES = 1024, 200_000
+RANGE_ROWS, BLOCK, BROADCAST_RANGES, PART_BYTES = 1024, 4096, 200_000, 64 << 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -95,29 +97,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - chance) / (1 - chance)))
 
 
+def _before(ranges: DataFrame) -> DataFrame:
+    """(begin, h, before): of each range (r, begin, h) the one that precedes it, of the first one the last."""
+    rows = ranges.withColumn("block", F.struct("r.known", F.expr(f"r.i div {BLOCK}L").alias("i")))
+    here = Window.partitionBy("block").orderBy("r")
+    rows = rows.withColumn("before", F.lag("r").over(here))
+    last = rows.groupBy("block").agg(F.max("r").alias("last"))
+    order = Window.orderBy("block")  # one row per block
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = last.select("block", F.coalesce(F.lag("last").over(order), F.max("last").over(whole)).alias("last"))
+    return rows.join(last, "block").select("begin", "h", F.coalesce("before", "last").alias("before"))
+
+
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
     """(doc_id, text, sig, next_text, next_sig) of every row."""
-    first = -(2**63)
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(first)).alias("k"))
-    known = ids.filter(F.col("k") != first)
-    n = known.count()
-    lo, hi = known.approxQuantile("k", [0.25, 0.75], 0.01) if n else (0, 0)
-    width = max(1, int((hi - lo) / max(1.0, n / 2 / RANGE_ROWS)))
-    bucket = F.expr(f"k div {width}L")
-    begins = ids.select("k", bucket.alias("r")).groupBy("r").agg(F.min("k").alias("begin"))
-    order = Window.orderBy("r")  # one row per range
-    begins = begins.select("begin", F.coalesce(F.lag("r").over(order), F.max("r").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    begins = checkpointed(begins, "ranges")
-    side = F.broadcast(begins) if begins.count() <= broadcast_ranges else begins
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(first)).alias("k"), text.alias("text"))
-    rows = rows.select("k", "text", bucket.alias("r"), signature(F.col("text")).alias("sig")).join(side, F.col("k") == F.col("begin"), "left")
+    # h orders the rows without an id; it is 0 for all others.
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), text.alias("text"))
+    rows = rows.select("k", "text", F.when(F.col("k").isNull(), F.shiftrightunsigned(F.xxhash64("text"), 1)).otherwise(0).alias("h"))
+    ids = rows.select("k", "h")
+    n, nulls, size = rows.agg(F.count("k"), F.count_if(F.col("k").isNull()), F.sum(F.octet_length("text").cast("long"))).first()
+    lo, hi = ids.filter("k IS NOT NULL").approxQuantile("k", [0.25, 0.75], 0.01) if n else (0, 0)
+    width = max(1, int((hi - lo) / max(1.0, n / 2 / RANGE_ROWS)))
+    parts = max(1, nulls // RANGE_ROWS)
+    # Ranges without an id (known: 0) come before all others.
+    number = F.when(F.col("k").isNull(), F.floor(F.col("h") / (2.0**63 / parts)).cast("long")).otherwise(F.expr(f"k div {width}L"))
+    bucket = F.struct(F.col("k").isNotNull().cast("int").alias("known"), number.alias("i"))
+    ranges = ids.select("k", "h", bucket.alias("r")).groupBy("r").agg(F.min("k").alias("begin"), F.min("h").alias("h"))
+    begins = checkpointed(_before(ranges), "ranges")
+    side = (F.broadcast(begins) if begins.count() <= broadcast_ranges else begins).select(F.col("begin"), F.col("h").alias("begin_h"), "before")
+    first = F.col("k").eqNullSafe(F.col("begin")) & (F.col("h") == F.col("begin_h"))
+    placed = rows.select("k", "h", "text", bucket.alias("r"), signature(F.col("text")).alias("sig")).join(side, first, "left")
     here = F.struct(F.col("r"), F.lit(False).alias("guest"))
     both = F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("before").alias("r"), F.lit(True).alias("guest"))))
-    placed = rows.select("k", "text", "sig", F.explode(both).alias("at")).select("k", "text", "sig", "at.r", "at.guest")
-    follow = Window.partitionBy("r").orderBy("guest", "k", "text")
-    paired = placed.select("k", "text", "sig", "guest", F.lead("text").over(follow).alias("next_text"), F.lead("sig").over(follow).alias("next_sig"))
-    return paired.filter(~F.col("guest")).select(F.when(F.col("k") != first, F.col("k")).alias("doc_id"), "text", "sig", "next_text", "next_sig")
+    placed = placed.select("k", "h", "text", "sig", F.explode(both).alias("at")).select("k", "h", "text", "sig", "at.r", "at.guest")
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * (size or 0) // PART_BYTES + 1)
+    follow = Window.partitionBy("r").orderBy("guest", "k", "h", "text")
+    paired = placed.repartition(spread, "r").select("k", "text", "sig", "guest", F.lead("text").over(follow).alias("next_text"), F.lead("sig").over(follow).alias("next_sig"))
+    return paired.filter(~F.col("guest")).select(F.col("k").alias("doc_id"), "text", "sig", "next_text", "next_sig")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
