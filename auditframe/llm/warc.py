@@ -29,18 +29,15 @@ from pyspark.sql import functions as F
 from auditframe.llm.common import shared_dir, table
 
 MIN_REVISIT_BYTES = 100
-#: Stands for a null id while smallest ids are sought.
-NO_ID = 2**63 - 1
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _record_name(rec_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.when(rec_id == NO_ID, F.lit("none")).otherwise(rec_id.cast("string")), F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(rec_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def _header(url: Column, rec_id: Column, digest: Column, size: Column, refers_to: Column) -> Column:
-    revisit = refers_to.isNotNull()
+def _header(url: Column, rec_id: Column, digest: Column, size: Column, revisit: Column, refers_to: Column) -> Column:
     safe_url = F.replace(F.replace(F.coalesce(url, F.lit("about:blank")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), size.cast("string"), F.lit(CRLF + CRLF)
@@ -63,15 +60,14 @@ def write_archive(
     """Write one record per row of ``pages`` below ``path``."""
     spark = pages.sparkSession
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
-    rows = pages.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rec_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload")
-    ).withColumn("digest", F.sha2("payload", 256))
-    payloads = rows.groupBy("digest").agg(F.min_by("payload", "rec_id").alias("payload"), F.min("rec_id").alias("first_id"), F.count("*").alias("uses"))
+    rows = pages.select(F.col(id_col).cast("long").alias("rec_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    key = F.struct(F.col("rec_id").isNull(), "rec_id")  # null ids sort last
+    payloads = rows.groupBy("digest").agg(F.min_by("payload", key).alias("payload"), F.min("rec_id").alias("first_id"), F.count("*").alias("uses"))
     payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
     shared = spark.read.parquet(f"{path}/payloads").filter("uses > 1").select("digest", "first_id")
     lean = rows.select("rec_id", "url", "digest", F.length("payload").alias("size")).join(shared, "digest", "left")
-    refers_to = F.when((F.col("size") >= min_revisit) & (F.col("rec_id") > F.col("first_id")), F.col("first_id"))
-    headers = lean.select("digest", _header(F.col("url"), F.col("rec_id"), F.col("digest"), F.col("size"), refers_to).alias("header"))
+    revisit = (F.col("size") >= min_revisit) & F.col("first_id").isNotNull() & (F.col("rec_id").isNull() | (F.col("rec_id") > F.col("first_id")))
+    headers = lean.select("digest", _header(F.col("url"), F.col("rec_id"), F.col("digest"), F.col("size"), revisit, F.col("first_id")).alias("header"))
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
@@ -79,7 +75,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: fields parsed from its stored header, and its verified payload.
 
     ``record`` holds the original bytes. Digest and length are taken from the stored bytes
-    below the join, so a reader that asks only for those moves no payload.
+    below the join, and compared above it with those that the header states (a difference
+    raises), so a reader that asks only for them verifies every record and moves no payload.
     """
     actual = F.sha2("payload", 256)
     verified = spark.read.parquet(f"{path}/payloads").select(
@@ -97,13 +94,17 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         "header",
         F.when(rec_id != "", rec_id.cast("long")).alias("rec_id"),
         kind.alias("record_type"),
+        F.regexp_extract(header, r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1).alias("stated_digest"),
+        F.regexp_extract(header, r"\r\nContent-Length: ([0-9]+)\r\n\r\n$", 1).cast("long").alias("stated_bytes"),
+        (F.regexp_extract(header, r"\r\nContent-Length: ([0-9]+)\r\n\r\nHTTP/", 1).cast("long") - F.octet_length(F.regexp_extract(header, r"\r\n\r\n(HTTP/(?s:.*))$", 1))).alias("stated_own"),
         F.when(refers != "", refers.cast("long")).alias("refers_to"),
     )
     own = F.when(F.col("record_type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
     record = F.concat(header.cast("binary"), own, F.lit(CRLF + CRLF).cast("binary"))
-    return records.join(verified, "digest").select(
-        "rec_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "header", record.alias("record")
-    )
+    size = F.col("payload_bytes")
+    whole = (F.col("stated_digest") == F.col("payload_digest")) & (F.col("stated_bytes") == size) & (F.col("stated_own") == F.when(F.col("record_type") == "revisit", 0).otherwise(size))
+    checked = F.when(whole, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), "header")))
+    return records.join(verified, "digest").select("rec_id", "record_type", "refers_to", "payload_bytes", checked.alias("payload_digest"), "payload", "header", record.alias("record"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
