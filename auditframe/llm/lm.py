@@ -11,7 +11,8 @@ seen fewer than ``PRUNE`` times, none as it is set, would leave levels 2 and 3.
 *Trie.* A piece is one file in the shared folder, memory-mapped by its readers: levels 2 and 3
 are monotone sequences of (context base + word id) in Elias-Fano form, cumulative word counts
 are monotone pointers in the same form, and smoothed probabilities and backoff weights are
-quantised to 8 bits (rounded down), spread over the range that occurs in the piece. An n-gram is found by successor search relative to the
+quantised to 8 bits (rounded down), spread over the range that occurs in the piece; backoff
+weights are what the quantised probabilities leave, so no mass is lost to the codes. An n-gram is found by successor search relative to the
 base of its context: two selects on the upper bits, and bisection of the lower bits between.
 
 *Smoothing.* Interpolated absolute discounting: p(w|c) = max(n - D, 0)/n(c) + backoff(c) p(w|c'),
@@ -30,7 +31,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,23 +46,14 @@ from auditframe.llm.common import shared_dir, table
 PRUNE, DISCOUNT = 1, 0.75
 #: Tokens counted at once in a map task; bytes of text per vocabulary piece, tokens per trie piece.
 SLICE_TOKENS, PIECE_BYTES, PIECE_TOKENS = 1_500_000, 24_000_000, 4_000_000
-CACHE_WORDS = 200_000
+#: Mapped files that a worker keeps open.
+MAPPED = 1024
 #: Backoff of a context whose successors leave nothing but a rounding error.
 LEAST = 1e-12
 #: Quantisation of log10: codes from 0 (one) to 254 (the least value of the array); code 255 means none.
 NONE = 255
 END = b""
 U64 = np.uint64
-
-
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
 END_HASH = xxhash.xxh3_64_intdigest(END)
 
 
@@ -70,6 +62,56 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+#: Bytes hashed at once; longer words are hashed alone.
+HASH_BYTES, BASE = 1 << 20, 0x9E3779B97F4A7C15
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: A number for each byte, the same for upper and lower case.
+BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([i]).lower(), 1) for i in range(256)], U64)
+
+
+@cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2^64."""
+    both = [np.full(HASH_BYTES + 1, x & (2**64 - 1), U64) for x in (BASE, pow(BASE, -1, 2**64))]
+    for x in both:
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    return both[0], both[1]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (as ``words_of``) of texts that lie in ``data`` one after the other, and how many each text has.
+
+    A word b of n bytes has the hash of sum(BYTE[b(i)] * BASE^-i): a difference of prefix sums, so no word is touched by itself.
+    """
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    inside = np.concatenate([[False], ~SPACE[data], [False]])
+    begin, end = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    begin[edges] = inside[1:-1][edges]
+    end[edges - 1] = inside[1:-1][edges - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    out, k = np.empty(len(starts), U64), 0
+    forward, inverse = powers()
+    while k < len(starts):
+        at = starts[k]
+        last = int(np.searchsorted(ends, at + HASH_BYTES, "right"))
+        if last == k:
+            out[k] = xxhash.xxh3_64_intdigest(data[at : ends[k]].tobytes().lower())
+            k += 1
+            continue
+        part = BYTE[data[at : ends[last - 1]]]
+        part *= inverse[: len(part)]
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(part, dtype=U64)])
+        s, e = starts[k:last] - at, ends[k:last] - at
+        h = (sums[e] - sums[s]) * forward[s] + (e - s).astype(U64)
+        h ^= h >> U64(32)
+        h *= U64(0xD6E8FEB86659FD93)
+        out[k:last] = h ^ (h >> U64(32))
+        k = last
+    return out, np.diff(np.searchsorted(starts, offsets))
+
+
 # --- Elias-Fano -----------------------------------------------------------------------------------
 
 
@@ -186,9 +228,13 @@ def write_arrays(uri: str, head: dict, arrays: list[np.ndarray]) -> None:
     system.move(aside, path)
 
 
-@cache
+@lru_cache(MAPPED)
 def mapped(uri: str) -> tuple[dict, list[np.ndarray]]:
-    """The arrays of a file, memory-mapped. A file of a store without local paths is copied to the task's host first."""
+    """The arrays of a file, memory-mapped.
+
+    A file of a store without local paths is copied to the worker's temporary folder first, and unlinked
+    there: its space is free again when ``MAPPED`` other files were read, or the worker ends.
+    """
     system, path = fs.FileSystem.from_uri(uri)
     if not isinstance(system, fs.LocalFileSystem):
         local = os.path.join(tempfile.gettempdir(), uuid.uuid4().hex)
@@ -227,22 +273,31 @@ def _unpacked(blob: bytes, n: int, *kinds: type) -> list[np.ndarray]:
 # --- Counting -------------------------------------------------------------------------------------
 
 
-def _token_slices(batches: Iterator[pa.RecordBatch], hashes: Hashes) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
-    """(hashes of all words with an end after each text, words per text with the end, ids of the texts) of slices."""
-    flat: list[int] = []
-    lengths, ids = [], []
+def _token_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
+    """(hashes of all words with an end after each text, words per text with the end, ids of the texts) of slices of whole texts."""
+    parts, sizes, ids, held = [], [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = words_of(text.as_py())
-            flat.extend([hashes[w] for w in words])
-            flat.append(END_HASH)
-            lengths.append(len(words) + 1)
-            ids.append(doc)
-            if len(flat) >= SLICE_TOKENS:
-                yield np.array(flat, U64), np.array(lengths), ids
-                flat, lengths, ids = [], [], []
-    if lengths:
-        yield np.array(flat, U64), np.array(lengths), ids
+        text = batch.column(1).cast(pa.large_binary())
+        if not len(text):
+            continue
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        flat, counts = word_hashes(data, offsets)
+        ends = np.cumsum(counts)
+        flat = np.insert(flat, ends, U64(END_HASH))
+        ends, counts, docs, start = ends + np.arange(1, len(ends) + 1), counts + 1, batch.column(0).to_pylist(), 0
+        while start < len(docs):
+            before = int(ends[start - 1]) if start else 0
+            stop = min(int(np.searchsorted(ends, before + SLICE_TOKENS - held)) + 1, len(docs))
+            parts.append(flat[before : int(ends[stop - 1])])
+            sizes.append(counts[start:stop])
+            ids += docs[start:stop]
+            held, start = held + len(parts[-1]), stop
+            if held >= SLICE_TOKENS:
+                yield np.concatenate(parts), np.concatenate(sizes), ids
+                parts, sizes, ids, held = [], [], [], 0
+    if ids:
+        yield np.concatenate(parts), np.concatenate(sizes), ids
 
 
 ROWS = "piece int, n int, blob binary"
@@ -262,8 +317,7 @@ def vocabulary_piece(hashes: np.ndarray, pieces: int) -> np.ndarray:
 
 def _count_words(pieces: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for flat, _, _ in _token_slices(batches, hashes):
+        for flat, _, _ in _token_slices(batches):
             keys, counts = np.unique(flat, return_counts=True)
             yield _rows(vocabulary_piece(keys, pieces), [keys, counts.astype(np.int64)])
 
@@ -349,8 +403,7 @@ class Sequence:
 
 def _count_trigrams(words: Words, pieces: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for flat, lengths, _ in _token_slices(batches, hashes):
+        for flat, lengths, _ in _token_slices(batches):
             slice_ = Sequence.of(flat, lengths, words)
             s, begins, count, before = slice_.ids[slice_.at], slice_.begins, slice_.counts[slice_.at], slice_.before[slice_.at]
             second = np.append(s[1:], 0)
@@ -401,14 +454,15 @@ def _merge_trigrams(path: str, words: Words) -> Callable:
         distinct, inverse = np.unique(context, return_inverse=True)
         sum_of = words.counts(distinct)[0]
         share = np.where(kept, total - DISCOUNT, 0.0) / sum_of[inverse]
-        mass = np.bincount(inverse, share, len(distinct))
         # Level 3: under kept pairs, at their place among the kept.
         rank = np.cumsum(kept) - 1
         of = np.repeat(np.arange(len(pairs)), np.diff(np.append(start, len(pair))))
         deep = kept[of] & (seen >= PRUNE) & (third < words.types)
         node, share3 = rank[of[deep]], (seen[deep] - DISCOUNT) / total[of[deep]]
-        mass3 = np.bincount(node, share3, int(kept.sum()))
+        # What the codes give to the successors leaves the rest to the backoff: their sum is one.
         (code2, s2), (code3, s3) = quantised(share[kept]), quantised(share3)
+        mass = np.bincount(inverse[kept], levels(s2)[code2], len(distinct))
+        mass3 = np.bincount(node, levels(s3)[code3], int(kept.sum()))
         (code_back3, sb3), (code_back, sb) = quantised(np.maximum(1 - mass3, LEAST)), quantised(np.maximum(1 - mass, LEAST))
         code_back3[mass3 == 0] = NONE
         keys3 = node.astype(U64) * width + third[deep].astype(U64)
@@ -505,12 +559,13 @@ def fit(texts: DataFrame, path: str) -> Trie:
     """Count ``texts`` (columns doc_id, text) and write the trie below ``path``."""
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     pieces = max(1, -(-size // PIECE_BYTES))
-    merged = texts.mapInArrow(_count_words(pieces), ROWS).groupBy("piece").applyInArrow(_merge_words(path), "piece int, types long, tokens long").collect()
+    spread = lambda rows: rows.repartition(max(pieces, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "piece").groupBy("piece")
+    merged = spread(texts.mapInArrow(_count_words(pieces), ROWS)).applyInArrow(_merge_words(path), "piece int, types long, tokens long").collect()
     stats = {r.piece: r for r in merged}
     words = Words(path, [stats[i].types if i in stats else 0 for i in range(pieces)], [stats[i].tokens if i in stats else 0 for i in range(pieces)])
     pieces = max(1, -(-words.tokens // PIECE_TOKENS))
     schema = "piece int, context long, mass double, pairs long, triples long"
-    edges = texts.mapInArrow(_count_trigrams(words, pieces), ROWS).groupBy("piece").applyInArrow(_merge_trigrams(path, words), schema).collect()
+    edges = spread(texts.mapInArrow(_count_trigrams(words, pieces), ROWS)).applyInArrow(_merge_trigrams(path, words), schema).collect()
     mass: dict[int, float] = {}
     for r in sorted(edges, key=lambda r: (r.context, r.piece)):
         mass[r.context] = mass.get(r.context, 0.0) + r.mass
@@ -519,8 +574,8 @@ def fit(texts: DataFrame, path: str) -> Trie:
 
 def _score(trie: Trie) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, hashes = trie.words, Hashes()
-        for flat, lengths, ids in _token_slices(batches, hashes):
+        words = trie.words
+        for flat, lengths, ids in _token_slices(batches):
             count, p = trie.probabilities(Sequence.of(flat, lengths, words))
             at = np.cumsum(lengths) - lengths
             base = np.log10((count + 1.0) / (words.tokens + words.types + 1.0))
