@@ -83,7 +83,7 @@ def test_bpe(spark, tables):
 
 def test_packing(spark, tables):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
+    assert 49407 in tok.encode(dict(DOCS)[15], add_special_tokens=False).ids
     ids = lambda t: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
     got = rows_of(spark, "op3_packing", tables)
     whole = Counter((i, len(ids(t))) for i, t in DOCS)
@@ -106,6 +106,21 @@ def test_packing(spark, tables):
     assert len(windows) - sum(sum(n for _, n in p) for p in windows.values()) / 4096 <= 3  # a window for each partition
 
 
+def placed_by_rule(level, size, window, opening):
+    """(cost, choice) of the definition; None if no window has room."""
+
+    def cost(at):
+        after = level.copy()
+        if at:
+            after[at] -= 1
+        if at + size < window:
+            after[at + size] += 1
+        return int((after.astype(int) ** 2).sum())
+
+    able = [0] * opening + [h for h in range(1, window - size + 1) if level[h]]
+    return min(able, key=lambda h: (cost(h), -h)) if able else None
+
+
 def test_sum_of_squares_places_like_the_definition():
     from auditframe.llm.packing import SumOfSquares
 
@@ -113,24 +128,53 @@ def test_sum_of_squares_places_like_the_definition():
     for i in range(300):
         size = int(rng.integers(1, 20))
         level = packer.level.copy()
-
-        def cost(at):
-            after = level.copy()
-            if at:
-                after[at] -= 1
-            if at + size < window:
-                after[at + size] += 1
-            return int((after.astype(int) ** 2).sum())
-
-        able = [0, *[h for h in range(1, window - size + 1) if level[h]]]
-        best = min(able, key=lambda h: (cost(h), -h))
-        packer.add((i, 0, b"1234" * size, size), size)
+        best = placed_by_rule(level, size, window, True)
+        full = list(packer.add((i, 0, b"1234" * size, size)))
         expected = level.copy()
         if best:
             expected[best] -= 1
         if best + size < window:
             expected[best + size] += 1
-        assert (packer.level == expected).all()
+        assert (packer.level == expected).all() and len(full) == (best + size == window)
+
+
+@pytest.mark.parametrize("most, sizes", [(3, (1, 20)), (8, (1, 20)), (1, (11, 20)), (5, (11, 12)), (1000, (1, 6))])
+def test_sum_of_squares_with_few_windows(most, sizes):
+    from auditframe.llm.packing import SumOfSquares
+
+    rng, window = np.random.default_rng(2), 20
+    packer, out, docs = SumOfSquares(window, most), [], {}
+    for i in range(400):
+        n = int(rng.integers(*sizes))
+        docs[i] = rng.integers(0, 1000, n).astype("<u4").tobytes()
+        if len(docs[i]) // 4 < window and packer.count == most:  # a cut fills a window of the commonest level
+            if placed_by_rule(packer.level, n, window, False) is None:
+                at = max((h for h in range(1, window) if packer.level[h]), key=lambda h: (packer.level[h], h))
+                first, *more = packer.add((i, 0, docs[i], n))
+                assert len(first[-1][2]) // 4 == window - at
+                out += [first, *more]
+                continue
+        out += packer.add((i, 0, docs[i], n))
+        assert packer.count <= most and packer.count == packer.level.sum() == sum(map(len, packer.open.values()))
+    assert all(sum(len(x[2]) for x in w) == 4 * window for w in out)
+    out += packer.rest()
+    found = {}
+    for doc, start, data, total in sorted(x for w in out for x in w):
+        assert len(found.setdefault(doc, b"")) == 4 * start and total == len(docs[doc]) // 4
+        found[doc] += data
+    assert found == docs
+    assert len(out) == -(-sum(map(len, docs.values())) // (4 * window))  # less than one window of padding
+
+
+def test_chunks_fall_back():
+    from auditframe.llm.packing import Chunks
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, known = Tokenizer.from_file(path), Chunks(path)
+    words = ["plain", "a~b", "~", "x<|endoftext|>y", "", "\u00e9\u0301", "tab\tbed"]
+    known.mark = np.array([0, 1])  # as if the mark did not come back as one id
+    got = known.learn(set(words))
+    assert all(np.frombuffer(got[w], "<u4").tolist() == tok.encode(w, add_special_tokens=False).ids for w in words)
 
 
 def words_alike(a: str, b: str) -> float:
@@ -164,6 +208,84 @@ def test_near_duplicates(spark, tables, few):
     assert {i: of[i] for i in label} == label
 
 
+@pytest.mark.parametrize("low, high", [(0.8, 0.82), (0.82, 0.85), (0.85, 0.9), (0.9, 1.0)])
+@pytest.mark.parametrize("kinds", ["s", "i", "d", "sid"])
+def test_near_duplicate_recall_by_similarity(low, high, kinds):
+    """Words substituted, inserted and deleted: pairs of the band that share a bucket."""
+    import random
+
+    from auditframe.llm import neardup as nd
+
+    rng, hashes, found, n = random.Random(3), nd.WordHashes(), 0, 0
+    while n < 150:
+        a, b = [str(rng.randint(0, 5000)) for _ in range(rng.randint(60, 400))], []
+        rate = rng.uniform(1 - high, 1 - low)
+        for w in a:
+            kind = rng.choice(kinds) if rng.random() < rate else "k"
+            b += {"k": [w], "s": [f"z{rng.random()}"], "i": [w, f"z{rng.random()}"], "d": []}[kind]
+        if not low <= (nd.similarity_of(a, b, 0.8) or 0) < high:
+            continue
+        x, y = nd.sketch(*nd.labelled_shingles([a, b], hashes))
+        found, n = found + bool(set(x.tolist()) & set(y.tolist())), n + 1
+    assert found >= 0.9 * n, found / n
+
+
+@pytest.mark.parametrize("few", [300_000, 0])
+def test_crowded_buckets_lose_no_class(spark, few):
+    """A passage that many texts share fills buckets with unlike texts; pairs of near copies among them are found."""
+    import random
+
+    from auditframe.llm import neardup
+
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs, twin = [], {}
+    for i in range(120):
+        own = [f"w{rng.randint(0, 9999)}" for _ in range(60)]
+        docs.append((2 * i, f"{passage} {' '.join(own)}"))
+        if i % 3 == 0:
+            for k in rng.sample(range(60), 12):
+                own[k] = f"x{rng.randint(0, 9999)}"
+            docs.append((2 * i + 1, f"{passage} {' '.join(own)}"))
+            twin[2 * i + 1] = 2 * i
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_keys=few).collect()}
+    assert all(got[i] == i for i, _ in docs if i not in twin)
+    assert sum(got[i] == j for i, j in twin.items()) >= 0.95 * len(twin)
+
+
+def test_sketch_of_very_long_texts(monkeypatch):
+    from auditframe.llm import neardup as nd
+
+    texts = [["a", "b", "c", "d", "e", "f"], [f"w{i}" for i in range(500)], [f"w{i}" for i in range(3, 503)]]
+    monkeypatch.setattr(nd, "POSITION_BITS", 4)
+    whole = nd.sketch(*nd.labelled_shingles(texts, nd.WordHashes()))
+    for i, words in enumerate(texts):
+        assert (nd.sketch(*nd.labelled_shingles([words], nd.WordHashes()))[0] == whole[i]).all()
+    assert len(set(whole[1].tolist()) & set(whole[2].tolist())) > 20
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+@pytest.mark.parametrize("ids", ["all", "none", "clustered", "repeated"])
+def test_every_text_meets_its_successor(spark, monkeypatch, few, ids):
+    from auditframe.llm import fingerprints as fp
+
+    monkeypatch.setattr(fp, "RANGE_ROWS", 4)
+    monkeypatch.setattr(fp, "BLOCK", 3)
+    of = {"all": lambda i: i * 7 - 300, "none": lambda i: None, "clustered": lambda i: i if i < 60 else i * 10**15, "repeated": lambda i: i // 5}[ids]
+    docs = [(of(i), f"text {i * 37 % 90}") for i in range(90)]
+    got = fp.edited_pairs(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), broadcast_ranges=few).collect()
+    if ids == "none":  # in order of a hash: one cycle through all texts
+        follow = {r.text: r.next_text for r in got}
+        at, seen = got[0].text, []
+        for _ in docs:
+            seen.append(at)
+            at = follow[at]
+        assert sorted(seen) == sorted(t for _, t in docs) and at == seen[0]
+        return
+    order = sorted(docs)
+    assert sorted((r.doc_id, r.text, r.next_text) for r in got) == [(i, t, order[(k + 1) % 90][1]) for k, (i, t) in enumerate(order)]
+
+
 def test_fingerprints(spark, tables):
     got = rows_of(spark, "op5_fingerprints", tables)
     order = sorted(((i is not None, i or 0, (t or "")) for i, t in DOCS), key=lambda x: (x[0], x[1], x[2].encode()))
@@ -198,12 +320,12 @@ def test_line_dedup(spark, tables, few):
     from auditframe.llm import linededup
 
     docs = spark.read.parquet(f"{tables}/documents.parquet")
-    got = {(r.doc_id, r.n_chars): r for r in linededup.drop_recurring(docs, broadcast_keys=few).collect()}
+    got = {(r.doc_id, r.n_chars): r for r in linededup.drop_recurring(docs, broadcast_keys=few, read="n_read", dropped="n_dropped").collect()}
     boiler = {"All rights are reserved here."}
     for i, t in DOCS:
         r = got[(i, None if t is None else len(t))]
         if t is None:
-            assert r.text is None and r["__lines_dropped"] == 0
+            assert r.text is None and r["n_dropped"] == 0
             continue
         templated = re.sub(r"Read \d+ times since \d+ by us", "Read", t)
         first = {14: 0, 20: 1}.get(i)
@@ -225,16 +347,74 @@ def test_long_passages_recur_from_two_texts(spark, few):
     assert got == {i: "\n".join([own(i), *(passage[n] for n in names), short if i < 4 else "end"]) for i, names in want.items()}
 
 
-def test_template_tree():
-    from auditframe.llm.linededup import cluster, parse, token_bytes
+def tree_brute(docs, min_docs=4):
+    """The definition of the module, line by line."""
+    from auditframe.llm.linededup import ALIKE, FIELD, LEADING, LONG, LONG_DOCS, parse
 
-    lines = [f"user {n} signed in from the {c} door of building {k} today" for n, c, k in (("1", "north", "2"), ("22", "south", "9"), ("3", "east", "7"))]
-    other = "user 9 was never seen at all in these parts of town"
-    parsed = [parse(x) for x in [*lines, other]]
-    assert len({p[0] for p in parsed[:3]}) == 1
-    names = {line: c for line, c, _ in cluster([(p[1], token_bytes(p[2])) for p in parsed[:3]])}
-    assert len(set(names.values())) == 1
-    assert parse("too short") is None
+    texts = {}
+    for i, t in docs:
+        texts[t] = min(texts.get(t, i), i)
+    seen = {}
+    for t in texts:
+        for line in t.split("\n"):
+            if p := parse(line):
+                seen.setdefault(tuple(p[2]), set()).add(t)
+    leaf = lambda w: (len(w), w[:LEADING])
+    support = Counter()
+    for w, where in seen.items():
+        for p, t in enumerate(w):
+            support[leaf(w), p, t] += len(where)
+    able = {}
+    for w in seen:
+        v = len(w) - math.ceil(ALIKE * len(w) - 1e-9)
+        places = [(s if (s := support[leaf(w), p, t]) >= min_docs else 0, p) for p, t in enumerate(w) if t != FIELD]
+        mask = lambda out: (leaf(w), tuple(None if p in out else t for p, t in enumerate(w)))  # noqa: B023, E731
+        rare = {p for s, p in places if not s}
+        by_hash = sorted((s, p) for s, p in places)
+        able[w] = ([mask(rare)] if len(rare) <= v else []) + [mask({p for _, p in by_hash[:v]})]
+    counts = defaultdict(set)
+    for w, ts in able.items():
+        for t in ts:
+            counts[t] |= seen[w]
+    chosen = defaultdict(set)
+    for w, ts in able.items():
+        good = [t for t in dict.fromkeys(ts) if len(counts[t]) >= min_docs]
+        if good:
+            chosen[max(good, key=lambda t: (len(counts[t]), -ts.index(t)))].add(w)
+    keeper = {}
+    for ws in chosen.values():
+        who = min((t for w in ws for t in seen[w]), key=texts.get)
+        keeper |= {w: who for w in ws}
+    for w, where in seen.items():
+        if len(w) >= LONG and len(where) >= min(min_docs, LONG_DOCS):
+            keeper.setdefault(w, min(where, key=texts.get))
+    return {i: "\n".join(x for x in t.split("\n") if not ((p := parse(x)) and keeper.get(tuple(p[2]), t) != t)) for i, t in docs}
+
+
+@pytest.mark.parametrize("few, partitions", [(300_000, 3), (0, 3), (300_000, 17)])
+def test_template_tree_against_brute_force(spark, few, partitions):
+    import random
+
+    from auditframe.llm import linededup
+
+    rng = random.Random(5)
+    city, name = ["Rome", "Oslo", "Lima", "Bonn", "Kyiv"], [f"name{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)]
+    makers = [
+        lambda: f"Visit our shop in {rng.choice(city)} for the best prices of {rng.randint(1, 99)}",
+        lambda: f"Visit our shop with {rng.choice(name)} for the best prices of today",
+        lambda: f"Written by our own {rng.choice(name)} for readers of {rng.choice(city)} and all their friends in the wide world out there",
+        lambda: "All rights are reserved here",
+        lambda: f"one two {rng.choice(city)}",
+        lambda: " ".join(rng.choice(name[:6]) for _ in range(rng.randint(3, 25))),
+        lambda: " ".join(str(rng.randint(1, 9)) for _ in range(4)),
+        lambda: rng.choice(["", "two words", f"Seen on our site by {rng.choice(name)} and by {rng.choice(name)} and then shared with the others"]),
+    ]
+    docs = [(i, "\n".join(rng.choice(makers)() for _ in range(rng.randint(0, 7)))) for i in range(300)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(partitions)
+    got = {r.doc_id: r.text for r in linededup.drop_recurring(rows, broadcast_keys=few).collect()}
+    want = tree_brute(docs)
+    assert got == want and sum(map(len, want.values())) < 0.9 * sum(len(t) for _, t in docs)
+    assert linededup.parse("too short") is None
 
 
 def lm_brute(train: list[str], texts: list[str]):
@@ -246,7 +426,7 @@ def lm_brute(train: list[str], texts: list[str]):
         c2.update(zip(s, s[1:]))
         c3.update(zip(s, s[1:], s[2:]))
     n, v = sum(c.values()), len(c)
-    k2, k3 = {k: x for k, x in c2.items() if x >= 2}, {k: x for k, x in c3.items() if x >= 2}
+    k2, k3 = c2, {k: x for k, x in c3.items()}
     m2, m3 = Counter(), Counter()
     for (a, _), x in k2.items():
         m2[a] += (x - 0.75) / c[a]
@@ -385,6 +565,54 @@ def test_pii_finds_what_follows_learned_contexts(spark, tables):
     assert spans[1] == "" and "id:" not in spans[14]
 
 
+def test_pii_bootstraps_from_context_to_context(spark):
+    """Seeds after one word reveal plain ids there; those reveal a second word, and that one further ids; then in any context."""
+    from auditframe.llm import pii
+
+    plain = [f"1000{i}7{i}" for i in range(9)]
+    docs = [f"login u{i}@c.example.com today" for i in range(4)] + [f"login {x} today" for x in plain[:3]] + [f"handle {x} now" for x in plain[:7]]
+    docs += [f"about {plain[5]} once", "about 1999999 once"] + [f"costs {i}00.000 each" for i in range(9)] + [f"the {x} thing" for x in plain[7:]] + ["the other one"] * 9
+    rows = pii.find(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    found = {docs[r.doc_id][x.start : x.end] for r in rows for x in r.extra}
+    assert found == set(plain[:7])
+    assert [x for r in rows if docs[r.doc_id].startswith("about") for x in r.extra] != []
+
+
+def test_pii_long_contexts_and_keys(spark):
+    from auditframe.llm import pii
+
+    word, key = "w" * 200, "k" * 60
+    docs = [f"{word} u{i}@c.example.com" for i in range(4)] + [f"{word}\n\t 77001{i}" for i in range(3)] + [f"{key}=u{i}@c.example.com" for i in range(4)] + [f"{key}=secret{'x' * i}" for i in range(1, 4)]
+    rows = pii.find(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {docs[r.doc_id][x.start : x.end] for r in rows for x in r.extra} == {f"77001{i}" for i in range(3)} | {"secret" + "x" * i for i in range(1, 4)}
+
+
+def test_pii_scores_like_the_definition(spark, tmp_path):
+    import random
+
+    from auditframe.llm import pii
+
+    rng = random.Random(1)
+    edges = {(f"p{rng.randint(0, 11)}", rng.randint(0, 40)): rng.randint(1, 3) for _ in range(160)}
+    seed = {v: rng.choice([0.0, 0.0, 0.8, 1.0]) for v in range(41)}
+    total = Counter()
+    for (p, _), n in edges.items():
+        total[p] += n
+    total = {p: float(n + rng.choice([0, 0, 5])) for p, n in total.items()}
+    score = dict.fromkeys(total, 0.0)
+    value = dict(seed)
+    for _ in range(pii.ROUNDS):
+        new = {p: sum(n * value[v] for (q, v), n in edges.items() if q == p) / total[p] if sum(value[v] >= pii.KNOWN for q, v in edges if q == p) >= pii.SEEDS else 0.0 for p in total}
+        moved = max(abs(new[p] - score[p]) for p in total)
+        score = new
+        value = {v: max([seed[v], *(score[q] for q, u in edges if u == v)]) for v in seed}
+        if moved < pii.STILL:
+            break
+    e = spark.createDataFrame([(p, v, n, seed[v]) for (p, v), n in edges.items()], "pattern string, value long, n long, seed double")
+    got = pii.scored(e, spark.createDataFrame(list(total.items()), "pattern string, total double"), f"file://{tmp_path}/s")
+    assert {r.pattern: round(r.score, 9) for r in got.collect()} == {p: round(x, 9) for p, x in score.items()}
+
+
 def test_pii_mask(spark, tables):
     from auditframe.llm import pii
 
@@ -410,6 +638,47 @@ def test_toxicity(spark, tables):
     assert np.mean([x > y for x in a for y in b]) > 0.9
 
 
+def test_toxicity_scores_like_the_definition(spark, tables):
+    """Features and trees, value by value, of the fitted model."""
+    from auditframe.llm import toxicity as tx
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    model = tx.trained(spark, tables, docs)
+    assert model.trees and model.lexicon
+
+    def odds(word):
+        w = tx.folded(word)
+        return max([model.lexicon.get(u, 0.0) for u in [w + " ", *(w[:n] for n in tx.STEMS if len(w) >= n)]] + [0.0])
+
+    def brute(text):
+        tokens = text.split()
+        if not tokens:
+            x = [0.0] * len(tx.FEATURES)
+        else:
+            o, you, n = [odds(w) for w in tokens], [tx.folded(w) in tx.SECOND_PERSON for w in tokens], len(tokens)
+            strong = [i for i, v in enumerate(o) if v >= tx.STRONG_ODDS]
+            near = sum(any(you[j] for j in range(max(0, i - tx.NEAR), min(n, i + tx.NEAR + 1))) for i in strong)
+            kinds = Counter(tx._kinds()[ord(c)] for c in text)
+            inner = [w.strip(tx.EDGES) for w in tokens]
+            mixed = [any(c.isalpha() for c in w) and not w.replace("'", "").replace("-", "").isalpha() for w in inner]
+            top = sorted(o)[-3:]
+            x = [len(strong) / n, sum(tx.LEAST_ODDS <= v < tx.STRONG_ODDS for v in o) / n, len(strong), max(o), sum(top), sum(o) / n, near / n, sum(you) / n,
+                 kinds[2] / max(1, kinds[1] + kinds[2]), kinds[5] / len(text), kinds[6] / len(text), kinds[3] / len(text), sum(mixed) / n, 1 - len(set(tokens)) / n, math.log1p(n)]
+        raw = model.base
+        for feature, threshold, value in model.trees:
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 1 + (x[feature[at]] > threshold[at])
+            raw += value[at - len(feature)]
+        xs, ys = model.steps
+        return 0.999 * float(np.interp(raw, xs, ys)) + 0.001 / (1 + math.exp(-raw))
+
+    small = {i: t or "" for i, t in DOCS if i is not None and i != 7 and len(t or "") < 5000}
+    got = {r.doc_id: r.score for r in tx.score(docs, model).collect()}
+    close = [abs(got[i] - brute(t)) < 1e-6 for i, t in small.items()]
+    assert np.mean(close) > 0.97  # a sum in another order may cross a threshold
+
+
 def test_isotonic_is_monotone_and_pools():
     from auditframe.llm.toxicity import isotonic
 
@@ -427,6 +696,45 @@ def test_rare_ngrams_keep_a_probability():
         assert (back > 0).all() and (back <= p * (1 + 1e-6)).all() and (back >= p * 10 ** (-1.01 / steps)).all()
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 64])
+def test_word_hashes(monkeypatch, piece):
+    from auditframe.llm import lm
+
+    monkeypatch.setattr(lm, "HASH_BYTES", piece)
+    lm.powers.cache_clear()
+    texts = [t or "" for _, t in DOCS] + ["\x1ca \x85b\u00a0c", "Aa aA AA", " ", "z"]
+    data = [t.encode() for t in texts]
+    got, counts = lm.word_hashes(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    words = [lm.words_of(t) for t in texts]
+    lm.powers.cache_clear()
+    assert counts.tolist() == [len(w) for w in words]
+    known = dict(zip((w for ws in words for w in ws), got.tolist()))
+    assert [known[w] for ws in words for w in ws] == got.tolist() and len(set(known.values())) == len(known)
+
+
+def test_successors_and_backoff_sum_to_one(spark, tmp_path):
+    """Of a context whose successors lie in one piece: what the codes give away is what the backoff lacks, however frequent it is."""
+    from auditframe.llm import lm
+
+    class Counts:
+        types, tokens = 50, 10**8 + 100
+
+        def counts(self, ids):
+            return np.where(ids == 1, 10**8, 2), None
+
+    third = np.arange(2, 42)
+    seen = np.where(third == 2, 10**8 - 39, 1)
+    blob = lm._packed(np.full(40, 1 * 51 + 1, np.uint64), third.astype(np.uint32), seen.astype(np.uint32))
+    group = lm.pa.table({"piece": lm.pa.array([0], lm.pa.int32()), "n": lm.pa.array([40], lm.pa.int32()), "blob": lm.pa.array([blob], lm.pa.binary())})
+    lm._merge_trigrams(f"file://{tmp_path}", Counts())((lm.pa.scalar(0, lm.pa.int32()),), group)
+    head, arrays = lm.mapped(f"file://{tmp_path}/trie-0")
+    code3, back3 = arrays[10], arrays[11]
+    share = lm.levels(head["steps"][1])[code3]
+    assert (share > 0).all() and len(share) == 40
+    left = 1 - share.sum()
+    assert 0 < left and abs(np.log10(lm.levels(head["steps"][2])[back3][0] / left)) <= 1.01 / head["steps"][2]
+
+
 def test_elias_fano():
     from auditframe.llm.lm import EliasFano
 
