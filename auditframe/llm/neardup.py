@@ -8,11 +8,13 @@ resemblance J of the shingles, two texts share a pair of one function with proba
 J^2 (1 + 2 (1 - J) + 1.5 (1 - J)^2), order aside, which is 0.14 at J = 0.2, about that of two texts
 of which every fifth word differs.
 
-Equal sketches put texts into a bucket. Each text of a bucket is a candidate partner of its
-two ends (smallest and largest digest), which for up to three texts are all pairs; in larger
-buckets also of its successor when the texts are ordered by another sketch, which places alike
-texts side by side. After verification, buckets that still hold texts of several classes are
-compared again, by one text of each class and in another order, until a round links nothing.
+Equal sketches put texts into a bucket. First each text is compared with one other, the
+smallest digest of all its buckets, which joins most of a large group of copies at the cost of one
+comparison a text. Then buckets that hold texts of several classes go on, one text of each class
+standing for it: each is compared with the two ends of its bucket in an order by hash (for up to
+three texts these are all pairs) and with its successors in two orders by another sketch, which
+place alike texts side by side; in other orders in each turn, until a turn links no more than one
+in ``WORTH`` of its candidates.
 Candidates grow with the number of texts, never with the square of a bucket.
 
 Candidates are verified by banded alignment of their words: the edit distance within a band
@@ -50,7 +52,7 @@ from auditframe.llm.components import components
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 20
 #: Pairs of the three sampled shingles, and so buckets of each text for each hash function.
 PAIRS = 3
-BROADCAST_KEYS, HOT = 300_000, 200_000
+BROADCAST_KEYS, HOT, WORTH = 300_000, 200_000, 1000
 SLICE_CHARS, CACHE_WORDS = 600_000, 200_000
 #: Bits for a place in a text while a hash function samples; longer texts get as many as they need.
 POSITION_BITS = 24
@@ -246,32 +248,38 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text).alias("node"), text.alias("text"))
     known = stored(rows.mapInArrow(_sketches, "doc_id long, node binary, n int, sketches array<long>"), f"{path}/sketches")
     nodes = known.groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    nearby = F.get("sketches", (F.col("i") + PAIRS * (SKETCHES // 2) + 1) % (PAIRS * SKETCHES))
-    entries = nodes.select("node", "n", "sketches", F.posexplode("sketches").alias("i", "bucket")).select("bucket", nearby.alias("near"), F.struct("node", "n").alias("who"))
-    ends = entries.groupBy("bucket").agg(F.min("who").alias("lo"), F.max("who").alias("hi"), F.count("*").alias("m")).filter("lo.node <> hi.node")
-    shared = stored(entries.join(ends, "bucket"), f"{path}/shared")
-    crowded = shared.filter("m > 3").select("bucket", "near", "who", "m")
-    pairs = _pairs(shared, ["lo", "hi"], similarity).unionByName(_pairs(_next(crowded, "near"), ["next"], similarity))
+    # Buckets are found by lean numbers; u only brings the few texts back that share one.
+    entries = nodes.select(F.xxhash64("node").alias("u"), F.explode("sketches").alias("bucket"))
+    several = stored(entries.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), f"{path}/buckets")
+    orders = F.array(*[F.get("sketches", F.lit(PAIRS * k)) for k in range(SKETCHES)]).alias("orders")
+    lean = entries.join(few(several, broadcast_keys), "bucket").distinct()
+    shared = stored(lean.join(nodes.select(F.xxhash64("node").alias("u"), F.struct("node", "n").alias("who"), orders), "u").drop("u"), f"{path}/shared")
+    lo = shared.groupBy("bucket").agg(F.min("who").alias("lo"))
+    pairs = _pairs(shared.join(lo, "bucket").select("who", "lo"), ["lo"], similarity).groupBy("a").agg(F.min("b").alias("b"))
     found, tried, turn = None, None, 0
     while True:
         turn += 1
         pairs = pairs.groupBy(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).agg(F.max("b").alias("b"))
         if tried is not None:
-            pairs = pairs.join(tried.select("x", "y"), ["x", "y"], "left_anti")
+            pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = stored(pairs.select("x", "y", F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b"), f"{path}/pairs{turn}")
         new = stored(_verify(rows, pairs, similarity, broadcast_keys, f"{path}/{turn}"), f"{path}/links{turn}")
-        if turn > 1 and not new.limit(1).count():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        n = new.count()
         found = new if found is None else found.unionByName(new)
-        labels = stored(components(found), f"{path}/labels{turn}")
+        if n or turn == 1:
+            labels = stored(components(found), f"{path}/labels{turn}")
+        if turn > 1 and n * WORTH <= pairs.count():
+            break
+        tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
         # Buckets whose texts are of several classes: one text of each class goes on.
-        named = crowded.select("bucket", F.col("who.node").alias("node"), "who").join(few(labels, broadcast_keys), "node", "left")
-        one = named.groupBy("bucket", F.coalesce("label", "node").alias("label")).agg(F.min("who").alias("who"))
+        near = F.struct(*[F.get("orders", F.lit((2 * turn + k) % SKETCHES)).alias(f"o{k}") for k in range(2)]).alias("near")
+        named = shared.select("bucket", F.col("who.node").alias("node"), "who", near).join(few(labels, broadcast_keys), "node", "left")
+        one = named.groupBy("bucket", F.coalesce("label", "node").alias("label")).agg(F.min("who").alias("who"), F.min_by("near", "who").alias("near"))
         order = F.xxhash64("who.node", F.lit(turn))
         ends = one.groupBy("bucket").agg(F.min_by("who", order).alias("lo"), F.max_by("who", order).alias("hi"), F.count("*").alias("m")).filter("m > 1")
-        again = one.join(ends, "bucket").withColumn("near", order)
-        pairs = _pairs(again, ["lo", "hi"], similarity).unionByName(_pairs(_next(again, "near"), ["next"], similarity))
+        again = stored(one.join(ends, "bucket"), f"{path}/again{turn}")
+        beside = [_pairs(_next(again.filter("m > 3"), f"near.o{k}"), ["next"], similarity) for k in range(2)]
+        pairs = _pairs(again, ["lo", "hi"], similarity).unionByName(beside[0]).unionByName(beside[1])
     return known.select("doc_id", "node"), labels
 
 
