@@ -81,7 +81,7 @@ def labelled_shingles(words: list[list[str]], hashes: WordHashes, size: int = SH
     flat = np.zeros(int(filled.sum()), np.uint64)
     ends = np.cumsum(filled)
     for w, end, n in zip(words, ends, filled):
-        flat[end - n : end - n + len(w)] = np.fromiter((hashes[x] for x in w), np.uint64, len(w))
+        flat[end - n : end - n + len(w)] = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
     rolled = np.zeros(len(flat) - size + 1, np.uint64)
     for j in range(size):
         rolled = rolled * np.uint64(PHI) + flat[j : len(flat) - size + 1 + j]
