@@ -47,7 +47,7 @@ VOCABULARY, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Windows of a partition that are partly filled at any time.
 OPEN = 1024
 #: Distinct chunks in each of the two generations of the cache; pieces in an output batch.
-CACHE_CHUNKS, BATCH_IDS = 400_000, 1_000_000
+CACHE_CHUNKS, BATCH_IDS = 700_000, 1_000_000
 #: Characters whose chunks are looked up at once; new chunks tokenised together, and what stands between them.
 SLICE_CHARS, TOGETHER, MARK = 1_000_000, 2_000, "~"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
