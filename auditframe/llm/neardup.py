@@ -230,7 +230,8 @@ def node_of(text) -> "F.Column":
 def _pairs(members: DataFrame, others: list[str], similarity: float) -> DataFrame:
     """(a, b) of the candidates in ``members``: column ``who`` (node, n) with each of the columns ``others``; ``b`` is the end that many may share."""
     longer = F.greatest("who.n", "to.n")
-    both = members.select("who", F.explode(F.array(*others)).alias("to")).filter((F.col("who.node") != F.col("to.node")) & (F.abs(F.col("who.n") - F.col("to.n")) <= (1 - similarity) * longer + 1e-9))
+    to = F.col(others[0]) if len(others) == 1 else F.explode(F.array(*others))
+    both = members.select("who", to.alias("to")).filter((F.col("who.node") != F.col("to.node")) & (F.abs(F.col("who.n") - F.col("to.n")) <= (1 - similarity) * longer + 1e-9))
     both = both.groupBy(F.greatest("who.node", "to.node").alias("x"), F.least("who.node", "to.node").alias("y")).agg(F.max("to.node").alias("b"))
     return both.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b")
 
