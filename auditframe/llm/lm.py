@@ -45,7 +45,7 @@ from auditframe.llm.common import shared_dir, table
 
 PRUNE, DISCOUNT = 1, 0.75
 #: Tokens counted at once in a map task; bytes of text per vocabulary piece, tokens per trie piece.
-SLICE_TOKENS, PIECE_BYTES, PIECE_TOKENS = 1_500_000, 24_000_000, 4_000_000
+SLICE_TOKENS, PIECE_BYTES, PIECE_TOKENS = 1_200_000, 24_000_000, 4_000_000
 #: Mapped files that a worker keeps open.
 MAPPED = 1024
 #: Backoff of a context whose successors leave nothing but a rounding error.
@@ -195,10 +195,21 @@ class EliasFano:
         most = len(self.high) * 64 - self.n - 1  # zeros there are
         inside = np.flatnonzero(upper < most)
         upper, goal = upper[inside], values[inside] & U64((1 << self.bits) - 1)
-        a, end = self._bucket(upper)
+        at, end = self._bucket(upper)
         end = np.minimum(end, self.n)
-        b = end.copy()
-        live = np.flatnonzero(a < b)
+        # Most buckets hold one value or two: look at the first ones in turn, and bisect what is left.
+        live = np.flatnonzero(at < end)
+        at, end, goal, where = at[live], end[live], goal[live], inside[live]
+        for _ in range(3):
+            low = self.lower(at)
+            hit = low == goal
+            out[where[hit]] = at[hit]
+            live = np.flatnonzero((low < goal) & (at + 1 < end))
+            at, end, goal, where = at[live] + 1, end[live], goal[live], where[live]
+            if not len(at):
+                return out
+        a, b = at, end.copy()
+        live = np.arange(len(a))
         while len(live):
             middle = (a[live] + b[live]) >> 1
             less = self.lower(middle) < goal[live]
@@ -207,7 +218,7 @@ class EliasFano:
             live = live[a[live] < b[live]]
         hit = np.flatnonzero(a < end)
         hit = hit[self.lower(a[hit]) == goal[hit]]
-        out[inside[hit]] = a[hit]
+        out[where[hit]] = a[hit]
         return out
 
 
@@ -282,20 +293,23 @@ def _token_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
             continue
         offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
         data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-        flat, counts = word_hashes(data, offsets)
-        ends = np.cumsum(counts)
-        flat = np.insert(flat, ends, U64(END_HASH))
-        ends, counts, docs, start = ends + np.arange(1, len(ends) + 1), counts + 1, batch.column(0).to_pylist(), 0
-        while start < len(docs):
-            before = int(ends[start - 1]) if start else 0
-            stop = min(int(np.searchsorted(ends, before + SLICE_TOKENS - held)) + 1, len(docs))
-            parts.append(flat[before : int(ends[stop - 1])])
-            sizes.append(counts[start:stop])
-            ids += docs[start:stop]
-            held, start = held + len(parts[-1]), stop
-            if held >= SLICE_TOKENS:
-                yield np.concatenate(parts), np.concatenate(sizes), ids
-                parts, sizes, ids, held = [], [], [], 0
+        begin = 0
+        while begin < len(text):  # texts of about four times HASH_BYTES
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + 4 * HASH_BYTES, "right")) - 1)
+            flat, counts = word_hashes(data, offsets[begin : end + 1])
+            flat, counts, docs = np.insert(flat, np.cumsum(counts), U64(END_HASH)), counts + 1, batch.column(0).slice(begin, end - begin).to_pylist()
+            begin = end
+            ends, start = np.cumsum(counts), 0
+            while start < len(docs):
+                before = int(ends[start - 1]) if start else 0
+                stop = min(int(np.searchsorted(ends, before + SLICE_TOKENS - held)) + 1, len(docs))
+                parts.append(flat[before : int(ends[stop - 1])])
+                sizes.append(counts[start:stop])
+                ids += docs[start:stop]
+                held, start = held + len(parts[-1]), stop
+                if held >= SLICE_TOKENS:
+                    yield np.concatenate(parts), np.concatenate(sizes), ids
+                    parts, sizes, ids, held = [], [], [], 0
     if ids:
         yield np.concatenate(parts), np.concatenate(sizes), ids
 
@@ -531,8 +545,12 @@ class Trie:
             for i in np.unique(where):
                 _, triples, _, _, (code3, level3), _, _ = self._piece(i)
                 at = np.flatnonzero(where == i)
-                found = triples.find(target[at])
-                p[deep[at[found >= 0]]] += level3[code3[found[found >= 0]]]
+                # Sorted and once each: neighbours in the file are read together.
+                sought, back = np.unique(target[at], return_inverse=True)
+                found = triples.find(sought)
+                share3 = np.zeros(len(sought))
+                share3[found >= 0] = level3[code3[found[found >= 0]]]
+                p[deep[at]] += share3[back]
         real = ~starts[1:]
         return count[1:][real], p[real]
 
