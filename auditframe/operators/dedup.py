@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions.numeric import div
+from auditframe.operators.running import running
 
 
 def overlap_matrix(index: DataFrame) -> DataFrame:
@@ -32,46 +36,95 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+#: Places of a thumb: distinct words by their hash.
+THUMB = 32
+
+
 def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, sig): 64-bit signature of each row's text, from all its distinct words: the signs of their summed hash bits.
+    """(id, sig, thumb): 64-bit signature of each row's text, from all its distinct words: the signs of their summed hash bits.
 
-    Words are what single spaces separate; a null text is the empty text; equal texts are hashed once.
+    ``thumb``: how many of the words fall into each of ``THUMB`` places, a second signal of another hash. Words are what single spaces separate; a null text is the empty text; equal texts are hashed once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("key"))
     words = rows.groupBy("key").agg(F.first("text").alias("text")).select("key", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    words = words.select("key", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 16), 16, -10).cast("long").alias("h"))
-    ones = words.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))).alias(f"o{i}") for i in range(64)])
+    digest = F.md5(F.col("word").cast("binary"))
+    words = words.select("key", F.conv(F.substring(digest, 1, 16), 16, -10).cast("long").alias("h"), (F.conv(F.substring(digest, 17, 2), 16, 10).cast("int") % THUMB).alias("place"))
+    places = [F.count_if(F.col("place") == i).alias(f"p{i}") for i in range(THUMB)]
+    ones = words.groupBy("key").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))).alias(f"o{i}") for i in range(64)], *places)
     sig = F.lit(0).cast("long")
     for i in range(64):
         sig = sig.bitwiseOR(F.shiftleft((2 * F.col(f"o{i}") > F.col("n")).cast("long"), i))
-    return rows.select("id", "key").join(ones.select("key", sig.alias("sig")), "key").select("id", "sig")
+    thumb = F.array(*[F.col(f"p{i}").cast("double") for i in range(THUMB)])
+    return rows.select("id", "key").join(ones.select("key", sig.alias("sig"), thumb.alias("thumb")), "key").select("id", "sig", "thumb")
+
+
+def bands(most: int, equal: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of ``most + equal`` bands of 64 bits: if ``most`` bits differ or fewer, ``equal`` bands agree."""
+    n = most + equal
+    edges = [64 * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def near_pairs(signatures: DataFrame, most: int = 6) -> DataFrame:
-    """(a, b, distance) of distinct items whose 64-bit signatures differ in ``most`` bits or fewer.
+def agreeing_bands(n: int, most: int) -> int:
+    """How many bands must agree, so that their bits tell ``n`` items apart, with 1,000 keys for each item at most."""
+    equal = 1
+    while 64 * equal // (most + equal) < math.log2(max(n, 2)) and math.comb(most + equal + 1, equal + 1) <= 1000:
+        equal += 1
+    return equal
 
-    Exact: with more bands than bits allowed to differ, one band agrees. Bands are the keys of an
-    equi-join; items with equal signatures are collapsed first, so copies make no pairs of pairs:
-    ``members`` says whom each item stands for.
+
+def near_pairs(signatures: DataFrame, most: int = 6, correlation: float | None = None, equal: int | None = None) -> DataFrame:
+    """(a, b, distance[, correlation]) of distinct items whose 64-bit signatures differ in ``most`` bits or fewer.
+
+    With a column ``thumb`` (numbers) and a least ``correlation``, Pearson's coefficient of the two must reach it too.
+    Exact: of ``most + equal`` bands, ``equal`` agree; every choice of them is a key of an equi-join, and a pair is kept by
+    the first choice that it agrees in. Keys grow wider with the number of items (``agreeing_bands``), so that few
+    unlike items share one. Equal items are collapsed first, so copies make no pairs of pairs: ``members`` says whom each
+    item stands for.
     """
-    if not 0 <= most < 16:
-        raise ValueError(f"between 0 and 15 bits may differ, not {most}")
-    bands = 8 if most < 8 else 16
-    width = 64 // bands
-    items = signatures.groupBy("sig").agg(F.min("id").alias("id"))
-    parts = F.array(*[F.shiftrightunsigned(F.col("sig"), width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(bands)])
-    keyed = items.select("id", "sig", F.posexplode(parts).alias("band", "value"))
-    other = keyed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), "band", "value")
-    first = F.array(*[F.shiftrightunsigned(F.col("sig").bitwiseXOR(F.col("sig_b")), width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(bands)])
-    pairs = keyed.join(other, ["band", "value"]).filter(F.col("id") < F.col("b")).filter(F.array_position(first, F.lit(0).cast("long")) == F.col("band") + 1)
-    return pairs.select(F.col("id").alias("a"), "b", hamming(F.col("sig"), F.col("sig_b")).alias("distance")).filter(F.col("distance") <= most)
+    if not 0 <= most < 32:
+        raise ValueError(f"between 0 and 31 bits may differ, not {most}")
+    own = [c for c in ("sig", "thumb") if c in signatures.columns]
+    items = signatures.groupBy(*own).agg(F.min("id").alias("id"))
+    if equal is None:
+        equal = agreeing_bands(items.count(), most)
+    parts = bands(most, equal)
+    choices = list(itertools.combinations(range(len(parts)), equal))
+    bits = lambda sig, i: F.shiftrightunsigned(sig, parts[i][0]).bitwiseAND(F.lit((1 << parts[i][1]) - 1 if parts[i][1] < 64 else -1))
+
+    def key(choice: tuple[int, ...]) -> Column:
+        out = F.lit(0).cast("long")
+        for i in choice:
+            out = F.shiftleft(out, parts[i][1]).bitwiseOR(bits(F.col("sig"), i)) if parts[i][1] < 64 else bits(F.col("sig"), i)
+        return out
+
+    keyed = items.select("id", *own, F.posexplode(F.array(*[key(c) for c in choices])).alias("choice", "value"))
+    other = keyed.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in own], "choice", "value")
+    x = F.col("sig").bitwiseXOR(F.col("sig_b"))
+    agree = F.filter(F.array(*[F.when(bits(x, i) == 0, F.lit(i)) for i in range(len(parts))]), lambda i: i.isNotNull())
+    lists = F.array(*[F.array(*map(F.lit, c)) for c in choices])
+    pairs = keyed.join(other, ["choice", "value"]).filter((F.col("id") < F.col("b")) & (F.bit_count(x) <= most)).filter(F.slice(agree, 1, equal) == F.get(lists, F.col("choice")))
+    pairs = pairs.withColumn("distance", hamming(F.col("sig"), F.col("sig_b")).cast("int"))
+    if correlation is None:
+        return pairs.select(F.col("id").alias("a"), "b", "distance")
+    return pairs.select(F.col("id").alias("a"), "b", "distance", pearson(F.col("thumb"), F.col("thumb_b")).alias("correlation")).filter(F.col("correlation") >= correlation)
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson's coefficient of two arrays; NULL if one is constant."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    n = F.size(a)
+    cov = total(F.zip_with(a, b, lambda x, y: x * y)) - total(a) * total(b) / n
+    var = lambda x: total(F.transform(x, lambda v: v * v)) - total(x) * total(x) / n
+    return div(cov, F.sqrt(var(a) * var(b)))
 
 
 def members(signatures: DataFrame) -> DataFrame:
-    """(id, representative) of every item: the smallest id with its signature."""
-    least = signatures.groupBy("sig").agg(F.min("id").alias("representative")).withColumnRenamed("sig", "of")
-    return signatures.join(least, F.col("sig").eqNullSafe(F.col("of"))).select("id", "representative")
+    """(id, representative) of every item: the smallest id with its signature (and thumb)."""
+    own = [c for c in ("sig", "thumb") if c in signatures.columns]
+    least = signatures.groupBy(*own).agg(F.min("id").alias("representative"))
+    return signatures.join(least, own).select("id", "representative")
 
 
 def with_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -81,18 +134,20 @@ def with_copies(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def pair_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(distance, n): pairs of items, counted from ``pairs`` of representatives and the numbers of their copies."""
+    """(distance, correlation, n): pairs of items, counted from ``pairs`` of representatives and the numbers of their copies (which correlate fully)."""
+    known = F.col("correlation") if "correlation" in pairs.columns else F.lit(None).cast("double")
     m = members.groupBy("representative").agg(F.count("*").alias("m"))
     a, b = m.select(F.col("representative").alias("a"), F.col("m").alias("ma")), m.select(F.col("representative").alias("b"), F.col("m").alias("mb"))
-    apart = pairs.join(a, "a").join(b, "b").select(F.col("distance").cast("int").alias("distance"), (F.col("ma") * F.col("mb")).alias("n"))
-    equal = m.filter("m > 1").select(F.lit(0).alias("distance"), F.expr("m * (m - 1) div 2").alias("n"))
-    return apart.unionByName(equal).groupBy("distance").agg(F.sum("n").alias("n"))
+    apart = pairs.join(a, "a").join(b, "b").select(F.col("distance").cast("int").alias("distance"), known.alias("correlation"), (F.col("ma") * F.col("mb")).alias("n"))
+    equal = m.filter("m > 1").select(F.lit(0).alias("distance"), F.lit(1.0).alias("correlation"), F.expr("m * (m - 1) div 2").alias("n"))
+    return apart.unionByName(equal).groupBy("distance", "correlation").agg(F.sum("n").alias("n"))
 
 
-def threshold_grid(counts: DataFrame, distances: list[int]) -> DataFrame:
-    """(most, n): pairs within each distance, from ``pair_counts``."""
-    grid = counts.sparkSession.createDataFrame([(d,) for d in distances], "most int")
-    return F.broadcast(grid).join(counts, F.col("distance") <= F.col("most"), "left").groupBy("most").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+def threshold_grid(counts: DataFrame, distances: list[int], correlations: list[float]) -> DataFrame:
+    """(most, least, n): pairs within each distance and of each correlation or more, from ``pair_counts``."""
+    grid = counts.sparkSession.createDataFrame([(d, float(c)) for d in distances for c in correlations], "most int, least double")
+    enough = (F.col("distance") <= F.col("most")) & (F.col("correlation") >= F.col("least"))
+    return F.broadcast(grid).join(counts, enough, "left").groupBy("most", "least").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def cosine_blocks(items: DataFrame, n_blocks: int) -> DataFrame:
@@ -111,10 +166,16 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.max("cosine").alias("cosine"))
 
 
+class NotConverged(RuntimeError):
+    """Labels still change after the rounds allowed."""
+
+
 def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, label): smallest id reached by links (a, b). Minima travel and jump until nothing changes; lineage is cut each round."""
+    """(id, label): smallest id reached by links (a, b). Minima travel and jump until nothing changes; lineage is cut each round. If ``rounds`` do not suffice, this raises."""
     spark = links.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="auditframe-"))
@@ -125,11 +186,10 @@ def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
         step = labels.join(near, labels.id == near.a).select("id", "label", F.least("label", "m").alias("new"))
         jump = step.select("id", "label", "new").join(labels.select(F.col("id").alias("new"), F.col("label").alias("far")), "new", "left")
         step = jump.select("id", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label")).checkpoint()
-        changed = step.filter("old <> label").limit(1).count()
         labels = step.select("id", "label")
-        if not changed:
-            break
-    return labels
+        if not step.filter("old <> label").limit(1).count():
+            return labels
+    raise NotConverged(f"labels still change after {rounds} rounds")
 
 
 def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -185,8 +245,8 @@ def chi_square(rows: DataFrame, row: str, positive: Column) -> DataFrame:
 def mann_whitney(rows: DataFrame, value: str, first: Column) -> DataFrame:
     """One row (n1, n2, u, z): U of the first sample by average ranks; z with tie and continuity correction."""
     counts = rows.groupBy(value).agg(F.sum(first.cast("long")).alias("a"), F.count("*").alias("m"))
-    below = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select("a", "m", (F.coalesce(F.sum("m").over(below), F.lit(0)) + (F.col("m") + 1) / 2.0).alias("rank"))
+    counts = running(counts.withColumn("upto", F.col("m")), [], value, ["upto"])
+    ranked = counts.select("a", "m", (F.col("upto") - F.col("m") + (F.col("m") + 1) / 2.0).alias("rank"))
     s = ranked.agg(F.sum("a").alias("n1"), F.sum("m").alias("n"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("m") * F.col("m") * F.col("m") - F.col("m")).alias("ties"))
     n1, n2, n = F.col("n1"), F.col("n") - F.col("n1"), F.col("n")
     s = s.select(n1.alias("n1"), n2.alias("n2"), (F.col("r1") - n1 * (n1 + 1) / 2.0).alias("u"), "n", "ties")

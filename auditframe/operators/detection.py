@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions.numeric import div, iou
+from auditframe.operators.bootstrap import group_index, weights
+from auditframe.operators.running import running
 
 
 def overlaps(lesions: DataFrame, detections: DataFrame, threshold: float) -> DataFrame:
@@ -43,20 +45,48 @@ def greedy_match(lesions: DataFrame, detections: DataFrame, threshold: float = 0
 def average_precision(rows: DataFrame, positives: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_pos, ap): all-point interpolated; ``rows``: (keys, score, det_id, tp), ``positives``: (keys, n_pos).
 
-    The envelope is the largest precision at this rank or behind it.
+    The envelope is the largest precision at this rank or behind it. Ranks and envelopes run over
+    distinct scores in two levels; a window sorts the detections of one score only.
     """
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "det_id")
-    ranked = rows.select(*keys, "score", "det_id", "tp", F.sum(F.col("tp").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("hits"), F.row_number().over(order).alias("r"))
-    best = F.max(F.col("hits") / F.col("r").cast("double")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    area = ranked.select(*keys, F.when(F.col("tp"), best).otherwise(0.0).alias("gain")).groupBy(*keys).agg(F.sum("gain").alias("gain"))
-    if keys:
-        joined = positives.join(area, keys, "left")
-    else:
-        joined = positives.join(area)
+    by_score = rows.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.sum(F.col("tp").cast("long")).alias("hits"))
+    start = running(by_score, keys, "score", ["n", "hits"], descending=True).select(*keys, "score", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("hits_before", F.lit(0)).alias("hits_before"))
+    tied = Window.partitionBy(*keys, "score")
+    seen = tied.orderBy("det_id").rowsBetween(Window.unboundedPreceding, 0)
+    rank = (F.col("n_before") + F.count("*").over(seen)).cast("double")
+    ranked = rows.join(start, [*keys, "score"]).select(*keys, "score", "det_id", "tp", ((F.col("hits_before") + F.sum(F.col("tp").cast("long")).over(seen)) / rank).alias("precision"))
+    peak = running(ranked.groupBy(*keys, "score").agg(F.max("precision").alias("peak")), keys, "score", ["peak"], largest=True).select(*keys, "score", F.col("peak_before").alias("behind"))
+    best = F.max("precision").over(tied.orderBy(F.desc("det_id")).rowsBetween(Window.unboundedPreceding, 0))
+    gains = ranked.select(*keys, "score", "tp", best.alias("best")).filter("tp").join(peak, [*keys, "score"])
+    area = gains.groupBy(*keys).agg(F.sum(F.greatest("best", "behind")).alias("gain"))
+    joined = positives.join(area, keys, "left") if keys else positives.join(area)
     value = F.when(F.col("n_pos") > 0, F.coalesce("gain", F.lit(0.0)) / F.col("n_pos"))
     return joined.select(*keys, "n_pos", value.alias("ap"))
 
 
+def resampled_average_precision(rows: DataFrame, lesions: DataFrame, keys: list[str], seed: int, n_boot: int) -> tuple[DataFrame, DataFrame]:
+    """``(values, samples)`` of the average precision by groups drawn with replacement: (keys, statistic, v), (keys, b, statistic, v).
+
+    ``rows``: (keys, group_key, score, tp), ``lesions``: one row for each positive, (keys, group_key). Detections of one
+    score enter together, so a resample costs as many rows as there are distinct scores. No detections: 0; no
+    positives in a resample: NULL.
+    """
+    index = group_index(rows.select("group_key").unionByName(lesions.select("group_key")))
+    n = index.count()
+    counts = rows.groupBy(*keys, "group_key", "score").agg(F.count("*").alias("n"), F.sum(F.col("tp").cast("long")).alias("hits")).join(index, "group_key")
+    positives = lesions.groupBy(*keys, "group_key").agg(F.count("*").alias("n_pos")).join(index, "group_key")
+    w = weights(index, n, seed, n_boot).unionByName(index.select(F.lit(-1).alias("b"), "g", F.lit(1).cast("long").alias("w")))
+
+    times = lambda c: F.sum(F.col(c) * F.col("w")).alias(c)
+    curve = counts.join(w, "g").groupBy(*keys, "b", "score").agg(times("n"), times("hits"))
+    total = positives.join(w, "g").groupBy(*keys, "b").agg(times("n_pos"))
+    down = Window.partitionBy(*keys, "b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*keys, "b").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    curve = curve.select(*keys, "b", "score", "hits", (F.sum("hits").over(down) / F.sum("n").over(down)).alias("precision"))
+    area = curve.select(*keys, "b", (F.col("hits") * F.max("precision").over(up)).alias("gain")).groupBy(*keys, "b").agg(F.sum("gain").alias("gain"))
+    ap = total.join(area, [*keys, "b"], "left").select(*keys, "b", F.lit("ap").alias("statistic"), div(F.coalesce("gain", F.lit(0.0)), F.col("n_pos")).alias("v"))
+    return ap.filter("b < 0").drop("b"), ap.filter("b >= 0")
+
+
 def false_positives(images: DataFrame, matched: DataFrame, threshold: float) -> DataFrame:
     """(image_id, group_key, fp) of every image, those without boxes included."""
     counted = matched.filter(F.col("lesion_id").isNull() & (F.col("score") >= threshold)).groupBy("image_id").agg(F.count("*").alias("fp"))
@@ -67,8 +97,7 @@ def froc(lesions: DataFrame, matched: DataFrame, n_images: int, rates: list[floa
     """(level, fp_rate, sensitivity) at the lowest threshold within each false-positive budget per image."""
     spark = lesions.sparkSession
     by_score = matched.groupBy("score").agg(F.sum(F.col("lesion_id").isNull().cast("long")).alias("fp"))
-    run = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = by_score.select("score", F.sum("fp").over(run).alias("fp"))
+    steps = running(by_score, [], "score", ["fp"], descending=True)
     budget = spark.createDataFrame([(float(r),) for r in rates], "fp_rate double")
     cut = F.broadcast(budget).join(steps, F.col("fp") / F.lit(float(n_images)) <= F.col("fp_rate"), "left").groupBy("fp_rate").agg(F.min("score").alias("threshold"))
     scored = lesions.join(matched.filter("lesion_id IS NOT NULL").select("image_id", "lesion_id", "score"), ["image_id", "lesion_id"], "left")

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditframe.functions.numeric import div
+from auditframe.operators.running import running
 
 
 def auc(rows: DataFrame, score: str, positive: Column, keys: list[str]) -> DataFrame:
     """(keys, n_pos, n_neg, auc): Mann-Whitney with ties counted half, from counts per distinct score."""
     counts = rows.groupBy(*keys, F.col(score).alias("_score")).agg(F.sum(positive.cast("long")).alias("_pos"), F.sum((~positive).cast("long")).alias("_neg"))
-    below = Window.partitionBy(*keys).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("_pos") * (2 * F.coalesce(F.sum("_neg").over(below), F.lit(0)) + F.col("_neg"))
-    rows = counts.select(*keys, "_pos", "_neg", wins.alias("_wins")).groupBy(*keys).agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"), F.sum("_wins").alias("_wins"))
+    counts = running(counts, keys, "_score", ["_neg"])
+    below = F.coalesce("_neg_before", F.lit(0))
+    own = F.col("_neg") - below
+    rows = counts.groupBy(*keys).agg(F.sum("_pos").alias("n_pos"), F.sum(own).alias("n_neg"), F.sum(F.col("_pos") * (2 * below + own)).alias("_wins"))
     return rows.select(*keys, "n_pos", "n_neg", div(F.col("_wins"), 2 * F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
@@ -82,15 +84,14 @@ def recalibration(rows: DataFrame, iterations: int = 100, tolerance: float = 1e-
 def risk_coverage(rows: DataFrame) -> DataFrame:
     """(confidence, coverage, risk) at each distinct confidence, highest first."""
     counts = rows.groupBy("confidence").agg(F.count("*").alias("n"), F.sum((~F.col("correct")).cast("long")).alias("wrong"))
-    run = Window.orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = counts.agg(F.sum("n").alias("total"))
-    seen = counts.select("confidence", F.sum("n").over(run).alias("n"), F.sum("wrong").over(run).alias("wrong"))
+    seen = running(counts, [], "confidence", ["n", "wrong"], descending=True)
     return seen.join(F.broadcast(total)).select("confidence", div(F.col("n"), F.col("total")).alias("coverage"), div(F.col("wrong"), F.col("n")).alias("risk"))
 
 
 def aurc(curve: DataFrame) -> DataFrame:
-    before = F.coalesce(F.lag("coverage").over(Window.orderBy(F.desc("confidence"))), F.lit(0.0))
-    return curve.select(((F.col("coverage") - before) * F.col("risk")).alias("area")).agg(F.sum("area").alias("aurc"))
+    step = running(curve.select("confidence", "risk", "coverage"), [], "confidence", ["coverage"], descending=True, largest=True)
+    return step.agg(F.sum((F.col("coverage") - F.coalesce("coverage_before", F.lit(0.0))) * F.col("risk")).alias("aurc"))
 
 
 def operating_point(rows: DataFrame, constraint: str, target: float, coverage: float = 1.0) -> DataFrame:
@@ -105,18 +106,15 @@ def operating_point(rows: DataFrame, constraint: str, target: float, coverage: f
     strict = constraint == "specificity"
     of = rows.filter(F.col("y") == (0 if strict else 1))
     counts = of.groupBy("p").agg(F.count("*").alias("n"))
-    order = F.asc("p") if strict else F.desc("p")
-    run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = counts.agg(F.sum("n").alias("total"))
-    seen = counts.select("p", F.sum("n").over(run).alias("seen")).join(F.broadcast(total)).filter(F.col("seen") >= F.ceil(F.lit(target) * F.col("total")))
+    seen = running(counts, [], "p", ["n"], descending=not strict).select("p", F.col("n").alias("seen")).join(F.broadcast(total)).filter(F.col("seen") >= F.ceil(F.lit(target) * F.col("total")))
     at = seen.groupBy("total").agg((F.min if strict else F.max)("p").alias("threshold"), F.min(F.struct("seen")).alias("first"))
     at = at.select("threshold", F.lit(strict).alias("strict"), div(F.col("first.seen"), F.col("total")).alias("fitted"))
     if coverage >= 1:
         return at.withColumn("margin", F.lit(None).cast("double"))
     near = rows.join(F.broadcast(at.select("threshold"))).groupBy(F.abs(F.col("p") - F.col("threshold")).alias("d")).agg(F.count("*").alias("n"))
-    run = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = near.agg(F.sum("n").alias("total"))
-    margin = near.select("d", F.sum("n").over(run).alias("seen")).join(F.broadcast(total)).filter(F.col("seen") >= F.ceil(F.lit(1 - coverage) * F.col("total"))).agg(F.min("d").alias("margin"))
+    margin = running(near, [], "d", ["n"]).select("d", F.col("n").alias("seen")).join(F.broadcast(total)).filter(F.col("seen") >= F.ceil(F.lit(1 - coverage) * F.col("total"))).agg(F.min("d").alias("margin"))
     return at.join(F.broadcast(margin))
 
 

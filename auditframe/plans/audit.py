@@ -11,7 +11,7 @@ from auditframe.operators import detection as de
 from auditframe.operators import mapping as mp
 from auditframe.operators import records as rc
 from auditframe.operators import splits as sp
-from auditframe.operators.bootstrap import Resampled
+from auditframe.operators.bootstrap import Resampled, estimate
 from auditframe.sources import fixtures as fx
 
 SEED, N_BOOT, IOU, SCORE = 20261009, 2000, 0.5, 0.3
@@ -75,6 +75,13 @@ def ap_pooled(spark, d):
     return _r(de.average_precision(rows, les.agg(F.count("*").alias("n_pos")), []), "ap")
 
 
+def ap_interval(spark, d):
+    """Pooled average precision with an interval over resampled groups; detections of one score enter together."""
+    _, les, _, matched = _matched(spark, d)
+    rows = matched.select("group_key", "score", F.col("lesion_id").isNotNull().alias("tp"))
+    return estimate(*de.resampled_average_precision(rows, les.select("group_key"), [], SEED, N_BOOT), [])
+
+
 def ap_by_level(spark, d):
     """Per level, with lesions of other levels ignored: a hit on one is neither right nor wrong."""
     out = None
@@ -137,8 +144,17 @@ def near_pairs(spark, d):
     return dd.with_copies(*_near(spark, d))
 
 
+def near_pairs_two_signals(spark, d):
+    """Near pairs that both signals declare: signature and correlation of the thumbs."""
+    signatures = _signatures(spark, d)
+    pairs = dd.near_pairs(signatures, 6, 0.95)
+    return dd.with_copies(pairs, dd.members(signatures))
+
+
 def threshold_grid(spark, d):
-    return dd.threshold_grid(dd.pair_counts(*_near(spark, d, 10)), [0, 2, 4, 6, 8, 10])
+    signatures = _signatures(spark, d)
+    counts = dd.pair_counts(dd.near_pairs(signatures, 10, -1.0), dd.members(signatures))
+    return dd.threshold_grid(counts, [0, 2, 4, 6, 8, 10], [0.8, 0.9, 0.95])
 
 
 def nn_cosine(spark, d):
@@ -249,8 +265,8 @@ def not_computable_ledger(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    iou_pairs, greedy_match, detection_sens, fp_per_image, froc, ap_pooled, ap_by_level, enumeration_pr, tooth_inventory, content_overlap_matrix, exact_elsewhere,
-    within_subset_dups, near_pairs, threshold_grid, nn_cosine, recovered_groups, recovered_group_sizes, split_sensitivity, pair_quality, prevalence_by_cluster,
+    iou_pairs, greedy_match, detection_sens, fp_per_image, froc, ap_pooled, ap_interval, ap_by_level, enumeration_pr, tooth_inventory, content_overlap_matrix, exact_elsewhere,
+    within_subset_dups, near_pairs, near_pairs_two_signals, threshold_grid, nn_cosine, recovered_groups, recovered_group_sizes, split_sensitivity, pair_quality, prevalence_by_cluster,
     chi2_stat, chi2_yates, mann_whitney_u, summary_counts, record_round_trip, findings_by_reader, constraint_counts, label_mapping_classify, tooth_numbers,
     domain_shift_delta, not_computable_ledger,
 )}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditframe.plans.evaluation_sql import CONTENT, EVENTS, READINGS, SEED, UNITS, _difference, boot, h, r
+from auditframe.plans.evaluation_sql import CONTENT, EVENTS, N_BOOT, READINGS, SEED, UNITS, _difference, boot, ending, h, r
 from auditframe.plans.evaluation_sql import LEVEL_FINALS, LEVEL_SUMS
 
 BOXES = f"""{UNITS},
@@ -26,10 +26,16 @@ MATCH = f"{BOXES}, {matching('mt', '0')}"
 AP = f"""rk AS (SELECT *, sum(tp) OVER (PARTITION BY k ORDER BY score DESC, det_id ROWS UNBOUNDED PRECEDING) AS hits, row_number() OVER (PARTITION BY k ORDER BY score DESC, det_id) AS rn FROM hit),
 env AS (SELECT k, tp, max(hits::DOUBLE / rn) OVER (PARTITION BY k ORDER BY score DESC, det_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM rk)"""
 TEETH = "((floor(y1 / 40)::INT % 4 + 1) * 10 + floor(x1 / 50)::INT % 8 + 1)"
-SIG = """sg AS (SELECT doc_id AS id, list_reduce(list_transform(string_split(text, ' ')[1:16], lambda w: ('0x' || substr(md5(w), 1, 1))::UBIGINT), lambda a, x: ((a & 1152921504606846975::UBIGINT) << 4) | x, 0::UBIGINT) AS sig FROM documents),
-it AS (SELECT sig, min(id) AS id FROM sg GROUP BY 1),
-bd AS (SELECT id, sig, unnest(list_transform(range(16), lambda i: i * 16 + ((sig >> (4 * i)::UBIGINT) & 15::UBIGINT)::BIGINT)) AS band FROM it)"""
-NEAR = f"{SIG}, np AS (SELECT x.id AS a, y.id AS b, bit_count(xor(x.sig, y.sig))::INT AS distance FROM it x JOIN it y ON x.id < y.id WHERE bit_count(xor(x.sig, y.sig)) <= 10)"
+#: Signatures and thumbs of whole texts; all pairs of documents, without any collapsing; the smallest document with each signature.
+SIG = f"""wd AS (SELECT doc_id AS id, unnest(list_distinct(string_split(coalesce(text, ''), ' '))) AS word FROM documents),
+hs AS (SELECT id, ('0x' || substr(md5(word), 1, 16))::UBIGINT AS h, ('0x' || substr(md5(word), 17, 2))::BIGINT % 32 AS place FROM wd),
+sg AS (SELECT id, ({' + '.join(f"CASE WHEN 2 * sum(((h >> {i}::UBIGINT) & 1::UBIGINT)::BIGINT) > count(*) THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END" for i in range(64))})::UBIGINT AS sig,
+  [{', '.join(f"(count(*) FILTER (place = {i}))::DOUBLE" for i in range(32))}] AS thumb FROM hs GROUP BY id),
+rp AS (SELECT id, min(id) OVER (PARTITION BY sig, thumb) AS rep FROM sg)"""
+NEAR = f"""{SIG}, np AS (SELECT x.id AS a, y.id AS b, x.thumb AS ta, y.thumb AS tb, bit_count(xor(x.sig, y.sig))::INT AS distance FROM sg x JOIN sg y ON x.id < y.id WHERE bit_count(xor(x.sig, y.sig)) <= 10),
+nc AS (SELECT *, CASE WHEN ta = tb THEN 1.0::DOUBLE ELSE (list_dot_product(ta, tb) - list_sum(ta) * list_sum(tb) / 32) / nullif(sqrt((list_dot_product(ta, ta) - list_sum(ta) * list_sum(ta) / 32) * (list_dot_product(tb, tb) - list_sum(tb) * list_sum(tb) / 32)), 0) END AS correlation FROM np)"""
+NEAR_ROWS = """SELECT a, b, distance FROM nc JOIN rp ra ON a = ra.id JOIN rp rb ON b = rb.id WHERE ra.rep = a AND rb.rep = b AND distance <= 6 AND {}
+UNION ALL SELECT rep, id, 0 FROM rp WHERE id <> rep"""
 COMPONENTS = f"""{NEAR}, lk AS (SELECT a, b FROM np WHERE distance <= 6 UNION SELECT b, a FROM np WHERE distance <= 6),
 reach AS (SELECT a AS id, a AS label FROM lk UNION SELECT reach.id, lk.b FROM reach JOIN lk ON reach.label = lk.a),
 labels AS (SELECT id, min(label) AS label FROM reach GROUP BY 1)"""
@@ -50,6 +56,13 @@ cut AS (SELECT fp_rate, min(score) AS threshold FROM (VALUES (0.05), (0.1), (0.2
 sc AS (SELECT level, m.score FROM les LEFT JOIN (SELECT image_id, lesion_id, score FROM mt WHERE lesion_id IS NOT NULL) m USING (image_id, lesion_id))
 SELECT level, fp_rate::DOUBLE AS fp_rate, {r('(count(*) FILTER (score >= threshold))::DOUBLE / count(*)', 'sensitivity')} FROM sc, cut GROUP BY 1, 2""",
     "ap_pooled": f"WITH {MATCH}, hit AS (SELECT 0 AS k, score, det_id, (lesion_id IS NOT NULL)::INT AS tp FROM mt), {AP} SELECT (SELECT count(*) FROM les) AS n_pos, {r('(SELECT sum(e) FROM env WHERE tp = 1) / (SELECT count(*) FROM les)', 'ap')}",
+    "ap_interval": f"""WITH {MATCH}, idx AS (SELECT group_key, row_number() OVER (ORDER BY group_key) - 1 AS g FROM (SELECT group_key FROM det UNION SELECT group_key FROM les)), n AS (SELECT count(*) AS n FROM idx),
+w AS (SELECT b, (('0x' || substr(md5('{SEED}:' || b || ':' || slot), 1, 8))::BIGINT % n) AS g, count(*) AS w FROM n, range({N_BOOT}) t(b), LATERAL (SELECT unnest(range(n)) AS slot) GROUP BY 1, 2 UNION ALL SELECT -1, g, 1 FROM idx),
+cn AS (SELECT group_key, score, count(*) AS n, count(*) FILTER (lesion_id IS NOT NULL) AS hits FROM mt GROUP BY 1, 2), ps AS (SELECT group_key, count(*) AS n_pos FROM les GROUP BY 1),
+cv AS (SELECT b, score, sum(w * n) AS n, sum(w * hits) AS hits FROM cn JOIN idx USING (group_key) JOIN w USING (g) GROUP BY 1, 2), tp AS (SELECT b, sum(w * n_pos) AS n_pos FROM ps JOIN idx USING (group_key) JOIN w USING (g) GROUP BY 1),
+pr AS (SELECT b, score, hits, (sum(hits) OVER d)::DOUBLE / sum(n) OVER d AS precision FROM cv WINDOW d AS (PARTITION BY b ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+gn AS (SELECT b, sum(hits * e) AS gain FROM (SELECT b, hits, max(precision) OVER (PARTITION BY b ORDER BY score ROWS UNBOUNDED PRECEDING) AS e FROM pr) GROUP BY 1),
+ap AS (SELECT b, coalesce(gain, 0) / nullif(n_pos, 0)::DOUBLE AS v FROM tp LEFT JOIN gn USING (b)), val AS (SELECT 'ap' AS statistic, v FROM ap WHERE b < 0), smp AS (SELECT b, 'ap' AS statistic, v FROM ap WHERE b >= 0){ending([], 0.95)}""",
     "ap_by_level": f"""WITH {BOXES}, {matching('m1', '(level <> 1)::INT')}, {matching('m2', '(level <> 2)::INT')},
 hit AS (SELECT 1 AS k, score, det_id, (lesion_id IS NOT NULL)::INT AS tp FROM m1 LEFT JOIN les USING (image_id, lesion_id) WHERE level IS NULL OR level = 1
   UNION ALL SELECT 2, score, det_id, (lesion_id IS NOT NULL)::INT FROM m2 LEFT JOIN les USING (image_id, lesion_id) WHERE level IS NULL OR level = 2), {AP},
@@ -62,8 +75,9 @@ SELECT n_true, n_pred, correct, {r('correct::DOUBLE / n_pred', 'precision')}, {r
     "content_overlap_matrix": f"WITH {CONTENT}, c AS (SELECT DISTINCT subset, sha FROM content) SELECT x.subset AS a, y.subset AS b, count(*) AS shared FROM c x JOIN c y ON x.sha = y.sha AND x.subset < y.subset GROUP BY 1, 2",
     "exact_elsewhere": f"WITH {CONTENT} SELECT subset, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM content y WHERE y.sha = x.sha AND y.subset <> x.subset)) AS elsewhere FROM content x GROUP BY 1",
     "within_subset_dups": f"WITH {CONTENT}, c AS (SELECT subset, sha, count(*) AS n FROM content GROUP BY 1, 2 HAVING count(*) > 1) SELECT subset, count(*) AS contents, sum(n)::BIGINT AS files FROM c GROUP BY 1",
-    "near_pairs": f"WITH {NEAR} SELECT a, b, distance FROM np WHERE distance <= 6",
-    "threshold_grid": f"WITH {NEAR} SELECT most::INT AS most, count(distance)::BIGINT AS n FROM (VALUES (0), (2), (4), (6), (8), (10)) g(most) LEFT JOIN np ON distance <= most GROUP BY 1",
+    "near_pairs": f"WITH {NEAR} {NEAR_ROWS.format('true')}",
+    "near_pairs_two_signals": f"WITH {NEAR} {NEAR_ROWS.format('correlation >= 0.95')}",
+    "threshold_grid": f"WITH {NEAR} SELECT most::INT AS most, least::DOUBLE AS least, count(distance)::BIGINT AS n FROM (VALUES (0), (2), (4), (6), (8), (10)) g(most) CROSS JOIN (VALUES (0.8), (0.9), (0.95)) c(least) LEFT JOIN nc ON distance <= most AND correlation >= least GROUP BY 1, 2",
     "nn_cosine": """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT x.id, max(list_cosine_similarity(x.v, y.v)) AS c FROM e x JOIN e y ON x.id <> y.id GROUP BY 1)
 SELECT floor(c * 100.0::DOUBLE + 0.0000001::DOUBLE)::INT AS bin, count(*) AS n FROM p GROUP BY 1""",
     "recovered_groups": f"{R} {COMPONENTS} SELECT id, label FROM labels",
@@ -71,7 +85,7 @@ SELECT floor(c * 100.0::DOUBLE + 0.0000001::DOUBLE)::INT AS bin, count(*) AS n F
     "split_sensitivity": f"""{R} {COMPONENTS}, im AS (SELECT doc_id AS id, (row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), doc_id::VARCHAR) - 0.5) / count(*) OVER () AS m FROM documents),
 pt AS (SELECT id, CASE WHEN m < 0.6 THEN 'train' WHEN m < 0.8 THEN 'val' ELSE 'test' END AS p FROM im), g AS (SELECT label, count(DISTINCT p) AS k FROM labels JOIN pt USING (id) GROUP BY 1)
 SELECT count(*) AS groups, count(*) FILTER (k > 1) AS straddling FROM g""",
-    "pair_quality": f"""WITH {NEAR}, d AS (SELECT a, b FROM np WHERE distance <= 6), t AS (SELECT d.* FROM d JOIN documents x ON a = x.doc_id JOIN documents y ON b = y.doc_id WHERE x.lang = y.lang),
+    "pair_quality": f"""WITH {NEAR}, d AS (SELECT a, b FROM np WHERE distance <= 6), t AS (SELECT x.doc_id AS a, y.doc_id AS b FROM documents x JOIN documents y ON x.doc_id < y.doc_id AND x.lang = y.lang),
 c AS (SELECT (SELECT count(*) FROM d) AS n_declared, (SELECT count(*) FROM t) AS n_true, (SELECT count(*) FROM (SELECT * FROM d INTERSECT SELECT * FROM t)) AS "both")
 SELECT n_declared, n_true, "both", {r('"both"::DOUBLE / nullif(n_declared, 0)', 'precision')}, {r('"both"::DOUBLE / nullif(n_true, 0)', 'recall')} FROM c""",
     "prevalence_by_cluster": f"WITH {UNITS} SELECT site, count(*) AS n, {r('avg((level > 0)::INT)', 'prevalence')} FROM units GROUP BY 1",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SEED, N_BOOT = 20261009, 200
+SEED, N_BOOT = 20261009, 2000
 
 
 def h(text: str) -> str:
