@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,7 +69,29 @@ def label_fdi(label: Column) -> Column:
     return (F.floor((label - 1) / 8) + 1) * 10 + (label - 1) % 8 + 1
 
 
+def region(fdi: Column) -> Column:
+    """Part of the mouth, by the tooth's place in its quadrant."""
+    place = fdi % 10
+    return F.when(place <= 2, "incisor").when(place == 3, "canine").when(place <= 5, "premolar").otherwise("molar")
+
+
 def grade_at(probs: Column, threshold: Column | float) -> Column:
     """Grade from class probabilities: sound below the threshold, else the likeliest lesion grade, the milder on ties."""
     lesion = F.slice(probs, F.lit(2), F.size(probs) - 1)
     return F.when(1 - probs[0] >= threshold, F.array_position(lesion, F.array_max(lesion)).cast("int")).otherwise(F.lit(0))
+
+
+def p_of_z(z: float) -> float:
+    """Two-sided p-value of a standard normal deviate."""
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def p_of_chi_square(x: float, df: int) -> float:
+    """Upper tail of the chi-square distribution, by its finite sums for whole degrees of freedom."""
+    if x <= 0:
+        return 1.0
+    half = x / 2
+    if df % 2 == 0:
+        return min(1.0, math.fsum(math.exp(-half + i * math.log(half) - math.lgamma(i + 1)) for i in range(df // 2)))
+    tail = (math.exp(-half + (i - 0.5) * math.log(half) - math.lgamma(i + 0.5)) for i in range(1, (df + 1) // 2))
+    return min(1.0, math.erfc(math.sqrt(half)) + math.fsum(tail))

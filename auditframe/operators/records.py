@@ -90,11 +90,11 @@ def validated(records: DataFrame) -> DataFrame:
     return records
 
 
-def check_inventory(records: DataFrame, min_unflagged: float = 0.05) -> float:
+def check_inventory(records: DataFrame, min_unflagged: float = 0.2) -> float:
     """Share of inventoried teeth without a finding; an inventory rebuilt from findings has none and raises."""
     flagged = F.array_intersect("teeth_present", F.array_distinct(F.transform("annotations", lambda a: a["tooth_fdi"])))
     one = records.filter("teeth_present IS NOT NULL").agg(F.sum(F.size(flagged)).alias("f"), F.sum(F.size("teeth_present")).alias("n")).first()
-    share = 1 - one.f / one.n if one.n else 1.0
+    share = 1 - one.f / one.n if one.n else 0.0
     if share < min_unflagged:
         raise InvalidRecord(f"only {share:.1%} of inventoried teeth have no finding: the inventory is not independent")
     return share
@@ -118,21 +118,22 @@ def summary(records: DataFrame) -> DataFrame:
     return one.join(two).join(as_map(images, "site_id")).join(as_map(flatten(records), "finding"))
 
 
-def from_readings(units: DataFrame, readings: DataFrame) -> DataFrame:
-    """Records of the fixtures: an annotation per reader and unit with a lesion."""
-    note = F.struct(F.col("uid"), F.col("rater"), F.col("grade"))
+def from_readings(units: DataFrame, readings: DataFrame, teeth: bool = False) -> DataFrame:
+    """Records of the fixtures: an annotation per reader and unit with a lesion; with ``teeth`` (``fdi`` of both tables) its tooth and an inventory."""
+    tooth = F.col("fdi") if teeth else F.lit(None).cast("int")
+    note = F.struct(F.col("uid"), F.col("rater"), F.col("grade"), tooth.alias("fdi"))
     lists = readings.groupBy("image_id").agg(F.array_sort(F.collect_set("rater")).alias("readers"), F.array_sort(F.collect_list(F.when(F.col("grade") > 0, note))).alias("notes"))
     null = lambda kind: F.lit(None).cast(kind)
     shallow = lambda a: a["grade"] == 1
     plain = F.transform("notes", lambda a: F.struct(
-        F.when(shallow(a), "caries").otherwise("deep_caries").alias("finding"), a["rater"].alias("annotator_id"), null(BOX).alias("bbox"), null("int").alias("tooth_fdi"),
+        F.when(shallow(a), "caries").otherwise("deep_caries").alias("finding"), a["rater"].alias("annotator_id"), null(BOX).alias("bbox"), a["fdi"].alias("tooth_fdi"),
         F.when(shallow(a), 1).otherwise(4).alias("stage"), F.lit(1.0).alias("confidence"), null("map<string,string>").alias("meta"),
     ))
-    images = units.groupBy("image_id").agg(F.min("site").alias("site_id"), F.min("age").alias("age"), F.min("sex").alias("sex"), F.min("group_key").alias("patient_id"))
+    images = units.groupBy("image_id").agg(F.min("site").alias("site_id"), F.min("age").alias("age"), F.min("sex").alias("sex"), F.min("group_key").alias("patient_id"), (F.sort_array(F.collect_set("fdi")) if teeth else F.lit(None).cast("array<int>")).alias("inventory"))
     rows = images.join(lists, "image_id")
     none = lambda kind: F.lit(None).cast(kind)
     return rows.select(
         "image_id", F.concat(F.lit("/x/"), "image_id", F.lit(".png")).alias("path"), "patient_id", F.lit("provided").alias("patient_id_source"), F.lit("ds").alias("dataset"), F.lit("bitewing").alias("modality"),
-        "readers", plain.alias("annotations"), "site_id", none("string").alias("device"), F.when(F.col("age") <= 120, F.col("age")).alias("age"), "sex", none("array<int>").alias("teeth_present"),
-        none("string").alias("teeth_present_source"), none("int").alias("width"), none("int").alias("height"), none("map<string,string>").alias("meta"),
+        "readers", plain.alias("annotations"), "site_id", none("string").alias("device"), F.when(F.col("age") <= 120, F.col("age")).alias("age"), "sex", F.col("inventory").alias("teeth_present"),
+        (F.lit("annotated") if teeth else none("string")).alias("teeth_present_source"), none("int").alias("width"), none("int").alias("height"), none("map<string,string>").alias("meta"),
     )

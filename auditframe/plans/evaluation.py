@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.functions.numeric import age_band, div, rounded
+from auditframe.functions.numeric import age_band, div, grade_at, region, rounded
 from auditframe.operators import agreement as ag
 from auditframe.operators import metrics as me
+from auditframe.operators import ratings as ra
+from auditframe.operators import records as rc
 from auditframe.operators import splits as sp
 from auditframe.operators.bootstrap import Resampled, difference, estimate
 from auditframe.sources import fixtures as fx
@@ -124,7 +126,12 @@ def pairwise_kappa_ci(spark, d):
 
 
 def fleiss(spark, d):
-    return _r(ag.fleiss(_readings(spark, d)), "kappa")
+    """Of the units that all readers graded."""
+    return _r(ag.fleiss(ag.complete(_readings(spark, d)), K), "kappa")
+
+
+def fleiss_ci(spark, d):
+    return Resampled(*ag.fleiss_sums(ag.complete(_readings(spark, d)), K), [], SEED, N_BOOT).estimates()
 
 
 def _alpha(metric):
@@ -152,16 +159,81 @@ def ceiling_difference(spark, d):
     return estimate(*difference(one["model"], one["ceiling"], paired=True), ["rater"])
 
 
+def _scored(spark, d):
+    """Readings with the model's score in whole percents, and its grade at the operating threshold."""
+    score = F.floor(F.col("p_lesion") * 100.0).cast("int")
+    return ra.aligned(_readings(spark, d), fx.units(spark, d).select("uid", score.alias("m"))).withColumnRenamed("m", "s")
+
+
+def _grade_at(t):
+    return (F.col("s") >= t).cast("int")
+
+
+def _curve(spark, scored):
+    return ag.sweep_curve(scored, spark.range(1, 100).select(F.col("id").cast("int").alias("t")), _grade_at, K, "linear")
+
+
 def kappa_sweep(spark, d):
-    """Mean kappa of the model with the readers at 19 thresholds, from counts by score."""
-    rows = ag.leave_one_out(_readings(spark, d))
-    scores = fx.units(spark, d).select("uid", F.floor(F.col("p_lesion") * 100.0).cast("int").alias("s"))
-    counts = rows.join(scores, "uid").groupBy("rater", "s", F.col("grade").alias("b")).agg(F.count("*").alias("n"))
-    grid = spark.range(1, 20).select((F.col("id") * 5).cast("int").alias("t"))
-    cells = counts.join(F.broadcast(grid)).withColumn("a", (F.col("s") >= F.col("t")).cast("int"))
-    summed = cells.groupBy("t", "rater").agg(*[F.sum(c * F.col("n")).alias(n) for n, c in ag.cell_sums(K).items()])
-    kappas = summed.select("t", "rater", ag.kappa_of_cells(K, "linear").alias("kappa"))
-    return _r(kappas.groupBy("t").agg(F.avg("kappa").alias("kappa")), "kappa")
+    """Mean kappa of the model with the readers at 99 thresholds, in percent."""
+    return _r(_curve(spark, _scored(spark, d)), "kappa")
+
+
+def kappa_sweep_summary(spark, d):
+    scored = _scored(spark, d)
+    return ag.sweep_summary(scored, _curve(spark, scored), int(THRESHOLD * 100), _grade_at, K, "linear", SEED, N_BOOT)
+
+
+def model_vs_readers(spark, d):
+    model = fx.units(spark, d).select("uid", (F.col("p_lesion") >= THRESHOLD).cast("int").alias("m"))
+    return ag.model_vs_readers(ra.aligned(_readings(spark, d), model), K, "linear", SEED, N_BOOT)
+
+
+# --- Ratings and tables from records ------------------------------------------------
+
+
+def _teeth(spark, d):
+    """Records with an inventory, and a prediction for each of its teeth."""
+    units = fx.with_teeth(fx.units(spark, d))
+    readings = fx.readings(units).join(units.select("uid", "fdi"), "uid")
+    records = rc.from_readings(units, readings, teeth=True)
+    return records, ra.restrict(fx.predictions(units), records)
+
+
+def tooth_ratings(spark, d):
+    return ra.tooth_ratings(_teeth(spark, d)[0]).groupBy("rater", "grade").agg(F.count("*").alias("n"))
+
+
+def image_ratings_from_records(spark, d):
+    return ra.image_ratings(_teeth(spark, d)[0]).groupBy("rater", "grade").agg(F.count("*").alias("n"))
+
+
+def tooth_table(spark, d):
+    """Reference grades of all teeth with the model's mean probability of a lesion and its calls."""
+    records, predictions = _teeth(spark, d)
+    rows = ra.tooth_table(records, predictions)
+    called = grade_at(F.col("probs"), 0.3)
+    return _r(rows.groupBy("reference").agg(F.count("*").alias("n"), F.count_distinct("group_key").alias("groups"), F.avg(ra.p_lesion(F.col("probs"))).alias("p"), F.sum((called > 0).cast("long")).alias("called")), "p")
+
+
+def tooth_table_of_reader(spark, d):
+    """As ``tooth_table`` by one reader, on the images that this reader read."""
+    records, predictions = _teeth(spark, d)
+    records = records.filter(F.array_contains("readers", "r1"))
+    rows = ra.tooth_table(records, ra.restrict(predictions, records), reader="r1")
+    return rows.groupBy("reference").agg(F.count("*").alias("n"))
+
+
+def region_crosstab(spark, d):
+    """Findings by part of the mouth, with the share of each part in its finding."""
+    rows = rc.flatten(_teeth(spark, d)[0]).groupBy("finding", region(F.col("tooth_fdi")).alias("region")).agg(F.count("*").alias("n"))
+    total = rows.groupBy("finding").agg(F.sum("n").alias("total"))
+    return _r(rows.join(F.broadcast(total), "finding").select("finding", "region", "n", div(F.col("n"), F.col("total")).alias("share")), "share")
+
+
+def per_image(spark, d):
+    """Findings and inventoried teeth of an image: median, largest number, images without."""
+    sizes = _teeth(spark, d)[0].select(F.explode(F.array(F.struct(F.lit("findings").alias("what"), F.size("annotations").alias("n")), F.struct(F.lit("teeth").alias("what"), F.size("teeth_present").alias("n")))).alias("x")).select("x.*")
+    return sizes.groupBy("what").agg(F.percentile("n", 0.5).alias("median"), F.max("n").alias("largest"), F.count_if(F.col("n") == 0).alias("without"))
 
 
 # --- Resampled rates ------------------------------------------------------------
@@ -304,7 +376,8 @@ def tripwire(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     boot_specificity_ci, split_patient_sizes, split_naive_sizes, split_stratified, split_kfold, leakage_measured, leakage_patient_clean, site_holdout_sizes,
-    test_seen_patient_rate, eligible_training, swap_sets, ratings_long, image_ratings, consensus, contingency, kappa_two_raters, pairwise_kappa_ci, fleiss,
+    test_seen_patient_rate, eligible_training, swap_sets, ratings_long, image_ratings, consensus, contingency, kappa_two_raters, pairwise_kappa_ci, fleiss, fleiss_ci,
+    tooth_ratings, image_ratings_from_records, tooth_table, tooth_table_of_reader, region_crosstab, per_image, kappa_sweep_summary, model_vs_readers,
     loo_ceiling, ceiling_difference, kappa_sweep, stratified_report, boot_bonferroni, subgroup_age, subgroup_sex, subgroup_cells, event_rate_ci, boot_diff_unpaired,
     auc_by_level, brier, ece_uniform, ece_quantile, reliability_curve, recalibration, risk_coverage, aurc, operating_point_sens, operating_point_spec, selective_eval, tripwire,
 )}

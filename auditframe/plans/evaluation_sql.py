@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 SEED, N_BOOT = 20261009, 2000
 
 
@@ -146,7 +148,57 @@ def _difference(ctes: str, a: tuple, b: tuple, keys: list[str]) -> str:
 val AS (SELECT {ks}statistic, a_val.v - b_val.v AS v FROM a_val JOIN b_val USING ({using})), smp AS (SELECT {ks}b, statistic, a_smp.v - b_smp.v AS v FROM a_smp JOIN b_smp USING ({using}, b)){ending(keys, 0.95)}"""
 
 
+def named(sql: str, old: str, new: str) -> str:
+    """Cells c00.. of a kappa under another name."""
+    return re.sub(rf"\b{old}(\d\d)\b", rf"{new}\1", sql)
+
+
+WIDE = f"""{READINGS}, wd AS (SELECT uid, group_key, {', '.join(f"max(grade) FILTER (rater = 'r{i}') AS g{i}" for i in range(1, 5))} FROM readings GROUP BY 1, 2),
+rs AS ({' UNION ALL '.join(f"SELECT uid, group_key, 'r{i}' AS rater, g{i} AS b, " + ', '.join(f'g{j} AS o{n}' for n, j in enumerate(x for x in range(1, 5) if x != i)) + f' FROM wd WHERE g{i} IS NOT NULL' for i in range(1, 5))}),
+rl AS (SELECT *, list_sort(list_filter([o0, o1, o2], lambda x: x IS NOT NULL)) AS gs FROM rs),
+sw AS (SELECT rl.*, gs[((len(gs) - 1) // 2 + 1)::INT] AS loo, floor(p_lesion * 100.0::DOUBLE)::INT AS s, (p_lesion >= 0.3)::INT AS m FROM rl JOIN units USING (uid) WHERE len(gs) >= 2)"""
+
+
+def against(name: str, value: str) -> dict[str, str]:
+    return {f"{name}{i}{j}": f"coalesce(({value} = {i} AND b = {j})::INT, 0)" for i in range(K) for j in range(K)}
+
+
+MVR_SUMS = {"n": "1"} | against("m", "m") | against("l", "loo") | against("p", "o0") | against("q", "o1") | against("z", "o2")
+_k = {x: named(kappa("linear"), "c", x) for x in "mlpqzxy"}
+MVR_FINALS = {"n": "n", "model": _k["m"], "ceiling": _k["l"], "individual": f"list_avg([{_k['p']}, {_k['q']}, {_k['z']}])", "difference": f"({_k['m']}) - ({_k['l']})"}
+SWEEP = f"""{WIDE}, sc AS (SELECT rater, s, b, count(*) AS n FROM sw GROUP BY ALL), ab AS (SELECT t, rater, (s >= t)::INT AS a, b, n FROM sc, range(1, 100) q(t)),
+ck AS (SELECT t::INT AS t, rater, {', '.join(f'sum({e} * n)::DOUBLE AS {x}' for x, e in CELLS.items())} FROM ab GROUP BY 1, 2), cu AS (SELECT t, avg({kappa('linear')}) AS kappa FROM ck GROUP BY 1),
+tp AS (SELECT arg_max(t, kappa) AS t, max(kappa) AS kappa FROM (SELECT * FROM cu ORDER BY t)), best AS (SELECT min(cu.t) AS t, max(tp.kappa) AS kappa FROM cu, tp WHERE cu.kappa = tp.kappa),
+sb AS (SELECT sw.*, (s >= 30)::INT AS x, (s >= best.t)::INT AS y FROM sw, best)"""
+SWEEP_SUMS = against("l", "loo") | against("x", "x") | against("y", "y")
+SWEEP_FINALS = {"ceiling": _k["l"], "at_operating": _k["x"], "at_best": _k["y"]}
+#: Teeth: units by image and tooth, readers of the image, the worst grade or 0.
+TEETH = f"""{READINGS}, ut AS (SELECT *, (part % 4 * 10 + 10 + (line - 1) % 8 + 1)::INT AS fdi FROM units), rd AS (SELECT DISTINCT image_id, rater FROM readings),
+iv AS (SELECT image_id, fdi, max(floor(p_lesion * 1000.0::DOUBLE) / 1000.0::DOUBLE) AS p FROM ut GROUP BY 1, 2), pt AS (SELECT image_id, min(group_key) AS group_key FROM units GROUP BY 1),
+gr AS (SELECT r.image_id, fdi, rater, max(grade) AS grade FROM readings r JOIN ut USING (uid) GROUP BY 1, 2, 3),
+tr AS (SELECT iv.image_id, iv.fdi, rd.rater, 'ds/' || pt.group_key AS group_key, p, coalesce(gr.grade, 0)::INT AS grade FROM iv JOIN rd USING (image_id) JOIN pt USING (image_id) LEFT JOIN gr ON gr.image_id = iv.image_id AND gr.fdi = iv.fdi AND gr.rater = rd.rater),
+an AS (SELECT r.image_id, rater, CASE WHEN grade = 1 THEN 'caries' ELSE 'deep_caries' END AS finding, fdi FROM readings r JOIN ut USING (uid) WHERE grade > 0)"""
+
 ORACLES = {
+    "tooth_ratings": f"WITH {TEETH} SELECT rater, grade, count(*) AS n FROM tr GROUP BY 1, 2",
+    "image_ratings_from_records": f"WITH {TEETH}, i AS (SELECT image_id, rater, max(grade) AS grade FROM tr GROUP BY 1, 2) SELECT rater, grade, count(*) AS n FROM i GROUP BY 1, 2",
+    "tooth_table": f"""WITH {TEETH}, c AS (SELECT image_id, fdi, any_value(group_key) AS group_key, any_value(p) AS p, list_sort(list(grade)) AS gs FROM tr GROUP BY 1, 2), t AS (SELECT *, gs[((len(gs) - 1) // 2 + 1)::INT] AS reference FROM c)
+SELECT reference, count(*) AS n, count(DISTINCT group_key) AS groups, {r('avg(1 - (1 - p))', 'p')}, count(*) FILTER (1 - (1 - p) >= 0.3) AS called FROM t GROUP BY 1""",
+    "tooth_table_of_reader": f"WITH {TEETH} SELECT grade AS reference, count(*) AS n FROM tr WHERE rater = 'r1' GROUP BY 1",
+    "region_crosstab": f"""WITH {TEETH}, g AS (SELECT finding, CASE WHEN fdi % 10 <= 2 THEN 'incisor' WHEN fdi % 10 = 3 THEN 'canine' WHEN fdi % 10 <= 5 THEN 'premolar' ELSE 'molar' END AS region, count(*) AS n FROM an GROUP BY 1, 2)
+SELECT finding, region, n, {r('n::DOUBLE / sum(n) OVER (PARTITION BY finding)', 'share')} FROM g""",
+    "per_image": f"""WITH {TEETH}, x AS (SELECT 'findings' AS what, (SELECT count(*) FROM an WHERE an.image_id = i.image_id) AS n FROM (SELECT DISTINCT image_id FROM rd) i
+UNION ALL SELECT 'teeth', (SELECT count(*) FROM iv WHERE iv.image_id = i.image_id) FROM (SELECT DISTINCT image_id FROM rd) i) SELECT what, quantile_cont(n, 0.5)::DOUBLE AS median, max(n)::INT AS largest, count(*) FILTER (n = 0) AS without FROM x GROUP BY 1""",
+    "model_vs_readers": f"""WITH {WIDE}, {boot_parts('sw', MVR_SUMS, MVR_FINALS, ['rater'], SEED)}, es AS (SELECT * FROM (WITH q AS (SELECT rater, statistic, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM smp GROUP BY 1, 2) SELECT * FROM val LEFT JOIN q USING (rater, statistic))),
+wi AS (SELECT rater, {', '.join(f"max(v) FILTER (statistic = '{x}') AS {x}" for x in MVR_FINALS)}, max(lo) FILTER (statistic = 'difference') AS lo, max(hi) FILTER (statistic = 'difference') AS hi FROM es GROUP BY 1)
+SELECT rater, n::BIGINT AS n, {', '.join(r(x, x) for x in ('model', 'ceiling', 'individual', 'difference', 'lo', 'hi'))}, lo > 0 AS exceeds_ceiling, hi < 0 AS below_ceiling FROM wi""",
+    "kappa_sweep_summary": f"""WITH {SWEEP}, {boot_parts('sb', SWEEP_SUMS, SWEEP_FINALS, ['rater'], SEED, 'k_')},
+mv AS (SELECT -1 AS b, statistic, avg(v) AS v FROM k_val GROUP BY ALL UNION ALL SELECT b, statistic, avg(v) FROM k_smp GROUP BY ALL), mw AS (SELECT * FROM mv UNION ALL SELECT y.b, 'best_minus_operating', y.v - x.v FROM mv x JOIN mv y ON x.b = y.b AND x.statistic = 'at_operating' AND y.statistic = 'at_best'),
+val AS (SELECT statistic, v FROM mw WHERE b < 0), smp AS (SELECT b, statistic, v FROM mw WHERE b >= 0), es AS (SELECT * FROM (WITH zz AS (SELECT 1){ending([], 0.95)}))
+SELECT es.*, best.t AS best, best.kappa >= (SELECT lo FROM es WHERE statistic = 'ceiling') AS reaches_ceiling, (SELECT lo FROM es WHERE statistic = 'best_minus_operating') > 0 AS operating_costs_agreement FROM es, best""",
+    "fleiss_ci": boot(f"{READINGS}, fl AS (SELECT uid, group_key, count(*) AS m, {', '.join(f'count(*) FILTER (grade = {i}) AS n{i}' for i in range(3))} FROM readings GROUP BY 1, 2 HAVING count(*) = 4)", "fl",
+        {"units": "1", "same": "n0 * (n0 - 1) + n1 * (n1 - 1) + n2 * (n2 - 1)", "t0": "n0", "t1": "n1", "t2": "n2"},
+        {"kappa": "(same / (units * 12) - (t0 * t0 + t1 * t1 + t2 * t2) / ((t0 + t1 + t2) * (t0 + t1 + t2))) / nullif(1 - (t0 * t0 + t1 * t1 + t2 * t2) / ((t0 + t1 + t2) * (t0 + t1 + t2)), 0)"}, []),
     "split_patient_sizes": f"WITH {PATIENT_SPLIT} {SIZES}",
     "split_naive_sizes": f"WITH {NAIVE_SPLIT} {SIZES}",
     "split_stratified": f"WITH {GROUP_SPLIT % 'max(urgent)'} SELECT partition, urgent, count(*) AS images FROM split GROUP BY 1, 2",
@@ -170,9 +222,7 @@ p AS (SELECT count(*) AS n_units, sum(sq - 4)::DOUBLE / (count(*) * 12) AS pi FR
 e AS (SELECT sum(n * n)::DOUBLE / (sum(n) * sum(n)) AS pe FROM s) SELECT n_units, {r('(pi - pe) / (1 - pe)', 'kappa')} FROM p, e""",
     "loo_ceiling": boot(LOO_ROWS, "who", CELLS, {"kappa": kappa("linear")}, ["rater", "who"]),
     "ceiling_difference": _difference(LOO_ROWS, ("who WHERE who = 'model'", CELLS, {"kappa": kappa("linear")}, SEED), ("who WHERE who = 'ceiling'", CELLS, {"kappa": kappa("linear")}, SEED), ["rater"]),
-    "kappa_sweep": f"""WITH {LOO}, sc AS (SELECT uid, floor(p_lesion * 100.0::DOUBLE)::INT AS s FROM units), cnt AS (SELECT rater, s, grade AS b, count(*) AS n FROM loo2 JOIN sc USING (uid) GROUP BY ALL),
-ab AS (SELECT t * 5 AS t, rater, (s >= t * 5)::INT AS a, b, n FROM cnt, range(1, 20) q(t)), c AS (SELECT t::INT AS t, rater, {', '.join(f'sum({e} * n)::DOUBLE AS {x}' for x, e in CELLS.items())} FROM ab GROUP BY 1, 2)
-SELECT t, {r('avg(' + kappa('linear') + ')', 'kappa')} FROM c GROUP BY 1""",
+    "kappa_sweep": f"WITH {SWEEP} SELECT t, {r('kappa', 'kappa')} FROM cu",
     "stratified_report": boot(UNITS, "units", LEVEL_SUMS, LEVEL_FINALS, []),
     "boot_bonferroni": boot(UNITS, "units", LEVEL_SUMS, {"depth_gap": LEVEL_FINALS["depth_gap"]}, [], level=1 - 0.05 / 3),
     "boot_specificity_ci": boot(UNITS, "units", LEVEL_SUMS, {k: LEVEL_FINALS[k] for k in ("sensitivity_1", "sensitivity_2", "specificity")}, []),

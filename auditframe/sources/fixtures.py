@@ -56,6 +56,18 @@ def readings(unit_rows: DataFrame) -> DataFrame:
     return rows.select("uid", "image_id", "group_key", "group_no", "rater", F.when(noisy, other).otherwise(F.col("level")).cast("int").alias("grade"))
 
 
+def with_teeth(unit_rows: DataFrame) -> DataFrame:
+    """Units with a tooth number; several units of an image may be on one tooth."""
+    return unit_rows.withColumn("fdi", (F.col("part") % 4 * 10 + 10 + (F.col("line") - 1) % 8 + 1).cast("int"))
+
+
+def predictions(unit_rows: DataFrame) -> DataFrame:
+    """(image_id, tooth_fdi, probs): class probabilities of each tooth, by its likeliest lesion."""
+    p = F.max(F.floor(F.col("p_lesion") * 1000.0) / 1000.0)
+    rows = unit_rows.groupBy("image_id", F.col("fdi").alias("tooth_fdi")).agg(p.alias("p"))
+    return rows.select("image_id", "tooth_fdi", F.array(1 - F.col("p"), F.col("p") * 0.75, F.col("p") * 0.25).alias("probs"))
+
+
 def lesions(unit_rows: DataFrame) -> DataFrame:
     """Reference boxes of units with a lesion: (image_id, group_key, lesion_id, level, box)."""
     x, y = F.col("part") % 50 * 8.0, F.col("line") * 40.0
