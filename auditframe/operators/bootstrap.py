@@ -50,7 +50,7 @@ def poisson_weights(index: DataFrame, seed: int, n_boot: int) -> DataFrame:
         term /= k
     w = F.lit(0)
     for k, bound in enumerate(bounds, 1):
-        w = F.when(u >= bound, k).otherwise(w) if k == 1 else F.when(u >= bound, k).otherwise(w)
+        w = F.when(u >= bound, k).otherwise(w)
     return rows.select("b", "group_key", w.alias("w")).filter("w > 0")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions.numeric import div
 from auditframe.operators.running import running
+from auditframe.operators.storage import materialised
 
 
 def overlap_matrix(index: DataFrame) -> DataFrame:
@@ -150,42 +151,22 @@ def threshold_grid(counts: DataFrame, distances: list[int], correlations: list[f
     return F.broadcast(grid).join(counts, enough, "left").groupBy("most", "least").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
-def cosine_blocks(items: DataFrame, n_blocks: int) -> DataFrame:
-    """(a, b, cosine) of all pairs, a < b: each item goes to the pairs of blocks it takes part in, and blocks meet by an equi-join."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = items.select("id", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "v", norm.alias("norm"))
-    left = rows.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("j"))
-    right = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("i"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return left.join(right, ["i", "j"]).filter("a < b").select("a", "b", div(dot, F.col("na") * F.col("nb")).alias("cosine"))
-
-
-def nearest(pairs: DataFrame) -> DataFrame:
-    """(id, cosine) of each item's nearest other."""
-    both = pairs.select(F.col("a").alias("id"), "cosine").unionByName(pairs.select(F.col("b").alias("id"), "cosine"))
-    return both.groupBy("id").agg(F.max("cosine").alias("cosine"))
-
-
 class NotConverged(RuntimeError):
     """Labels still change after the rounds allowed."""
 
 
 def connected(links: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, label): smallest id reached by links (a, b). Minima travel and jump until nothing changes; lineage is cut each round. If ``rounds`` do not suffice, this raises."""
-    spark = links.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="auditframe-"))
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")).checkpoint()
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialised(both)
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label"))
+    labels = materialised(labels)
     for _ in range(rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, labels.id == near.a).select("id", "label", F.least("label", "m").alias("new"))
         jump = step.select("id", "label", "new").join(labels.select(F.col("id").alias("new"), F.col("label").alias("far")), "new", "left")
-        step = jump.select("id", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label")).checkpoint()
+        step = jump.select("id", F.col("label").alias("old"), F.least("new", F.coalesce("far", "new")).alias("label"))
+        step = materialised(step)
         labels = step.select("id", "label")
         if not step.filter("old <> label").limit(1).count():
             return labels

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -47,6 +48,39 @@ class Rules:
         return [r.target for r in self.rules if r.verified and r.report_as == "delta"]
 
 
+    def checked_delta(self, target: str) -> str:
+        """``target`` if its only report is a difference between data sets, and the rule was verified; else an error."""
+        known = {r.target: r for r in self.rules}
+        if target not in known:
+            raise ValueError(f"no rule for {target!r}")
+        if known[target].report_as != "delta":
+            raise ValueError(f"{target!r} is no class for a difference; report it directly")
+        if target not in self.delta_only():
+            raise ValueError(f"{target!r} is not verified against the source yet")
+        return target
+
+
+def read_rules(path: str) -> Rules:
+    """Rules from a YAML or JSON file on the driver: version, axes, rules (target, conditions, verified, report_as, rationale)."""
+    data = read_config(path)
+    names = {"target", "conditions", "verified", "report_as", "rationale"}
+    for rule in data.get("rules", []):
+        if set(rule) - names:
+            raise ValueError(f"unknown entries in a rule: {sorted(set(rule) - names)}")
+    return Rules([Rule(**r) for r in data.get("rules", [])], str(data.get("version", "")), frozenset(data["axes"]) if data.get("axes") else None)
+
+
+def read_config(path: str) -> dict:
+    """A mapping from a YAML file (if that library is there) or a JSON file."""
+    with open(path, encoding="utf-8") as file:
+        text = file.read()
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
+
+
 def classify(rows: DataFrame, rules: Rules) -> DataFrame:
     """(id, target) for each rule that holds on a row's ``axes`` map; a row may have several targets or none."""
     flags = []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditframe.functions.numeric import div
 from auditframe.operators.running import running
+from auditframe.operators.storage import materialised
 
 
 def auc(rows: DataFrame, score: str, positive: Column, keys: list[str]) -> DataFrame:
@@ -57,28 +58,26 @@ def ece(binned: DataFrame) -> DataFrame:
 def recalibration(rows: DataFrame, iterations: int = 100, tolerance: float = 1e-10) -> tuple[float, float] | None:
     """(slope, intercept) of the outcome on logit(p), by Newton steps on five sums; None if one class, constant or separable."""
     p = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    data = rows.groupBy(F.log(p / (1 - p)).alias("x")).agg(F.count("*").alias("n"), F.sum("y").alias("y")).cache()
-    try:
-        n, y, lo, hi = data.agg(F.sum("n"), F.sum("y"), F.min("x"), F.max("x")).first()
-        if not n or y in (0, n) or hi - lo < 1e-12:
-            return None
-        a, b = math.log(y / (n - y)), 0.0
-        for _ in range(iterations):
-            mu = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
-            w, r = F.col("n") * mu * (1 - mu), F.col("y") - F.col("n") * mu
-            s = data.agg(F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x")), F.sum(r), F.sum(r * F.col("x"))).first()
-            det = s[0] * s[2] - s[1] * s[1]
-            if not det > 1e-12 * max(1.0, s[0] * s[2]):
-                return None
-            da, db = (s[2] * s[3] - s[1] * s[4]) / det, (s[0] * s[4] - s[1] * s[3]) / det
-            a, b = a + da, b + db
-            if not (math.isfinite(a) and math.isfinite(b)) or abs(b) > 1e6:
-                return None
-            if max(abs(da), abs(db)) < tolerance:
-                return b, a
+    data = rows.groupBy(F.log(p / (1 - p)).alias("x")).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    data = materialised(data)
+    n, y, lo, hi = data.agg(F.sum("n"), F.sum("y"), F.min("x"), F.max("x")).first()
+    if not n or y in (0, n) or hi - lo < 1e-12:
         return None
-    finally:
-        data.unpersist()
+    a, b = math.log(y / (n - y)), 0.0
+    for _ in range(iterations):
+        mu = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
+        w, r = F.col("n") * mu * (1 - mu), F.col("y") - F.col("n") * mu
+        s = data.agg(F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x")), F.sum(r), F.sum(r * F.col("x"))).first()
+        det = s[0] * s[2] - s[1] * s[1]
+        if not det > 1e-12 * max(1.0, s[0] * s[2]):
+            return None
+        da, db = (s[2] * s[3] - s[1] * s[4]) / det, (s[0] * s[4] - s[1] * s[3]) / det
+        a, b = a + da, b + db
+        if not (math.isfinite(a) and math.isfinite(b)) or abs(b) > 1e6:
+            return None
+        if max(abs(da), abs(db)) < tolerance:
+            return b, a
+    return None
 
 
 def risk_coverage(rows: DataFrame) -> DataFrame:

@@ -109,13 +109,27 @@ def from_json(rows: DataFrame) -> DataFrame:
 
 
 def summary(records: DataFrame) -> DataFrame:
-    """One row: counts of images, patients and annotations, and counts by site and finding as maps."""
-    images = records.select("image_id", group_key().alias("g"), F.size("annotations").alias("n"), F.size("readers").alias("r"), "site_id")
-    per_patient = images.groupBy("g").agg(F.count("*").alias("k"))
-    one = images.agg(F.count("*").alias("n_images"), F.sum("n").cast("long").alias("n_annotations"), F.sum((F.col("r") > 1).cast("long")).alias("n_multi_reader"))
-    two = per_patient.agg(F.count("*").alias("n_patients"), F.max("k").alias("max_images"))
-    as_map = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("c")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "c"))))).alias(f"by_{key}"))
-    return one.join(two).join(as_map(images, "site_id")).join(as_map(flatten(records), "finding"))
+    """One row: counts of images, patients and annotations, and maps of counts by site, finding, stage, source of ids and source of inventories.
+
+    One grouping by patient and one by all that is mapped: the records are read twice, and nothing is joined but single rows.
+    """
+    lesion = F.filter("annotations", lambda a: a["finding"].isin("caries", "deep_caries"))
+    stages = F.transform(lesion, lambda a: F.coalesce(a["stage"].cast("string"), F.lit("unstaged")))
+    tag = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("name")))
+    one_of = lambda c, none: F.array(F.coalesce(c, F.lit(none)))
+    tags = F.concat(
+        tag("site_id", F.array_compact(F.array(F.col("site_id")))), tag("finding", F.transform("annotations", lambda a: a["finding"])), tag("stage", stages),
+        tag("id_source", one_of(F.col("patient_id_source"), "none")), tag("inventory", one_of(F.col("teeth_present_source"), "none")),
+    )
+    counted = records.select(F.explode(tags).alias("t")).groupBy("t").agg(F.count("*").alias("c")).select("t.kind", "t.name", "c")
+    as_map = lambda kind: F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "c")))))).alias(f"by_{kind}")
+    maps = counted.agg(*[as_map(k) for k in ("site_id", "finding", "stage", "id_source", "inventory")])
+    per_patient = records.groupBy(group_key().alias("g")).agg(F.count("*").alias("k"), F.sum(F.size("annotations")).alias("n"), F.count_if(F.size("readers") > 1).alias("r"))
+    one = per_patient.agg(
+        F.sum("k").alias("n_images"), F.sum("n").cast("long").alias("n_annotations"), F.sum("r").alias("n_multi_reader"), F.count("*").alias("n_patients"), F.max("k").alias("max_images"),
+        (F.sum("k") / F.count("*")).alias("images_per_patient"),
+    )
+    return one.join(maps)
 
 
 def from_readings(units: DataFrame, readings: DataFrame, teeth: bool = False) -> DataFrame:

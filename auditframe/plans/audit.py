@@ -10,8 +10,11 @@ from auditframe.operators import dedup as dd
 from auditframe.operators import detection as de
 from auditframe.operators import mapping as mp
 from auditframe.operators import records as rc
+from auditframe.operators import recovery as rv
 from auditframe.operators import splits as sp
-from auditframe.operators.bootstrap import Resampled, estimate
+from auditframe.operators.bootstrap import Resampled, difference, estimate
+from auditframe.operators.probes import fit_mixture, macro_auc, site_probe
+from auditframe.operators.storage import materialised
 from auditframe.sources import fixtures as fx
 
 SEED, N_BOOT, IOU, SCORE = 20261009, 2000, 0.5, 0.3
@@ -158,11 +161,81 @@ def threshold_grid(spark, d):
 
 
 def nn_cosine(spark, d):
-    """Distribution of nearest-neighbour similarity."""
-    near = dd.nearest(dd.cosine_blocks(fx.embeddings(spark, d), 4))
+    """Distribution of nearest-neighbour similarity of the centred vectors."""
+    near = rv.nearest_cosine(rv.centred(fx.embeddings(spark, d)))
     return near.select(F.floor(F.col("cosine") * 100.0 + 0.0000001).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def mixture_cut(spark, d):
+    """The nearest-neighbour similarities as one mode or two, and the cut between them if they are apart."""
+    fit = fit_mixture(rv.nearest_cosine(rv.centred(fx.embeddings(spark, d))), "cosine")
+    row = (fit.criterion[0], fit.criterion[1], fit.low.centre, fit.high.centre, fit.distance, fit.separated, fit.crossing() if fit.separated else None)
+    return spark.createDataFrame([row], "one double, two double, low double, high double, distance double, separated boolean, cut double")
+
+
+def recovered_by_both_signals(spark, d):
+    """Group sizes from near signatures and, where the similarities fall into two modes, from cosines: documents with an embedding of their number."""
+    items = fx.embeddings(spark, d)
+    signatures = _signatures(spark, d).join(items.select("id"), "id", "left_semi")
+    return dd.group_sizes(rv.recovered(signatures, items)[0])
+
+
+def _contents(spark, d):
+    """(subset, id): where each content is, by its first document; and the signatures of the contents."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("subset"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    first = docs.groupBy("sha").agg(F.min("doc_id").alias("id"))
+    index = docs.join(first, "sha").select("subset", "id")
+    whole = docs.join(first.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return index, dd.simhash(whole, "doc_id", "text")
+
+
+def reencoded_matrix(spark, d):
+    index, signatures = _contents(spark, d)
+    return rv.reencoded_matrix(rv.reencoded(dd.near_pairs(signatures, 6), dd.members(signatures), index), index)
+
+
+def any_copy(spark, d):
+    index, signatures = _contents(spark, d)
+    return rv.any_copy(rv.reencoded(dd.near_pairs(signatures, 6), dd.members(signatures), index), index)
+
+
+def crossing_pairs(spark, d):
+    """Near pairs of representatives between sources: what the gate would stop on."""
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("grp"))
+    return rv.crossing(_near(spark, d)[0], docs)
+
+
+def partner_in_train(spark, d):
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.col("doc_id").alias("id"))
+    return rv.partner_in_train(dd.groups(*_near(spark, d)), sp.naive_image_split(docs, SEED).select("id", "partition"))
+
+
+def side_by_side(spark, d):
+    """Contents of two sources, with the languages that each states for them."""
+    rows = fx.content_index(spark, d).join(fx.table(spark, d, "documents").select(F.col("doc_id").alias("file"), "lang"), "file")
+    pairs = rv.side_by_side(rows.select("subset", F.col("sha").alias("id"), F.col("lang").alias("label")), rows.select("subset", F.col("sha").alias("id")), "src1", "src13")
+    return pairs.select("id", F.array_join("first", ",").alias("first"), F.array_join("second", ",").alias("second"))
+
+
+def training_sets(spark, d):
+    """Honest, swapped and naive training sets around the held-out documents of one source."""
+    index = fx.content_index(spark, d).select("file", "sha", F.concat_ws("/", "subset", (F.col("file") % 50).cast("string")).alias("group_key"))
+    held, rest = F.col("group_key").isin("src0/1", "src0/2", "src0/3"), F.col("group_key").isNotNull()
+    sets = sp.training_sets(index.filter(rest & ~held), index.filter(held), SEED)
+    return sets.groupBy("set").agg(F.count("*").alias("n"), F.sum("file").alias("files"))
+
+
+def prevalence_intervals(spark, d):
+    units = fx.units(spark, d).withColumn("cluster", F.col("site"))
+    return rv.prevalence_intervals(units, F.col("level") > 0, SEED, N_BOOT)
+
+
+def site_probe_auc(spark, d):
+    """How well a linear probe tells the sites of the embeddings apart, out of fold."""
+    probabilities = materialised(site_probe(fx.embeddings(spark, d)))
+    return spark.createDataFrame([(macro_auc(probabilities, 3),)], "auc double")
+
+
 def recovered_groups(spark, d):
     return dd.groups(*_near(spark, d))
 
@@ -212,12 +285,12 @@ def _records(spark, d):
 
 
 def summary_counts(spark, d):
-    return rc.summary(rc.validated(_records(spark, d)))
+    return _r(rc.summary(rc.validated(materialised(_records(spark, d)))), "images_per_patient")
 
 
 def record_round_trip(spark, d):
     """Records that JSON returns unchanged."""
-    records = _records(spark, d)
+    records = materialised(_records(spark, d))
     back = rc.from_json(rc.to_json(records))
     same = F.to_json(F.struct("annotations", "readers")) == F.to_json(F.struct(F.col("b_annotations").alias("annotations"), F.col("b_readers").alias("readers")))
     rows = records.join(back.select("image_id", F.col("annotations").alias("b_annotations"), F.col("readers").alias("b_readers")), "image_id")
@@ -246,27 +319,31 @@ def tooth_numbers(spark, d):
 
 
 def domain_shift_delta(spark, d):
-    """Specificity of one site minus another's, only as a gap, unpaired."""
-    from auditframe.plans.evaluation import boot_diff_unpaired
-
-    return boot_diff_unpaired(spark, d).withColumn("metric", F.lit("specificity")).select("metric", "statistic", "value", "lo", "hi", "n_valid")
+    """Sensitivity for shallow lesions at one site minus another's: a class that may be reported as a gap only."""
+    rules = mp.Rules([mp.Rule("caries", {"level": ["1"]}, report_as="delta"), mp.Rule("deep_caries", {"level": ["2"]})])
+    flag = F.col("p_lesion") >= SCORE
+    sums = {"n": (F.col("level") == 1).cast("long"), "t": ((F.col("level") == 1) & flag).cast("long")}
+    rows = fx.units(spark, d)
+    one = [Resampled(rows.filter(F.col("site") == s), sums, {"sensitivity": div(F.col("t"), F.col("n"))}, [], SEED + i, N_BOOT) for i, s in enumerate(("BUILDING", "MACHINERY"))]
+    return estimate(*difference(*one, paired=False), []).withColumn("target", F.lit(rules.checked_delta("caries")))
 
 
 def not_computable_ledger(spark, d):
-    """Why a metric has no value, by site and level."""
-    units = fx.units(spark, d)
-    cells = units.groupBy("site").agg(F.sum((F.col("level") == 2).cast("long")).alias("deep"), F.count_distinct("group_key").alias("groups"), F.sum(F.col("age").isNull().cast("long")).alias("no_age"))
+    """Why a metric has no value, by brand of the part: from the sizes of each cell."""
+    units = fx.units(spark, d).withColumn("cell", F.concat_ws("/", "site", (F.col("part") % 97).cast("string")))
+    cells = units.groupBy("cell").agg(F.count_if(F.col("level") == 1).alias("n1"), F.count_if(F.col("level") == 2).alias("n2"), F.count_distinct("group_key").alias("groups"), F.count("age").alias("ages"))
+    because = lambda test, metric, reason: F.when(test, F.struct(F.lit(metric).alias("metric"), F.lit(reason).alias("reason")))
     reasons = F.array(
-        F.when(F.col("deep") < 900, F.struct(F.lit("sensitivity_2").alias("metric"), F.lit("too few deep lesions").alias("reason"))),
-        F.when(F.col("groups") < 2, F.struct(F.lit("interval").alias("metric"), F.lit("fewer than two patients").alias("reason"))),
-        F.when(F.col("no_age") > 0, F.struct(F.lit("subgroup_age").alias("metric"), F.lit("age is missing on some units").alias("reason"))),
-    )
-    return cells.select("site", F.explode(F.filter(reasons, lambda x: x.isNotNull())).alias("x")).select("site", "x.*")
+        because(F.col("n1") == 0, "sensitivity_1", "no lesion of this level"), because(F.col("n2") == 0, "sensitivity_2", "no lesion of this level"),
+        because(F.col("groups") < 2, "interval", "fewer than two patients"), because(F.col("ages") == 0, "subgroup_age", "no age on any unit"),
+    )
+    return cells.select("cell", F.explode(F.array_compact(reasons)).alias("x")).select("cell", "x.*")
 
 
 QUERIES = {f.__name__: f for f in (
     iou_pairs, greedy_match, detection_sens, fp_per_image, froc, ap_pooled, ap_interval, ap_by_level, enumeration_pr, tooth_inventory, content_overlap_matrix, exact_elsewhere,
-    within_subset_dups, near_pairs, near_pairs_two_signals, threshold_grid, nn_cosine, recovered_groups, recovered_group_sizes, split_sensitivity, pair_quality, prevalence_by_cluster,
+    within_subset_dups, near_pairs, near_pairs_two_signals, threshold_grid, nn_cosine, mixture_cut, recovered_by_both_signals, reencoded_matrix, any_copy, crossing_pairs, partner_in_train, side_by_side, training_sets,
+    prevalence_intervals, site_probe_auc, recovered_groups, recovered_group_sizes, split_sensitivity, pair_quality, prevalence_by_cluster,
     chi2_stat, chi2_yates, mann_whitney_u, summary_counts, record_round_trip, findings_by_reader, constraint_counts, label_mapping_classify, tooth_numbers,
     domain_shift_delta, not_computable_ledger,
 )}

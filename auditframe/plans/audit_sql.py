@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from auditframe.plans.evaluation_sql import CONTENT, EVENTS, N_BOOT, READINGS, SEED, UNITS, _difference, boot, ending, h, r
-from auditframe.plans.evaluation_sql import LEVEL_FINALS, LEVEL_SUMS
 
 BOXES = f"""{UNITS},
 les AS (SELECT image_id, group_key, uid AS lesion_id, level, (part % 50 * 8)::DOUBLE AS x1, (line * 40)::DOUBLE AS y1 FROM units WHERE level > 0),
@@ -39,11 +38,16 @@ UNION ALL SELECT rep, id, 0 FROM rp WHERE id <> rep"""
 COMPONENTS = f"""{NEAR}, lk AS (SELECT a, b FROM np WHERE distance <= 6 UNION SELECT b, a FROM np WHERE distance <= 6),
 reach AS (SELECT a AS id, a AS label FROM lk UNION SELECT reach.id, lk.b FROM reach JOIN lk ON reach.label = lk.a),
 labels AS (SELECT id, min(label) AS label FROM reach GROUP BY 1)"""
+#: Contents by their first document; the subsets that hold a near copy of other bytes.
+COPIES = """ct AS (SELECT source AS subset, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS id FROM documents), px AS (SELECT a, b FROM np WHERE distance <= 6 AND a IN (SELECT id FROM ct) AND b IN (SELECT id FROM ct)),
+lk AS (SELECT DISTINCT z.a AS id, y.subset AS other FROM (SELECT a, b FROM px UNION ALL SELECT b, a FROM px) z JOIN ct y ON y.id = z.b)"""
 R = "WITH RECURSIVE"
 CHI = f"""tt AS (SELECT sum(p) AS hits, sum(m) AS total, count(*) AS k FROM t), cells AS (SELECT k, total, p AS o, m * hits::DOUBLE / total AS e FROM t, tt UNION ALL SELECT k, total, m - p, m * (total - hits)::DOUBLE / total FROM t, tt),
 g AS (SELECT k, total, e, abs(o - e) - CASE WHEN k = 2 THEN least(0.5, abs(o - e)) ELSE 0 END AS gap FROM cells)
 SELECT max(total)::BIGINT AS n, (max(k) - 1)::BIGINT AS df, {r('sum(gap * gap / e)', 'chi2')} FROM g"""
 
+SHALLOW = {"n": "(level = 1)::INT", "t": "(level = 1 AND p_lesion >= 0.3)::INT"}
+
 ORACLES = {
     "iou_pairs": f"WITH {BOXES} SELECT count(*) AS pairs, {r('avg(floor(iou * 1e6)::BIGINT) / 1e6', 'mean_iou')} FROM ov",
     "greedy_match": f"WITH {MATCH} SELECT image_id, det_id, lesion_id FROM mt WHERE lesion_id IS NOT NULL",
@@ -78,8 +82,23 @@ SELECT n_true, n_pred, correct, {r('correct::DOUBLE / n_pred', 'precision')}, {r
     "near_pairs": f"WITH {NEAR} {NEAR_ROWS.format('true')}",
     "near_pairs_two_signals": f"WITH {NEAR} {NEAR_ROWS.format('correlation >= 0.95')}",
     "threshold_grid": f"WITH {NEAR} SELECT most::INT AS most, least::DOUBLE AS least, count(distance)::BIGINT AS n FROM (VALUES (0), (2), (4), (6), (8), (10)) g(most) CROSS JOIN (VALUES (0.8), (0.9), (0.95)) c(least) LEFT JOIN nc ON distance <= most AND correlation >= least GROUP BY 1, 2",
-    "nn_cosine": """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT x.id, max(list_cosine_similarity(x.v, y.v)) AS c FROM e x JOIN e y ON x.id <> y.id GROUP BY 1)
+    "nn_cosine": """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), mn AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(v[i]) AS m FROM e, range(1, (SELECT max(len(v)) + 1 FROM e)) t(i) GROUP BY i)),
+c AS (SELECT id, list_transform(range(1, len(v) + 1), lambda i: v[i] - m[i]) AS v FROM e, mn), p AS (SELECT x.id, max(list_cosine_similarity(x.v, y.v)) AS c FROM c x JOIN c y ON x.id <> y.id GROUP BY 1)
 SELECT floor(c * 100.0::DOUBLE + 0.0000001::DOUBLE)::INT AS bin, count(*) AS n FROM p GROUP BY 1""",
+    "reencoded_matrix": f"WITH {NEAR}, {COPIES} SELECT x.subset, other, count(DISTINCT x.id) AS n FROM ct x JOIN lk USING (id) GROUP BY 1, 2",
+    "any_copy": f"""WITH {NEAR}, {COPIES}, u AS (SELECT DISTINCT subset, id FROM ct)
+SELECT subset, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM ct y WHERE y.id = u.id AND y.subset <> u.subset) OR EXISTS (SELECT 1 FROM lk WHERE lk.id = u.id AND lk.other <> u.subset)) AS copies FROM u GROUP BY 1""",
+    "crossing_pairs": f"WITH {NEAR}, nr AS ({NEAR_ROWS.format('true').split('UNION ALL')[0]}) SELECT a, b, x.source AS group_a, y.source AS group_b FROM nr JOIN documents x ON a = x.doc_id JOIN documents y ON b = y.doc_id WHERE x.source <> y.source",
+    "partner_in_train": f"""{R} {COMPONENTS}, im AS (SELECT doc_id AS id, (row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), doc_id::VARCHAR) - 0.5) / count(*) OVER () AS m FROM documents),
+pt AS (SELECT id, CASE WHEN m < 0.6 THEN 'train' WHEN m < 0.8 THEN 'val' ELSE 'test' END AS p FROM im)
+SELECT count(*) AS n_test, count(*) FILTER (EXISTS (SELECT 1 FROM labels l JOIN labels k USING (label) JOIN pt q ON q.id = k.id WHERE l.id = pt.id AND q.p = 'train')) AS with_partner FROM pt WHERE p = 'test'""",
+    "side_by_side": f"""WITH ls AS (SELECT sha256(text) AS id, source, string_agg(lang, ',' ORDER BY lang) AS l FROM documents WHERE source IN ('src1', 'src13') GROUP BY 1, 2)
+SELECT x.id, coalesce(x.l, '') AS first, coalesce(y.l, '') AS second FROM ls x JOIN ls y ON x.id = y.id AND x.source = 'src1' AND y.source = 'src13'""",
+    "training_sets": f"""WITH {CONTENT}, ix AS (SELECT file, sha, subset || '/' || file % 50 AS g FROM content), hd AS (SELECT * FROM ix WHERE g IN ('src0/1', 'src0/2', 'src0/3')), cd AS (SELECT * FROM ix WHERE g NOT IN ('src0/1', 'src0/2', 'src0/3')),
+ho AS (SELECT file FROM cd WHERE sha NOT IN (SELECT sha FROM hd) AND g NOT IN (SELECT g FROM hd)), lk AS (SELECT file FROM cd WHERE sha IN (SELECT sha FROM hd)),
+sw AS (SELECT file FROM (SELECT file, row_number() OVER (ORDER BY {h(f"'{SEED}:' || file")}, file) AS k FROM ho) WHERE k <= (SELECT count(*) FROM ho) - (SELECT count(*) FROM lk) UNION ALL SELECT file FROM lk)
+SELECT 'honest' AS "set", count(*) AS n, sum(file)::BIGINT AS files FROM ho UNION ALL SELECT 'swap', count(*), sum(file)::BIGINT FROM sw UNION ALL SELECT 'naive', count(*), sum(file)::BIGINT FROM cd""",
+    "prevalence_intervals": boot(f"{UNITS}, uc AS (SELECT *, site AS cluster FROM units)", "uc", {"n": "1", "y": "(level > 0)::INT"}, {"prevalence": "y / nullif(n, 0)"}, ["cluster"]),
     "recovered_groups": f"{R} {COMPONENTS} SELECT id, label FROM labels",
     "recovered_group_sizes": f"{R} {COMPONENTS}, s AS (SELECT label, count(*) AS size FROM labels GROUP BY 1) SELECT size, count(*) AS groups FROM s GROUP BY 1",
     "split_sensitivity": f"""{R} {COMPONENTS}, im AS (SELECT doc_id AS id, (row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), doc_id::VARCHAR) - 0.5) / count(*) OVER () AS m FROM documents),
@@ -95,16 +114,18 @@ SELECT n_declared, n_true, "both", {r('"both"::DOUBLE / nullif(n_declared, 0)',
 s AS (SELECT (count(*) FILTER (y = 1))::DOUBLE AS n1, (count(*) FILTER (y = 0))::DOUBLE AS n2, sum(rk) FILTER (y = 1) - (count(*) FILTER (y = 1)) * ((count(*) FILTER (y = 1)) + 1) / 2.0 AS u FROM rk)
 SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, {r('u', 'u')}, {r('(abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))))', 'z')} FROM s, ti""",
     "summary_counts": f"""WITH {READINGS}, im AS (SELECT image_id, min(site) AS site, min(group_key) AS pt FROM units GROUP BY 1), rd AS (SELECT image_id, count(DISTINCT rater) AS k FROM readings GROUP BY 1),
-rec AS (SELECT * FROM im JOIN rd USING (image_id)), an AS (SELECT CASE WHEN grade = 1 THEN 'caries' ELSE 'deep_caries' END AS finding, count(*) AS c FROM readings WHERE grade > 0 GROUP BY 1)
+rec AS (SELECT * FROM im JOIN rd USING (image_id)), an AS (SELECT CASE WHEN grade = 1 THEN 'caries' ELSE 'deep_caries' END AS finding, CASE WHEN grade = 1 THEN '1' ELSE '4' END AS stage, count(*) AS c FROM readings WHERE grade > 0 GROUP BY 1, 2)
 SELECT (SELECT count(*) FROM rec) AS n_images, (SELECT sum(c) FROM an)::BIGINT AS n_annotations, (SELECT count(*) FILTER (k > 1) FROM rec) AS n_multi_reader, (SELECT count(DISTINCT pt) FROM rec) AS n_patients,
-(SELECT max(c) FROM (SELECT count(*) AS c FROM rec GROUP BY pt)) AS max_images, (SELECT '{{' || string_agg('"' || site || '":' || c, ',' ORDER BY site) || '}}' FROM (SELECT site, count(*) AS c FROM rec GROUP BY 1)) AS by_site_id,
-(SELECT '{{' || string_agg('"' || finding || '":' || c, ',' ORDER BY finding) || '}}' FROM an) AS by_finding""",
+(SELECT max(c) FROM (SELECT count(*) AS c FROM rec GROUP BY pt)) AS max_images, {r('(SELECT count(*)::DOUBLE / count(DISTINCT pt) FROM rec)', 'images_per_patient')}, (SELECT '{{' || string_agg('"' || site || '":' || c, ',' ORDER BY site) || '}}' FROM (SELECT site, count(*) AS c FROM rec GROUP BY 1)) AS by_site_id,
+(SELECT '{{' || string_agg('"' || finding || '":' || c, ',' ORDER BY finding) || '}}' FROM an) AS by_finding, (SELECT '{{' || string_agg('"' || stage || '":' || c, ',' ORDER BY stage) || '}}' FROM an) AS by_stage,
+(SELECT '{{"provided":' || count(*) || '}}' FROM rec) AS by_id_source, (SELECT '{{"none":' || count(*) || '}}' FROM rec) AS by_inventory""",
     "record_round_trip": f"WITH {READINGS} SELECT count(DISTINCT image_id) AS n, count(DISTINCT image_id) AS unchanged FROM readings",
     "findings_by_reader": f"WITH {READINGS} SELECT rater AS annotator_id, CASE WHEN grade = 1 THEN 'caries' ELSE 'deep_caries' END AS finding, count(*) AS n FROM readings WHERE grade > 0 GROUP BY 1, 2",
     "constraint_counts": "SELECT unnest(['box', 'annotator', 'tooth', 'confidence', 'stage', 'inventory_source', 'identity', 'stray_annotator', 'inventory', 'age', 'size']) AS name, 0::BIGINT AS n",
     "label_mapping_classify": "SELECT target, count(*) AS n FROM (SELECT 'small_b1' AS target FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') AND p_size % 5 IN (0, 1) UNION ALL SELECT 'any_large' FROM part WHERE p_size % 5 = 4) GROUP BY 1",
     "tooth_numbers": "SELECT (q * 10 + t)::INT AS fdi, ((CASE q WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 4 ELSE 3 END) * 10 + t)::INT AS mirrored, ((q - 1) * 8 + t)::INT AS label, (q * 10 + t)::INT AS back FROM range(1, 5) a(q), range(1, 9) b(t)",
-    "domain_shift_delta": "SELECT 'specificity' AS metric, * FROM (" + _difference(UNITS, ("units WHERE site = 'BUILDING'", LEVEL_SUMS, {"specificity": LEVEL_FINALS["specificity"]}, SEED), ("units WHERE site = 'MACHINERY'", LEVEL_SUMS, {"specificity": LEVEL_FINALS["specificity"]}, SEED + 1), []) + ")",
-    "not_computable_ledger": f"""WITH {UNITS}, c AS (SELECT site, count(*) FILTER (level = 2) AS deep, count(DISTINCT group_key) AS groups, count(*) FILTER (age IS NULL) AS no_age FROM units GROUP BY 1)
-SELECT site, 'sensitivity_2' AS metric, 'too few deep lesions' AS reason FROM c WHERE deep < 900 UNION ALL SELECT site, 'interval', 'fewer than two patients' FROM c WHERE groups < 2 UNION ALL SELECT site, 'subgroup_age', 'age is missing on some units' FROM c WHERE no_age > 0""",
+    "domain_shift_delta": "SELECT 'caries' AS target, * FROM (" + _difference(UNITS, ("units WHERE site = 'BUILDING'", SHALLOW, {"sensitivity": "t / nullif(n, 0)"}, SEED), ("units WHERE site = 'MACHINERY'", SHALLOW, {"sensitivity": "t / nullif(n, 0)"}, SEED + 1), []) + ")",
+    "not_computable_ledger": f"""WITH {UNITS}, c AS (SELECT site || '/' || part % 97 AS cell, count(*) FILTER (level = 1) AS n1, count(*) FILTER (level = 2) AS n2, count(DISTINCT group_key) AS groups, count(age) AS ages FROM units GROUP BY 1)
+SELECT cell, 'sensitivity_1' AS metric, 'no lesion of this level' AS reason FROM c WHERE n1 = 0 UNION ALL SELECT cell, 'sensitivity_2', 'no lesion of this level' FROM c WHERE n2 = 0
+UNION ALL SELECT cell, 'interval', 'fewer than two patients' FROM c WHERE groups < 2 UNION ALL SELECT cell, 'subgroup_age', 'no age on any unit' FROM c WHERE ages = 0""",
 }

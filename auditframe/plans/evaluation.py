@@ -12,6 +12,7 @@ from auditframe.operators import ratings as ra
 from auditframe.operators import records as rc
 from auditframe.operators import splits as sp
 from auditframe.operators.bootstrap import Resampled, difference, estimate
+from auditframe.plans import study as st
 from auditframe.sources import fixtures as fx
 
 SEED, N_BOOT, THRESHOLD, K = 20261009, 2000, 0.3, 3
@@ -328,7 +329,22 @@ def reliability_curve(spark, d):
 
 def recalibration(spark, d):
     found = me.recalibration(fx.event_groups(spark, d))
-    return spark.createDataFrame([found or (None, None)], "slope double, intercept double")
+    return _r(spark.createDataFrame([found or (None, None)], "slope double, intercept double"), "slope", "intercept")
+
+
+def ece_interval(spark, d):
+    """Calibration error with an interval, bin edges taken anew from each resample."""
+    return st.ece_interval(fx.event_groups(spark, d), SEED, N_BOOT)
+
+
+def noise_floor(spark, d):
+    """The error that a perfectly calibrated model of these probabilities would show."""
+    return _r(st.noise_floor(fx.event_groups(spark, d).withColumnRenamed("event_id", "uid")), "floor")
+
+
+def split_kfold_stratified(spark, d):
+    rows = sp.group_kfold(_images(spark, d), SEED, stratum=F.max("urgent"))
+    return rows.groupBy("fold", "urgent").agg(F.count("*").alias("images"), F.count_distinct("group_key").alias("groups"))
 
 
 # --- Selective prediction -------------------------------------------------------------
@@ -364,6 +380,7 @@ def selective_eval(spark, d):
     """Fit on even suppliers, evaluate on odd ones."""
     rows = _decisions(spark, d).withColumn("odd", F.substring_index("group_key", "/", -1).cast("long") % 2)
     fit = rows.filter("odd = 0")
+    sp.disjoint_groups(fit, rows.filter("odd = 1"))
     point = me.operating_point(fit, "sensitivity", 0.9, 0.85).first().asDict()
     return Resampled(rows.filter("odd = 1"), me.selective_sums(point), me.selective_rates(), [], SEED, N_BOOT).estimates()
 
@@ -375,7 +392,7 @@ def tripwire(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    boot_specificity_ci, split_patient_sizes, split_naive_sizes, split_stratified, split_kfold, leakage_measured, leakage_patient_clean, site_holdout_sizes,
+    boot_specificity_ci, split_patient_sizes, split_naive_sizes, split_stratified, split_kfold, split_kfold_stratified, ece_interval, noise_floor, leakage_measured, leakage_patient_clean, site_holdout_sizes,
     test_seen_patient_rate, eligible_training, swap_sets, ratings_long, image_ratings, consensus, contingency, kappa_two_raters, pairwise_kappa_ci, fleiss, fleiss_ci,
     tooth_ratings, image_ratings_from_records, tooth_table, tooth_table_of_reader, region_crosstab, per_image, kappa_sweep_summary, model_vs_readers,
     loo_ceiling, ceiling_difference, kappa_sweep, stratified_report, boot_bonferroni, subgroup_age, subgroup_sex, subgroup_cells, event_rate_ci, boot_diff_unpaired,

@@ -40,9 +40,9 @@ PATIENT_SPLIT = GROUP_SPLIT % "0"
 NAIVE_SPLIT = f"""{IMAGES}, im AS (SELECT *, (row_number() OVER (ORDER BY md5('{SEED}:' || image_id), image_id) - 0.5::DOUBLE) / count(*) OVER () AS m FROM images),
 split AS (SELECT image_id, group_key, site, urgent, {BOUNDS} FROM im)"""
 SIZES = "SELECT partition, count(*) AS images, count(DISTINCT group_key) AS groups FROM split GROUP BY 1"
-LEAK = f"""per AS (SELECT group_key, count(DISTINCT partition) AS k FROM split GROUP BY 1), per_image AS (SELECT image_id, count(DISTINCT partition) AS k FROM split GROUP BY 1)
+LEAK = f"""per AS (SELECT group_key, count(DISTINCT partition) AS k FROM split GROUP BY 1), per_image AS (SELECT image_id, count(*) AS k FROM split GROUP BY 1)
 SELECT (SELECT count(*) FROM per) AS n_groups, (SELECT count(*) FILTER (k > 1) FROM per) AS leaked_groups,
-  {r("(SELECT (count(*) FILTER (k > 1))::DOUBLE / count(*) FROM per)", "leaked_share")}, (SELECT count(*) FILTER (k > 1) FROM per_image) AS repeated_images"""
+  {r("(SELECT (count(*) FILTER (k > 1))::DOUBLE / count(*) FROM per)", "leaked_share")}, (SELECT count(*) FILTER (k > 1) FROM per_image) AS repeated_images, 0::BIGINT AS unverifiable_groups"""
 
 
 def boot(ctes: str, rows: str, sums: dict[str, str], finals: dict[str, str], keys: list[str], seed: int = SEED, level: float = 0.95) -> str:
@@ -205,6 +205,21 @@ SELECT es.*, best.t AS best, best.kappa >= (SELECT lo FROM es WHERE statistic =
     "split_kfold": f"""WITH {IMAGES}, g AS (SELECT group_key, count(*) AS size FROM images GROUP BY 1), gm AS (SELECT group_key, (sum(size) OVER (ORDER BY md5('{SEED}:' || group_key), group_key ROWS UNBOUNDED PRECEDING)
   - size / 2.0::DOUBLE) / sum(size) OVER () AS m FROM g), f AS (SELECT *, CASE WHEN m < 0.2::DOUBLE THEN 'fold0' WHEN m < 0.4::DOUBLE THEN 'fold1' WHEN m < 0.6::DOUBLE THEN 'fold2' WHEN m < 0.8::DOUBLE THEN 'fold3' ELSE 'fold4' END AS fold FROM images JOIN gm USING (group_key))
 SELECT fold, count(*) AS images, count(DISTINCT group_key) AS groups FROM f GROUP BY 1""",
+    "split_kfold_stratified": f"""WITH {IMAGES}, g AS (SELECT group_key, count(*) AS size, max(urgent) AS stratum FROM images GROUP BY 1), gm AS (SELECT group_key, (sum(size) OVER (PARTITION BY stratum ORDER BY md5('{SEED}:' || group_key), group_key ROWS UNBOUNDED PRECEDING)
+  - size / 2.0::DOUBLE) / sum(size) OVER (PARTITION BY stratum) AS m FROM g), f AS (SELECT *, CASE WHEN m < 0.2::DOUBLE THEN 'fold0' WHEN m < 0.4::DOUBLE THEN 'fold1' WHEN m < 0.6::DOUBLE THEN 'fold2' WHEN m < 0.8::DOUBLE THEN 'fold3' ELSE 'fold4' END AS fold FROM images JOIN gm USING (group_key))
+SELECT fold, urgent, count(*) AS images, count(DISTINCT group_key) AS groups FROM f GROUP BY 1, 2""",
+    "ece_interval": f"""WITH {EVENTS}, idx AS (SELECT group_key, row_number() OVER (ORDER BY group_key) - 1 AS g FROM (SELECT DISTINCT group_key FROM ev)), n AS (SELECT count(*) AS n FROM idx),
+dr AS (SELECT b, (('0x' || substr(md5('{SEED}:' || b || ':' || slot), 1, 8))::BIGINT % n) AS g FROM n, range({N_BOOT}) t(b), LATERAL (SELECT unnest(range(n)) AS slot) UNION ALL SELECT -1, g FROM idx),
+rw AS (SELECT b, p, y FROM dr JOIN idx USING (g) JOIN ev USING (group_key)), eg AS (SELECT b, list_distinct(quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM rw GROUP BY 1),
+bv AS (SELECT b, p, count(*) AS n, sum(y) AS y FROM rw GROUP BY 1, 2), bn AS (SELECT b, len(list_filter(e, lambda x: x <= p)) AS bin, abs(sum(p * n) - sum(y)) AS gap, sum(n) AS n FROM bv JOIN eg USING (b) GROUP BY 1, 2),
+ec AS (SELECT b, 'ece' AS statistic, sum(gap) / sum(n) AS v FROM bn GROUP BY 1), val AS (SELECT statistic, v FROM ec WHERE b < 0), smp AS (SELECT b, statistic, v FROM ec WHERE b >= 0){ending([], 0.95)}""",
+    "noise_floor": f"""WITH ev AS (SELECT event_id, greatest(0.001::DOUBLE, least(0.999::DOUBLE, floor(value / 500.0::DOUBLE * 1000.0::DOUBLE) / 1000.0::DOUBLE)) AS p, 0 AS y FROM events WHERE value IS NOT NULL),
+eg AS (SELECT list_distinct(quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM ev), bn AS (SELECT event_id, p, len(list_filter(e, lambda x: x <= p)) AS bin FROM ev, eg),
+gp AS (SELECT b, bin, abs(sum(p - ({h("'nf:1:' || b || ':' || event_id")} < p)::INT)) AS gap, count(*) AS n FROM bn, range(1000) t(b) GROUP BY 1, 2), ec AS (SELECT b, sum(gap) / sum(n) AS ece FROM gp GROUP BY 1) SELECT {r('quantile_cont(ece, 0.95)', 'floor')} FROM ec""",
+    "recalibration": f"""WITH RECURSIVE {EVENTS}, d AS (SELECT ln(p / (1 - p)) AS x, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS y FROM ev GROUP BY p), t AS (SELECT sum(n) AS n, sum(y) AS y FROM d),
+it AS (SELECT 0 AS k, ln(y / (n - y)) AS a, 0.0::DOUBLE AS b FROM t UNION ALL SELECT k + 1, a + (s2 * r0 - s1 * r1) / (s0 * s2 - s1 * s1), b + (s0 * r1 - s1 * r0) / (s0 * s2 - s1 * s1) FROM (
+  SELECT k, a, b, sum(n * mu * (1 - mu)) AS s0, sum(n * mu * (1 - mu) * x) AS s1, sum(n * mu * (1 - mu) * x * x) AS s2, sum(y - n * mu) AS r0, sum((y - n * mu) * x) AS r1 FROM (SELECT *, 1 / (1 + exp(-(a + b * x))) AS mu FROM it, d WHERE k < 30) GROUP BY k, a, b))
+SELECT {r('b', 'slope')}, {r('a', 'intercept')} FROM it WHERE k = 30""",
     "leakage_measured": f"WITH {NAIVE_SPLIT}, {LEAK}",
     "leakage_patient_clean": f"WITH {PATIENT_SPLIT}, {LEAK}",
     "site_holdout_sizes": f"WITH {IMAGES}, s AS (SELECT DISTINCT site AS holdout FROM images) SELECT holdout, CASE WHEN site = holdout THEN 'test' ELSE 'train' END AS partition, count(*) AS images, count(DISTINCT group_key) AS groups FROM images, s GROUP BY 1, 2",

@@ -127,7 +127,9 @@ def noise_floor(rows: DataFrame, n_sim: int = 1000, n_bins: int = 10, seed: int
     """95th percentile of the calibration error of outcomes drawn from the probabilities themselves; bins stay fixed."""
     from auditframe.functions.numeric import uniform
 
-    binned = me.quantile_bins(rows, n_bins).withColumn("u", F.monotonically_increasing_id() if "uid" not in rows.columns else F.col("uid"))
+    if "uid" not in rows.columns:
+        raise ValueError("units need a uid: their draws hang on it")
+    binned = me.quantile_bins(rows, n_bins).withColumn("u", F.col("uid"))
     drawn = binned.select("bin", "p", "u", F.explode(F.sequence(F.lit(0), F.lit(n_sim - 1))).alias("b"))
     y = (uniform(F.concat_ws(":", F.lit(f"nf:{seed}"), F.col("b").cast("string"), F.col("u").cast("string"))) < F.col("p")).cast("double")
     gaps = drawn.groupBy("b", "bin").agg(F.abs(F.sum(F.col("p") - y)).alias("gap"), F.count("*").alias("n"))
@@ -136,17 +138,20 @@ def noise_floor(rows: DataFrame, n_sim: int = 1000, n_bins: int = 10, seed: int
 
 
 def ece_interval(rows: DataFrame, seed: int, n_boot: int = 2000, n_bins: int = 10) -> DataFrame:
-    """Interval of the quantile-bin calibration error with edges recomputed in each resample: ranks are windows over weighted distinct values."""
-    from pyspark.sql import Window
+    """(statistic, value, lo, hi, n_valid) of the quantile-bin calibration error, its edges taken anew from each resample.
 
+    A resample is weights on distinct values: its percentile edges (linear between the values at the two ranks) are exact
+    percentiles with these weights, equal edges collapse, and an edge belongs to the upper bin, as in ``quantile_bins``.
+    """
     from auditframe.operators import bootstrap as bs
 
     index = bs.group_index(rows)
-    w = bs.weights(index, index.count(), seed, n_boot)
+    w = bs.weights(index, index.count(), seed, n_boot).unionByName(index.select(F.lit(-1).alias("b"), "g", F.lit(1).cast("long").alias("w")))
     counts = rows.groupBy("group_key", "p").agg(F.count("*").alias("n"), F.sum("y").alias("y")).join(index, "group_key").join(w, "g")
     by_value = counts.groupBy("b", "p").agg(F.sum(F.col("n") * F.col("w")).alias("n"), F.sum(F.col("y") * F.col("w")).alias("y"))
-    run, whole = Window.partitionBy("b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("b")
-    place = by_value.withColumn("bin", F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) * F.lit(n_bins) / F.sum("n").over(whole)))
+    cuts = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
+    edges = by_value.groupBy("b").agg(F.array_distinct(F.percentile("p", cuts, F.col("n"))).alias("edges"))
+    place = by_value.join(edges, "b").withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("p"))))
     gaps = place.groupBy("b", "bin").agg(F.abs(F.sum(F.col("p") * F.col("n")) - F.sum("y")).alias("gap"), F.sum("n").alias("n"))
     each = gaps.groupBy("b").agg(div(F.sum("gap"), F.sum("n")).alias("v")).withColumn("statistic", F.lit("ece"))
-    return bs.interval(each, [], 0.95)
+    return bs.estimate(each.filter("b < 0").drop("b"), each.filter("b >= 0"), [])

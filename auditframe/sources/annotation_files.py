@@ -13,6 +13,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,21 +92,68 @@ def read_labelme(docs: DataFrame) -> DataFrame:
     return rows
 
 
-def archive_members(spark: SparkSession, paths: str | list[str], prefix: str = "", suffix: str = ".png") -> DataFrame:
-    """(archive, member, size, sha, content) of direct members below ``prefix``; deeper folders are left out."""
+#: Bytes hashed at once.
+PIECE = 1 << 20
+
+
+def _opened(uri: str):
+    system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return system.open_input_file(path)
+
+
+def archive_listing(spark: SparkSession, paths: str | list[str], prefix: str = "", suffix: str = ".png") -> DataFrame:
+    """(uri, archive, archive_size, member, name, size, crc) of direct members below ``prefix``; deeper folders are left out. Reads directories of archives only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for uri in batch.column(0).to_pylist():
+                with _opened(uri) as file, zipfile.ZipFile(file) as archive:
+                    rows = []
                     for info in archive.infolist():
                         rest = info.filename[len(prefix) :]
-                        if info.filename.startswith(prefix) and rest.endswith(suffix) and "/" not in rest:
-                            data = archive.read(info)
-                            yield pa.RecordBatch.from_pylist([{"archive": path.rpartition("/")[2], "member": rest, "size": len(data), "sha": hashlib.sha256(data).hexdigest(), "content": data}])
+                        if info.filename.startswith(prefix) and rest.endswith(suffix) and rest and "/" not in rest:
+                            rows.append({"uri": uri, "archive": uri.rpartition("/")[2], "archive_size": file.size(), "member": rest, "name": info.filename, "size": info.file_size, "crc": info.CRC})
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows)
+
+    names = spark.read.format("binaryFile").load(paths).select("path")  # the content column is pruned: files are not read
+    return names.mapInArrow(run, "uri string, archive string, archive_size long, member string, name string, size long, crc long")
+
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "archive string, member string, size long, sha string, content binary")
+def read_members(listing: DataFrame, content: bool = True) -> DataFrame:
+    """``listing`` with ``sha`` and, if wanted, ``content``. Members are spread over tasks, whichever archive they lie in, and hashed by pieces."""
+    kinds = "uri string, archive string, archive_size long, member string, name string, size long, crc long, sha string" + (", content binary" if content else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, file, archive = None, None, None
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["uri"] != now:
+                        if archive is not None:
+                            archive.close()
+                            file.close()
+                        now, file = row["uri"], _opened(row["uri"])
+                        archive = zipfile.ZipFile(file)
+                    digest, parts = hashlib.sha256(), []
+                    with archive.open(row["name"]) as member:
+                        while piece := member.read(PIECE):
+                            digest.update(piece)
+                            if content:
+                                parts.append(piece)
+                    yield pa.RecordBatch.from_pylist([row | {"sha": digest.hexdigest()} | ({"content": b"".join(parts)} if content else {})])
+        finally:
+            if archive is not None:
+                archive.close()
+                file.close()
+
+    rows = listing.select("uri", "archive", "archive_size", "member", "name", "size", "crc")
+    return rows.repartition("uri", F.pmod(F.xxhash64("name"), F.lit(64))).sortWithinPartitions("uri", "name").mapInArrow(run, kinds)
+
+
+def archive_members(spark: SparkSession, paths: str | list[str], prefix: str = "", suffix: str = ".png") -> DataFrame:
+    """Listing, digest and content of all members."""
+    return read_members(archive_listing(spark, paths, prefix, suffix))
 
 
 def verified(files: DataFrame, published: dict[str, str]) -> DataFrame:
@@ -118,12 +166,13 @@ def verified(files: DataFrame, published: dict[str, str]) -> DataFrame:
 
 
 def new_members(listing: DataFrame, cache: DataFrame) -> DataFrame:
-    """Members that the cache has not hashed yet: keyed by archive, member and size, so a new release is hashed again."""
-    return listing.join(cache.select("archive", "member", "size"), ["archive", "member", "size"], "left_anti")
+    """Members that the cache has not hashed yet: keyed by archive, its size, member, size and checksum, so a new release is hashed again."""
+    key = ["archive", "archive_size", "member", "size", "crc"]
+    return listing.join(cache.select(*key), key, "left_anti")
 
 
 def store_content(members: DataFrame, path: str) -> DataFrame:
-    """Write each content once, addressed by its digest; contents that are there already are left alone. Returns what was new."""
+    """Write each content once, addressed by its digest; contents that are there already are left alone, and one that is not its digest's is an error."""
     spark = members.sparkSession
     rows = members.groupBy("sha").agg(F.first("content").alias("content"))
     try:
@@ -131,6 +180,28 @@ def store_content(members: DataFrame, path: str) -> DataFrame:
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-    rows = rows.filter(F.sha2("content", 256) == F.col("sha"))
-    rows.write.mode("append").parquet(path)
+    right = F.when(F.sha2("content", 256) == F.col("sha"), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("content is not what its digest says: "), "sha")).cast("binary"))
+    rows.select("sha", right.alias("content")).write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+def load_release(annotated: DataFrame, boxes: DataFrame, index: DataFrame, subset: str, box_subset: str, evaluation_only: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(images, conflicts)`` of a release.
+
+    ``annotated``: (file, annotations) of ``subset``; ``boxes``: (file, fdi) of every tooth of ``box_subset``; ``index``: (subset, file, sha). Files meet contents by an inner
+    join, a file without content being an error. An image has the tooth inventory of the box files with its bytes; where such
+    copies disagree it has none, and is a conflict. ``copies_in``: the other subsets with its bytes; ``training_copies``: those but ``evaluation_only``.
+    """
+    of = lambda name: index.filter(F.col("subset") == name).select("file", "sha")
+    for rows, name in ((annotated, subset), (boxes, box_subset)):
+        lost = rows.select("file").distinct().join(of(name), "file", "left_anti").orderBy("file").limit(3).collect()
+        if lost:
+            raise UnreadableAnnotation(f"annotated but not in the release: {[r.file for r in lost]}")
+    teeth = boxes.join(of(box_subset), "file").groupBy("sha", "file").agg(F.sort_array(F.collect_set("fdi")).alias("teeth"))
+    per = teeth.groupBy("sha").agg(F.count_distinct("teeth").alias("kinds"), F.min("teeth").alias("teeth"))
+    conflicts = per.filter("kinds > 1").select("sha", F.lit("copies have different inventories").alias("reason"))
+    places = index.groupBy("sha").agg(F.sort_array(F.collect_set("subset")).alias("all"))
+    rows = annotated.join(of(subset), "file").join(per.filter("kinds = 1").select("sha", F.col("teeth").alias("teeth_present")), "sha", "left").join(places, "sha")
+    others = F.array_except("all", F.array(F.lit(subset)))
+    training = F.array_except(others, F.array(*map(F.lit, evaluation_only)).cast("array<string>"))
+    return rows.select("file", "sha", "annotations", "teeth_present", others.alias("copies_in"), training.alias("training_copies")), conflicts

@@ -1,7 +1,8 @@
 """An extension: the leakage check on a stream of arriving images.
 
 A patient who has been seen in one partition and arrives in another is flagged at once, and
-only once. State is a partition name per group; it ends when the watermark passes ``ttl``.
+only once. State is a partition name per group; it ends when the watermark has passed the group's
+last arrivals by ``ttl``.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql.streaming.state import GroupState
 FLAGS = "group_key string, first_partition string, partition string, image_id string"
 
 
-def monitor(arrivals: DataFrame, ttl: str = "30 days") -> DataFrame:
-    """Flags of a stream (group_key, partition, image_id, ts)."""
+def monitor(arrivals: DataFrame, ttl_seconds: int = 30 * 86400, late: str = "1 day") -> DataFrame:
+    """Flags of a stream (group_key, partition, image_id, ts); arrivals more than ``late`` behind the newest are ignored."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -32,9 +33,10 @@ def monitor(arrivals: DataFrame, ttl: str = "30 days") -> DataFrame:
                     flagged = True
                     yield pd.DataFrame([(key[0], first, partition, image)], columns=["group_key", "first_partition", "partition", "image_id"])
         state.update((first, flagged))
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + ttl_seconds * 1000)
 
-    rows = arrivals.withWatermark("ts", ttl).groupBy("group_key")
-    return rows.applyInPandasWithState(update, FLAGS, "first string, flagged boolean", "append", "NoTimeout")
+    rows = arrivals.withWatermark("ts", late).groupBy("group_key")
+    return rows.applyInPandasWithState(update, FLAGS, "first string, flagged boolean", "append", "EventTimeTimeout")
 
 
 def drift(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

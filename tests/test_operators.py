@@ -35,7 +35,7 @@ def test_leakage_is_counted_and_raises(spark):
         sp.checked(rows)
     assert sp.checked(rows, allow_leakage=True) is rows
     twice = parts(spark, [("train", "i1", "a"), ("test", "i1", "a")])
-    with pytest.raises(sp.LeakageError, match="several"):
+    with pytest.raises(sp.LeakageError, match="more than once"):
         sp.checked(twice, allow_leakage=True)
 
 
@@ -71,6 +71,54 @@ def test_site_holdout(spark, images):
     assert rows.count() == 1200 and rows.filter("partition = 'test' AND site <> holdout").count() == 0
     with pytest.raises(ValueError, match="no site"):
         sp.leave_one_site_out(images.withColumn("site", F.lit(None).cast("string")))
+    with pytest.raises(ValueError, match="two sites"):
+        sp.leave_one_site_out(images.withColumn("site", F.lit("a")))
+    with pytest.raises(sp.LeakageError, match="span"):
+        sp.leave_one_site_out(images.withColumn("site", F.concat("site", F.pmod(F.xxhash64("image_id"), F.lit(2)).cast("string"))))
+
+
+def test_a_repeated_image_is_an_error_wherever(spark):
+    twice = parts(spark, [("train", "i1", "a"), ("train", "i1", "a"), ("test", "i2", "b")])
+    assert sp.leakage(twice).first().repeated_images == 1
+    with pytest.raises(sp.LeakageError, match="more than once"):
+        sp.checked(twice)
+    rows = parts(spark, [("train", "i1", "a"), ("test", "i2", "b")]).withColumn("patient_id_source", F.lit("assumed_unique"))
+    assert sp.leakage(rows).first().unverifiable_groups == 2
+
+
+def test_split_is_checked_when_it_is_made(spark, images):
+    clean = sp.group_split(images, 1)
+    assert sp.split(clean, "patient") is clean
+    naive = sp.naive_image_split(images, 1)
+    assert sp.split(naive, "image_naive", allow_leakage=True) is naive
+    for rows, kind, allow in ((naive, "patient", False), (naive, "patient", True), (clean, "other", False), (clean.filter("partition = 'train'"), "patient", False)):
+        with pytest.raises(ValueError):
+            sp.split(rows, kind, allow)
+    with pytest.warns(UserWarning, match="leaks no group"):
+        sp.split(clean, "image_naive", allow_leakage=True)
+
+
+def test_stratified_folds(images):
+    folds = sp.group_kfold(images, 1, 4, stratum=F.max((F.col("site") == "A").cast("int")))
+    assert folds.count() == 600 and folds.groupBy("group_key").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+    with pytest.raises(ValueError):
+        sp.group_kfold(images.limit(3), 1, 50)
+
+
+def test_operating_point_groups(spark):
+    fitted, rows = spark.createDataFrame([("a",), ("b",)], "group_key string"), spark.createDataFrame([("b",), ("c",), ("c",)], "group_key string")
+    with pytest.raises(sp.LeakageError, match="'b'"):
+        sp.disjoint_groups(fitted, rows)
+    assert sp.disjoint_groups(fitted, rows, allow_overlap=True) == 1 and sp.disjoint_groups(fitted.filter("group_key = 'a'"), rows) == 0
+
+
+def test_training_sets(spark):
+    rows = [(i, f"s{i}", f"g{i}") for i in range(10)] + [(10, "h0", "x"), (11, "s0", "k")]
+    sets = sp.training_sets(spark.createDataFrame(rows, "file long, sha string, group_key string"), spark.createDataFrame([("h0", "held"), ("z", "k")], "sha string, group_key string"), 1)
+    of = {}
+    for r in sets.collect():
+        of.setdefault(r.set, set()).add(r.file)
+    assert of["honest"] == set(range(10)) and of["naive"] == set(range(12)) and len(of["swap"]) == 10 and of["swap"] - of["honest"] == {10}
 
 
 @pytest.mark.parametrize("fractions", [{"a": 1.0}, {"a": 0.5, "b": 0.6}, {"a": 1.2, "b": -0.2}])
@@ -104,8 +152,14 @@ def test_consensus_is_the_lower_median(spark):
 FLEISS = [[0, 0, 0, 0, 14], [0, 2, 6, 4, 2], [0, 0, 3, 5, 6], [0, 3, 9, 2, 0], [2, 2, 8, 1, 1], [7, 7, 0, 0, 0], [3, 2, 6, 3, 0], [2, 5, 3, 2, 2], [6, 5, 2, 1, 0], [0, 2, 2, 3, 7]]
 
 
+def test_fleiss_needs_a_complete_design(spark):
+    with pytest.raises(ag.IncompleteDesign, match="u1"):
+        ag.fleiss(long(spark, [[0, 1], [1, None], [1, 1]]), 2)
+    assert ag.complete(long(spark, [[0, 1], [1, None], [1, 1]])).count() == 4
+
+
 def test_fleiss(spark):
-    assert round(value(ag.fleiss(long(spark, [[c for c, n in enumerate(row) for _ in range(n)] for row in FLEISS])), "kappa"), 3) == 0.210
+    assert round(value(ag.fleiss(long(spark, [[c for c, n in enumerate(row) for _ in range(n)] for row in FLEISS]), 5), "kappa"), 3) == 0.210
 
 
 #: A published example: four coders, twelve units, values 1 to 5.
@@ -321,7 +375,26 @@ def test_near_pairs_is_exact(spark):
         want = {(a, b) for s, a in first.items() for t, b in first.items() if a < b and bin(s ^ t).count("1") <= most}
         assert {(r.a, r.b) for r in dd.near_pairs(rows, most).collect()} == want
     with pytest.raises(ValueError):
-        dd.near_pairs(rows, 16)
+        dd.near_pairs(rows, 32)
+    first, want = {}, None
+    for equal in (1, 2, 3, 4):  # whatever the width of the keys
+        got = {tuple(r) for r in dd.near_pairs(rows, 4, equal=equal).collect()}
+        want = want or got
+        assert got == want and got
+    assert dd.agreeing_bands(10**9, 6) > dd.agreeing_bands(100, 6)
+
+
+def test_near_pairs_by_two_signals(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    thumbs = [rng.random(8).tolist() for _ in range(6)]
+    thumbs += [(2.0 * np.array(t) + 1).tolist() for t in thumbs[:3]]
+    rows = [(i, (i % 3) << 40, t) for i, t in enumerate(thumbs)]
+    got = {(r.a, r.b): r.correlation for r in dd.near_pairs(spark.createDataFrame(rows, "id long, sig long, thumb array<double>"), 6, -1.0).collect()}
+    assert len(got) == 36 and all(abs(c - np.corrcoef(thumbs[a], thumbs[b])[0, 1]) < 1e-9 for (a, b), c in got.items())
+    high = dd.near_pairs(spark.createDataFrame(rows, "id long, sig long, thumb array<double>"), 6, 0.999)
+    assert {(r.a, r.b) for r in high.collect()} == {(0, 6), (1, 7), (2, 8)}
 
 
 def simhash_brute(text):
@@ -352,7 +425,8 @@ def test_copies_count_as_items(spark):
     near = {(a, b): d for a, b in combinations(range(9), 2) if (d := bin((sigs[a] ^ sigs[b]) & (2**64 - 1)).count("1")) <= 6}
     rows = spark.createDataFrame(list(enumerate(sigs)), "id long, sig long")
     pairs, members = dd.near_pairs(rows, 6), dd.members(rows)
-    grid = {r.most: r.n for r in dd.threshold_grid(dd.pair_counts(pairs, members), [0, 2, 6]).collect()}
+    counts = dd.pair_counts(pairs, members).withColumn("correlation", F.coalesce("correlation", F.lit(1.0)))
+    grid = {r.most: r.n for r in dd.threshold_grid(counts, [0, 2, 6], [0.9]).collect()}
     assert grid == {most: sum(d <= most for d in near.values()) for most in (0, 2, 6)} and grid[0] == 5
     labels = {i: i for i in range(9)}
     for a, b in sorted(near) * 9:
@@ -372,12 +446,8 @@ def test_connected(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (102, 101)], "a long, b long")
     labels = {r.id: r.label for r in dd.connected(links).collect()}
     assert {labels[i] for i in range(31)} == {0} and {labels[i] for i in (100, 101, 102)} == {100}
-
-
-def test_cosine_and_nearest(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0])], "id long, v array<double>")
-    got = {(r.a, r.b): round(r.cosine, 6) for r in dd.cosine_blocks(rows, 3).collect()}
-    assert got == {(1, 2): 0, (1, 3): 0.707107, (2, 3): 0.707107}
+    with pytest.raises(dd.NotConverged):
+        dd.connected(links, rounds=1)
 
 
 def test_hypothesis_tests(spark):
@@ -431,6 +501,8 @@ def test_readers_are_not_pooled_silently(spark):
 
 def test_inventory_must_be_independent(spark):
     assert rc.check_inventory(record(spark)) == 0.5
+    with pytest.raises(rc.InvalidRecord):
+        rc.check_inventory(record(spark), 0.6)
     with pytest.raises(rc.InvalidRecord, match="independent"):
         rc.check_inventory(record(spark, teeth_present=[16]))
 
@@ -445,3 +517,65 @@ def test_label_mapping(spark):
             mp.Rules(bad)
     with pytest.raises(ValueError):
         mp.Rules([], version="1")
+
+
+# --- Running sums --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("descending, largest", [(False, False), (True, False), (False, True), (True, True)])
+def test_running(spark, descending, largest):
+    import random
+
+    from auditframe.operators.running import running
+
+    rng = random.Random(1)
+    rows = [(k, x, rng.randint(-5, 9)) for k in "ab" for x in sorted({rng.choice([rng.random(), 1e6 * rng.random(), 0.5]) for _ in range(300)})] + [("c", 2.0, 4)]
+    got = {(r.k, r.x): (r.v, r.v_before) for r in running(spark.createDataFrame(rows, "k string, x double, v long"), ["k"], "x", ["v"], descending, largest).collect()}
+    for k in "abc":
+        total = None
+        for _, x, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1], reverse=descending):
+            before, total = total, v if total is None else max(total, v) if largest else total + v
+            assert got[k, x] == (total, before)
+
+
+def ap_brute(rows, n_pos):
+    order = sorted(rows, key=lambda r: (-r[0], r[1]))
+    hits, precision = 0, []
+    for k, (_, _, tp) in enumerate(order, 1):
+        hits += tp
+        precision.append(hits / k)
+    return sum(max(precision[k:]) for k, r in enumerate(order) if r[2]) / n_pos
+
+
+def test_average_precision_with_ties(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, rng.randint(0, 12) / 10, f"d{i:03d}", rng.random() < 0.4) for k in (1, 2) for i in range(120)]
+    got = de.average_precision(spark.createDataFrame(rows, "k int, score double, det_id string, tp boolean"), spark.createDataFrame([(1, 70), (2, 90), (3, 5)], "k int, n_pos long"), ["k"])
+    found = {r.k: r.ap for r in got.collect()}
+    assert all(abs(found[k] - ap_brute([r[1:] for r in rows if r[0] == k], n)) < 1e-9 for k, n in ((1, 70), (2, 90))) and found[3] == 0
+
+
+def test_resampled_average_precision(spark):
+    rows = [("g1", 0.9, True), ("g1", 0.8, False), ("g2", 0.7, True), ("g2", 0.7, False), ("g3", 0.95, False)]
+    lesions = [("g1",), ("g2",), ("g2",)]
+    values, samples = de.resampled_average_precision(spark.createDataFrame(rows, "group_key string, score double, tp boolean"), spark.createDataFrame(lesions, "group_key string"), [], 3, 50)
+    # .95 wrong; .9 right: 1/2; .8 wrong; the two at .7 enter together: 2/5
+    assert abs(values.first().v - (0.5 + 0.4) / 3) < 1e-9
+    drawn = samples.collect()
+    assert len(drawn) <= 50 and all(r.v is None or 0 <= r.v <= 1 for r in drawn)
+    one = {r.b: r.v for r in drawn}
+    w = {}
+    for r in bs.weights(bs.group_index(spark.createDataFrame(rows, "group_key string, score double, tp boolean")), 3, 3, 50).collect():
+        w.setdefault(r.b, {})[f"g{r.g + 1}"] = r.w
+    for b, by in w.items():
+        again = [x for x in rows for _ in range(by.get(x[0], 0))]  # weights are repeated rows
+        n_pos = sum(by.get(g, 0) for g, in lesions)
+        steps, total = [], 0.0
+        for s in sorted({x[1] for x in again}, reverse=True):
+            upto = [x for x in again if x[1] >= s]
+            steps.append((sum(x[2] for x in again if x[1] == s), sum(x[2] for x in upto) / len(upto)))
+        for k, (hits, _) in enumerate(steps):
+            total += hits * max(p for _, p in steps[k:])
+        assert one.get(b) is None if not n_pos else abs(one[b] - total / n_pos) < 1e-9

@@ -59,6 +59,13 @@ def test_archives(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     assert af.store_content(members, path).count() == 1 and af.store_content(members, path).count() == 1
     assert af.new_members(members, members.limit(1)).count() == 1
+    listing = af.archive_listing(spark, str(tmp_path / "r.zip"), "xray/")
+    assert af.new_members(listing, listing.withColumn("crc", F.col("crc") + 1)).count() == 2
+    import hashlib
+
+    assert {r.sha for r in af.read_members(listing, content=False).collect()} == {hashlib.sha256(b"one").hexdigest()}
+    with pytest.raises(Exception, match="not what its digest says"):
+        af.store_content(members.withColumn("content", F.lit(b"changed")), f"file://{tmp_path}/other")
     with pytest.raises(ValueError, match="checksum"):
         af.verified(spark.read.format("binaryFile").load(str(tmp_path / "r.zip")), {"r.zip": "0"})
 
@@ -66,8 +73,8 @@ def test_archives(spark, tmp_path):
 def test_mixture_separates_two_modes(spark):
     two = spark.range(3000).select((F.when(F.col("id") % 10 == 0, 0.9).otherwise(0.4) + (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0 - 0.5) * 0.1).alias("x"))
     fit = pr.fit_mixture(two, "x")
-    assert fit.separated and 0.45 < fit.threshold() < 0.88 and abs(fit.high_weight - 0.1) < 0.02
-    one = spark.range(3000).select(sum((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0 for k in range(6)), F.lit(0.0)).alias("x"))
+    assert fit.separated and 0.45 < fit.crossing() < 0.88 and abs(fit.high.share - 0.1) < 0.02 and fit.distance > 4
+    one = spark.range(3000).select((sum((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000.0 for k in range(6)), F.lit(0.0)) / 6).alias("x"))
     assert not pr.fit_mixture(one, "x").separated
 
 
@@ -102,6 +109,32 @@ def test_leakage_monitor(spark, tmp_path):
     assert [tuple(r) for r in spark.table("flags").collect()] == [("p1", "train", "test", "i3")]
 
 
+def test_monitor_state_ends(spark, tmp_path):
+    schema = "group_key string, partition string, image_id string, ts timestamp"
+    days = [[("p1", "train", "i1", 0)], [("p2", "train", "x", 40)], [("p2", "train", "y", 41)], [("p1", "test", "i3", 42)]]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = None
+    for k, rows in enumerate(days):  # p1 is forgotten once the watermark has passed its ten days
+        spark.createDataFrame([(*r[:3], dt.datetime(2024, 1, 1) + dt.timedelta(days=r[3])) for r in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        if query is None:
+            query = lm.monitor(stream, ttl_seconds=10 * 86400).writeStream.format("memory").queryName("forgotten").option("checkpointLocation", f"{tmp_path}/state").start()
+        query.processAllAvailable()
+    query.stop()
+    assert spark.table("forgotten").count() == 0
+
+
+def test_release_loader(spark):
+    index = spark.createDataFrame([("diag", "a", "s1"), ("diag", "b", "s2"), ("diag", "c", "s3"), ("enum", "a", "s1"), ("enum", "x", "s2"), ("enum", "y", "s2"), ("test", "t", "s3")], "subset string, file string, sha string")
+    notes = spark.createDataFrame([(f, [f"n{f}"]) for f in "abc"], "file string, annotations array<string>")
+    boxes = spark.createDataFrame([("a", 11), ("a", 21), ("x", 11), ("y", 12)], "file string, fdi int")
+    images, conflicts = af.load_release(notes, boxes, index, "diag", "enum", ["test"])
+    got = {r.file: (r.teeth_present, r.copies_in, r.training_copies) for r in images.collect()}
+    assert got == {"a": ([11, 21], ["enum"], ["enum"]), "b": (None, ["enum"], ["enum"]), "c": (None, ["test"], [])}
+    assert [r.sha for r in conflicts.collect()] == ["s2"]
+    with pytest.raises(af.UnreadableAnnotation, match="not in the release"):
+        af.load_release(notes, boxes, index.filter("file <> 'c'"), "diag", "enum")
+
+
 def test_drift(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     spark.createDataFrame([(at + dt.timedelta(minutes=40 * i), 0.5, i % 2) for i in range(6)], "ts timestamp, p double, y int").write.parquet(f"{tmp_path}/in")
