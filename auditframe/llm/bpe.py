@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import slices, table
+from auditframe.llm.common import slices, table, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Code points scanned at once, and pieces in each of the two generations of the cache.
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     names = [id_col, "ids", "token_ends"]
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, f"`{id_col}` long, ids array<int>" + ", token_ends array<long>" * with_offsets)
+    return rows.mapInArrow(tidy(run), f"`{id_col}` long, ids array<int>" + ", token_ends array<long>" * with_offsets)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -272,7 +272,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.binary())], [id_col, "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(run, f"`{id_col}` long, ids array<int>, decoded binary")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` long, ids array<int>, decoded binary")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -26,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="auditframe-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/auditframe-{uuid.uuid4().hex}"
@@ -52,6 +57,20 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of a Python worker that gives its free memory back when a task ends: workers live on, beside the JVM's next stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def map_rows(docs: DataFrame, run, added: dict[str, DataType] | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """``docs.mapInArrow(run)`` for column names of any kind; rows keep the columns of ``docs`` but for ``more``, and get those of ``added``.
 
@@ -61,7 +80,7 @@ def map_rows(docs: DataFrame, run, added: dict[str, DataType] | None = None, mor
     kept = [f for f in docs.schema.fields if f.name not in more]
     kinds = [*(f.dataType for f in kept), *(added or {}).values()]
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(run, StructType([StructField(f"c{i}", k) for i, k in enumerate(kinds)])).toDF(*names)
+    return plain.mapInArrow(tidy(run), StructType([StructField(f"c{i}", k) for i, k in enumerate(kinds)])).toDF(*names)
 
 
 def few(df: DataFrame, most: int) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from auditframe.llm.common import few, fresh, map_rows, shared_dir, stored, table
+from auditframe.llm.common import few, fresh, map_rows, shared_dir, stored, table, tidy
 
 MIN_DOCS, MIN_TOKENS, LEADING, ALIKE = 4, 3, 3, 0.85
 #: A line of LONG tokens or more recurs from LONG_DOCS different texts on.
@@ -132,16 +132,16 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS, alike: float = ALIKE,
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``(line, keeper)``: hashes of the lines of recurring templates, and the text that keeps each. ``docs``: (doc_id, text)."""
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession)
-    seen = docs.mapInArrow(_line_rows, LINE_ROWS)
+    seen = docs.mapInArrow(tidy(_line_rows), LINE_ROWS)
     seen = stored(seen.groupBy("leaf", "line", "long", "text_key").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("doc_id")), f"{path}/seen")
     lines = seen.groupBy("leaf", "line").agg(F.count("*").alias("texts"))
     leaves = stored(seen.groupBy("leaf").agg(F.count("*").alias("texts")).filter(F.col("texts") >= min_docs).select("leaf"), f"{path}/leaves")
     side = few(leaves, broadcast_keys)
     if leaves.count() <= broadcast_keys:
         wanted = spark.sparkContext.broadcast(frozenset(r.leaf for r in leaves.toLocalIterator()))
-        tokens = docs.mapInArrow(_token_rows(lambda leaf: leaf in wanted.value), TOKEN_ROWS)
+        tokens = docs.mapInArrow(tidy(_token_rows(lambda leaf: leaf in wanted.value)), TOKEN_ROWS)
     else:
-        tokens = docs.mapInArrow(_token_rows(lambda leaf: True), TOKEN_ROWS).join(leaves, "leaf", "left_semi")
+        tokens = docs.mapInArrow(tidy(_token_rows(lambda leaf: True)), TOKEN_ROWS).join(leaves, "leaf", "left_semi")
     tokens = tokens.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
     lines = stored(lines.join(side, "leaf", "left_semi").join(tokens, ["leaf", "line"]).select("leaf", "line", "texts", "tokens"), f"{path}/lines")
     able = stored(templates(lines, min_docs, broadcast_keys=broadcast_keys), f"{path}/templates")
@@ -184,9 +184,9 @@ def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     else:
         address, keepers = fresh(docs, "address", "keepers")
         beside = (keepers,)
-        pairs = lean.mapInArrow(_line_rows, LINE_ROWS).select("line", "text_key").distinct().join(found, "line")
+        pairs = lean.mapInArrow(tidy(_line_rows), LINE_ROWS).select("line", "text_key").distinct().join(found, "line")
         mine = pairs.groupBy("text_key").agg(F.map_from_entries(F.collect_set(F.struct("line", "keeper"))).alias(keepers))
-        keys = lean.mapInArrow(_keys, "address binary, text_key long").distinct()
+        keys = lean.mapInArrow(tidy(_keys), "address binary, text_key long").distinct()
         rows = docs.withColumn(address, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
         rows = rows.join(keys.join(mine, "text_key").select(F.col("address").alias(address), keepers), address, "left").select(*[F.col(f"`{c}`") for c in docs.columns], keepers)
 

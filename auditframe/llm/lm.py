@@ -41,7 +41,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import shared_dir, table
+from auditframe.llm.common import shared_dir, table, tidy
 
 PRUNE, DISCOUNT = 1, 0.75
 #: Tokens counted at once in a map task; bytes of text per vocabulary piece, tokens per trie piece.
@@ -578,12 +578,12 @@ def fit(texts: DataFrame, path: str) -> Trie:
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     pieces = max(1, -(-size // PIECE_BYTES))
     spread = lambda rows: rows.repartition(max(pieces, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "piece").groupBy("piece")
-    merged = spread(texts.mapInArrow(_count_words(pieces), ROWS)).applyInArrow(_merge_words(path), "piece int, types long, tokens long").collect()
+    merged = spread(texts.mapInArrow(tidy(_count_words(pieces)), ROWS)).applyInArrow(_merge_words(path), "piece int, types long, tokens long").collect()
     stats = {r.piece: r for r in merged}
     words = Words(path, [stats[i].types if i in stats else 0 for i in range(pieces)], [stats[i].tokens if i in stats else 0 for i in range(pieces)])
     pieces = max(1, -(-words.tokens // PIECE_TOKENS))
     schema = "piece int, context long, mass double, pairs long, triples long"
-    edges = spread(texts.mapInArrow(_count_trigrams(words, pieces), ROWS)).applyInArrow(_merge_trigrams(path, words), schema).collect()
+    edges = spread(texts.mapInArrow(tidy(_count_trigrams(words, pieces)), ROWS)).applyInArrow(_merge_trigrams(path, words), schema).collect()
     mass: dict[int, float] = {}
     for r in sorted(edges, key=lambda r: (r.context, r.piece)):
         mass[r.context] = mass.get(r.context, 0.0) + r.mass
@@ -611,5 +611,5 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the rows that are not held out, score all."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     trie = fit(docs.filter(~held_out(F.col("doc_id"))), f"{shared_dir(spark)}/lm")
-    scored = docs.mapInArrow(_score(trie), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = docs.mapInArrow(tidy(_score(trie)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(trie.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")

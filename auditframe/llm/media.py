@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import shared_dir, slices, stored, table
+from auditframe.llm.common import shared_dir, slices, stored, table, tidy
 
 RATE = 8000
 #: Chunk sizes: cuts are sought between the least and the most; MASK_BITS gives the mean distance.
@@ -135,12 +135,12 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Store every text of ``docs`` below ``path``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    places = stored(rows.mapInArrow(_places, "digest binary, doc_id long, position int"), f"{path}/places")
+    places = stored(rows.mapInArrow(tidy(_places), "digest binary, doc_id long, position int"), f"{path}/places")
     uses = places.groupBy("digest").agg(F.count("*").alias("uses"), F.min(F.struct("doc_id", "position")).alias("owner"))
     shared = stored(uses.filter("uses > 1").select("digest", "owner.*"), f"{path}/shared")
     if shared.count() <= broadcast_digests:
         owners = spark.sparkContext.broadcast({bytes(r.digest): (r.doc_id, r.position) for r in shared.toLocalIterator()})
-        files = rows.mapInArrow(_listed(lambda batch: lambda row, digest: owners.value.get(digest)), FILES)
+        files = rows.mapInArrow(tidy(_listed(lambda batch: lambda row, digest: owners.value.get(digest))), FILES)
     else:
         own = F.collect_set(F.struct("digest", F.col("owner_id"), F.col("owner_position"))).alias("owners")
         owner = shared.select("digest", F.col("doc_id").alias("owner_id"), F.col("position").alias("owner_position"))
@@ -151,7 +151,7 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             lists = [{x["digest"]: (x["owner_id"], x["owner_position"]) for x in mine or ()} for mine in batch.column("owners").to_pylist()]
             return lambda row, digest: lists[row].get(digest)
 
-        files = known.mapInArrow(_listed(owners_of), FILES)
+        files = known.mapInArrow(tidy(_listed(owners_of)), FILES)
     files.write.option("compression", "zstd").parquet(f"{path}/files")
 
 
@@ -198,7 +198,7 @@ def read_media(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     item = F.struct("position", "digest", F.coalesce("own", "bytes").alias("bytes"), F.lit(True).alias("shared"))
     resolved = wanted.groupBy("file").agg(F.array_sort(F.collect_list(item)).alias("found"))
     resolved = resolved.select("file", F.transform("found", lambda x: F.struct(x["digest"].alias("digest"), x["bytes"].alias("bytes"), x["shared"].alias("shared"))).alias("chunks"))
-    media = alone.unionByName(whole).unionByName(resolved).mapInArrow(_whole, "file binary, media binary, feature string")
+    media = alone.unionByName(whole).unionByName(resolved).mapInArrow(tidy(_whole), "file binary, media binary, feature string")
     return files.select("doc_id", "n_bytes", "file"), media
 
 

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import few, fresh, shared_dir, slices, stored, table
+from auditframe.llm.common import few, fresh, shared_dir, slices, stored, table, tidy
 from auditframe.llm.components import components
 
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 20
@@ -247,7 +247,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     path = shared_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text).alias("node"), text.alias("text"))
-    known = stored(rows.mapInArrow(_sketches, "doc_id long, node binary, n int, sketches array<long>"), f"{path}/sketches")
+    known = stored(rows.mapInArrow(tidy(_sketches), "doc_id long, node binary, n int, sketches array<long>"), f"{path}/sketches")
     nodes = known.groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     # Buckets are found by lean numbers; u only brings the few texts back that share one.
     entries = nodes.select(F.xxhash64("node").alias("u"), F.explode("sketches").alias("bucket"))
@@ -290,7 +290,7 @@ def _verify(rows: DataFrame, pairs: DataFrame, similarity: float, broadcast_keys
     texts = rows.select("node", "text").join(few(wanted, broadcast_keys), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = stored(texts, f"{path}/texts")
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(similarity), "a binary, b binary, similarity double")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_verified(similarity)), "a binary, b binary, similarity double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:

@@ -41,13 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from auditframe.llm.common import slices, table
+from auditframe.llm.common import slices, table, tidy
 
 VOCABULARY, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
 #: Windows of a partition that are partly filled at any time.
 OPEN = 1024
 #: Distinct chunks in each of the two generations of the cache; pieces in an output batch.
-CACHE_CHUNKS, BATCH_IDS = 700_000, 1_000_000
+CACHE_CHUNKS, BATCH_IDS = 500_000, 1_000_000
 #: Characters whose chunks are looked up at once; new chunks tokenised together, and what stands between them.
 SLICE_CHARS, TOGETHER, MARK = 1_000_000, 2_000, "~"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -212,7 +212,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             yield out()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(tidy(run), PIECES)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import checkpointed, map_rows, table
+from auditframe.llm.common import checkpointed, map_rows, table, tidy
 
 SAMPLE_ROWS, LEXICON_UNITS = 20_000, 4_000
 #: Word beginnings of these lengths are lexicon units beside whole words.
@@ -234,12 +234,12 @@ def fit(train: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     if len(n) < 2:
         return Model({}, prior, 0.0, [], (np.zeros(1), np.zeros(1)))
-    counted = known.filter("fold < 2").mapInArrow(_unit_rows, "unit string, toxic long, clean long")
+    counted = known.filter("fold < 2").mapInArrow(tidy(_unit_rows), "unit string, toxic long, clean long")
     counted = counted.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.col("toxic") >= LEAST_TEXTS)
     odds = F.log((F.col("toxic") + 0.5) / (n[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (n[0] + 1.0))
     top = counted.select("unit", odds.alias("odds"), "toxic").filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), F.desc("toxic"), "unit").limit(LEXICON_UNITS)
     lexicon = {r.unit: r.odds for r in top.collect()}
-    dense = known.filter("fold >= 2").mapInArrow(_feature_rows(lexicon), "doc_id long, toxic int, fold long, x array<double>").collect()
+    dense = known.filter("fold >= 2").mapInArrow(tidy(_feature_rows(lexicon)), "doc_id long, toxic int, fold long, x array<double>").collect()
     dense.sort(key=lambda r: (r.doc_id, r.x))
     x, y, fold = np.array([r.x for r in dense]).reshape(len(dense), -1), np.array([r.toxic for r in dense], float), np.array([r.fold for r in dense])
     grow = fold < 4
@@ -260,7 +260,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def held_out(doc_id: Column) -> Column:
