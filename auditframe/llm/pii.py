@@ -30,6 +30,7 @@ ignored by ``find`` and pass through the pipeline stage.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,8 @@ OPENING, CLOSING = r"^[\"'(\[<{]+", r"[\"')\]>},.;:!?*#%&$]+$"
 MIXED = r"^(?=(?:[^0-9]*[0-9]){3})(?=(?:[^A-Za-z]*[A-Za-z]){3})[A-Za-z0-9+/_-]{12,}$"
 ROUNDS, STILL, CONFIDENT, KNOWN, MIXED_SEED, SUPPORT, SEEDS = 12, 0.01, 0.6, 0.5, 0.8, 3, 2
 BLOCK, BROADCAST_KEYS = 128, 300_000
+#: The white space of the patterns.
+WHITE = " \t\n\x0b\f\r"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -129,7 +132,8 @@ def instances(text: Column, base: Column) -> Column:
     def one(x: Column, before: Column) -> Column:
         token = x["match"]
         key = F.regexp_extract(token, KEY, 1)
-        word = lambda s: F.substring_index(F.rtrim(F.translate(s, "\t\n\x0b\f\r", "     ")), " ", -1)
+        # The last word: found from the end, so a long gap is not read.
+        word = lambda s: reduce(lambda y, c: F.substring_index(y, c, -1), WHITE, F.rtrim(s, F.lit(WHITE)))
         left = _let(word(x["gap"]), lambda w: F.when(w != "", w).otherwise(word(before)))
         pattern = F.lower(F.when(key != "", key).otherwise(left))
         lead = F.char_length(F.regexp_extract(token, OPENING, 0))
