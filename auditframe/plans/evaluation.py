@@ -12,6 +12,7 @@ from auditframe.operators import ratings as ra
 from auditframe.operators import records as rc
 from auditframe.operators import splits as sp
 from auditframe.operators.bootstrap import Resampled, difference, estimate
+from auditframe.operators.storage import materialised
 from auditframe.plans import study as st
 from auditframe.sources import fixtures as fx
 
@@ -128,11 +129,11 @@ def pairwise_kappa_ci(spark, d):
 
 def fleiss(spark, d):
     """Of the units that all readers graded."""
-    return _r(ag.fleiss(ag.complete(_readings(spark, d)), K), "kappa")
+    return _r(ag.fleiss(materialised(ag.complete(_readings(spark, d))), K), "kappa")
 
 
 def fleiss_ci(spark, d):
-    return Resampled(*ag.fleiss_sums(ag.complete(_readings(spark, d)), K), [], SEED, N_BOOT).estimates()
+    return Resampled(*ag.fleiss_sums(materialised(ag.complete(_readings(spark, d))), K), [], SEED, N_BOOT).estimates()
 
 
 def _alpha(metric):
