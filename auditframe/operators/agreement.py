@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -118,7 +119,12 @@ def krippendorff(ratings: DataFrame, metric: str, k: int) -> DataFrame:
     """One row (alpha). Metrics: nominal, ordinal, interval."""
     o = coincidences(ratings)
     cells = o.agg(*[F.coalesce(F.sum(F.when((F.col("a") == i) & (F.col("b") == j), F.col("o"))), F.lit(0.0)).alias(f"o{i}{j}") for i in range(k) for j in range(k)])
-    cell = lambda i, j: F.col(f"o{i}{j}")
+    return cells.select(alpha_of_cells(metric, k, 1).alias("alpha"))
+
+
+def alpha_of_cells(metric: str, k: int, scale: int) -> Column:
+    """Krippendorff's alpha of coincidences in columns o00, o01, ..., each ``scale`` times its value."""
+    cell = lambda i, j: F.col(f"o{i}{j}") / F.lit(float(scale))
     n_c = [sum((cell(i, j) for j in range(k)), F.lit(0.0)) for i in range(k)]
     n = sum(n_c, F.lit(0.0))
 
@@ -134,7 +140,22 @@ def krippendorff(ratings: DataFrame, metric: str, k: int) -> DataFrame:
     pairs_of = [(i, j) for i in range(k) for j in range(k) if i != j]
     observed = div(sum((cell(i, j) * delta(i, j) for i, j in pairs_of), F.lit(0.0)), n)
     expected = div(sum((n_c[i] * n_c[j] * delta(i, j) for i, j in pairs_of), F.lit(0.0)), n * (n - 1))
-    return cells.select((F.lit(1.0) - div(observed, expected)).alias("alpha"))
+    return F.lit(1.0) - div(observed, expected)
+
+
+def alpha_intervals(ratings: DataFrame, k: int, metrics: list[str], seed: int, n_boot: int = 2000, level: float = 0.95) -> DataFrame:
+    """(statistic, value, lo, hi, n_valid) of Krippendorff's alpha, groups drawn with replacement.
+
+    Coincidences are sums over units, so a resample is a weighted sum of its groups' tables. They are counted in parts of
+    the least common multiple of the numbers of partners, so the sums are whole numbers in any order.
+    """
+    each = [F.count_if(F.col("grade") == i).alias(f"n{i}") for i in range(k)]
+    units = ratings.groupBy("uid", "group_key").agg(*each).withColumn("m", sum((F.col(f"n{i}") for i in range(k)), F.lit(0))).filter("m >= 2")
+    most = units.agg(F.max("m")).first()[0] or 2
+    scale = math.lcm(*range(1, most))
+    part = F.lit(scale) / (F.col("m") - 1)
+    sums = {f"o{i}{j}": (F.col(f"n{i}") * (F.col(f"n{j}") - int(i == j)) * part).cast("long") for i in range(k) for j in range(k)}
+    return Resampled(units, sums, {m: alpha_of_cells(m, k, scale) for m in metrics}, [], seed, n_boot).estimates(level)
 
 
 def leave_one_out(ratings: DataFrame, min_consensus: int = 2) -> DataFrame:

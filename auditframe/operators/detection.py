@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions.numeric import div, iou
-from auditframe.operators.bootstrap import group_index, weights
+from auditframe.operators.bootstrap import Resampled, difference, estimate, group_index, weights
 from auditframe.operators.running import running
 
 
@@ -114,6 +114,29 @@ def enumeration(truth: DataFrame, predicted: DataFrame, threshold: float) -> Dat
     return truth.agg(F.count("*").alias("n_true")).join(predicted.agg(F.count("*").alias("n_pred"))).join(correct)
 
 
+def enumeration_counts(images: DataFrame, truth: DataFrame, predicted: DataFrame, threshold: float) -> DataFrame:
+    """(image_id, group_key, n_true, n_pred, correct) of every image: the sums that precision and recall over images are ratios of."""
+    both = predicted.select("image_id", "fdi", F.col("box").alias("p")).join(truth.select("image_id", "fdi", F.col("box").alias("t")), ["image_id", "fdi"])
+    correct = both.filter(iou(F.col("p"), F.col("t")) >= threshold).groupBy("image_id").agg(F.count("*").alias("correct"))
+    sizes = [rows.groupBy("image_id").agg(F.count("*").alias(name)) for rows, name in ((truth, "n_true"), (predicted, "n_pred"))]
+    out = images
+    for part in (*sizes, correct):
+        out = out.join(part, "image_id", "left")
+    return out.select("image_id", "group_key", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_true", "n_pred", "correct")])
+
+
+def copy_effect(honest: DataFrame, swapped: DataFrame, seed: int, n_boot: int = 2000) -> DataFrame:
+    """(statistic, value, lo, hi, n_valid): precision and recall of a model that saw copies of the test images minus one that did not.
+
+    Both are counts of the same images (``enumeration_counts``); rates are ratios of sums within each resample, and the
+    resamples are shared, so a difference is paired.
+    """
+    sums = {c: F.col(c) for c in ("n_true", "n_pred", "correct")}
+    finals = {"precision": div(F.col("correct"), F.col("n_pred")), "recall": div(F.col("correct"), F.col("n_true"))}
+    with_copies, without = (Resampled(rows, sums, finals, [], seed, n_boot) for rows in (swapped, honest))
+    return estimate(*difference(with_copies, without, paired=True), [])
+
+
 def inventory(boxes: DataFrame, min_score: float) -> DataFrame:
     """Best box per (image, tooth) with enough score; the first id on ties."""
     best = F.max_by(F.struct("box", "score"), F.struct("score", (-F.col("ordinal")).alias("o")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditframe.functions.numeric import div
+from auditframe.operators.bootstrap import group_index, weights
 from auditframe.operators.running import running
 from auditframe.operators.storage import materialised
 
@@ -29,6 +30,25 @@ def auc_by_level(units: DataFrame, levels: list[int]) -> DataFrame:
     return auc(rows, "p_lesion", F.col("level") > 0, ["at"]).withColumnRenamed("at", "level")
 
 
+def resampled_auc(units: DataFrame, score: str, seed: int, n_boot: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """``(values, samples)`` of auc_1 and auc_2 (levels 1 and 2 against sound units) and auc_gap (auc_2 - auc_1), by groups drawn with replacement.
+
+    Units enter as counts per group and distinct score, so a resample costs as many rows as there are distinct scores. A
+    resample without one of the levels has no value for what needs it.
+    """
+    index = group_index(units)
+    w = weights(index, index.count(), seed, n_boot).unionByName(index.select(F.lit(-1).alias("b"), "g", F.lit(1).cast("long").alias("w")))
+    counts = units.groupBy("group_key", F.col(score).alias("score")).agg(*[F.count_if(F.col("level") == i).alias(f"n{i}") for i in range(3)]).join(index, "group_key")
+    curve = counts.join(w, "g").groupBy("b", "score").agg(*[F.sum(F.col(f"n{i}") * F.col("w")).alias(f"n{i}") for i in range(3)])
+    below = F.coalesce(F.sum("n0").over(Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = curve.withColumn("twice", 2 * below + F.col("n0"))
+    total = wins.groupBy("b").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(3)], *[F.sum(F.col(f"n{i}") * F.col("twice")).alias(f"t{i}") for i in (1, 2)])
+    one = {i: div(F.col(f"t{i}"), 2 * F.col(f"n{i}") * F.col("n0")) for i in (1, 2)}
+    listed = F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), v.alias("v")) for n, v in (("auc_1", one[1]), ("auc_2", one[2]), ("auc_gap", one[2] - one[1]))]))
+    rows = total.select("b", listed.alias("s")).select("b", "s.*")
+    return rows.filter("b < 0").drop("b"), rows.filter("b >= 0")
+
+
 def brier(rows: DataFrame, keys: list[str]) -> DataFrame:
     e = F.col("p") - F.col("y")
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(e * e).alias("brier"))

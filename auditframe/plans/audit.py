@@ -109,6 +109,15 @@ def enumeration_pr(spark, d):
     return _r(found.select("*", div(F.col("correct"), F.col("n_pred")).alias("precision"), div(F.col("correct"), F.col("n_true")).alias("recall")), "precision", "recall")
 
 
+def copy_effect(spark, d):
+    """Enumeration by all detections minus that by confident ones only, on the same images and resamples."""
+    units, les, det = _boxes(spark, d)
+    images = units.groupBy("image_id").agg(F.min("group_key").alias("group_key"))
+    truth, found = _teeth(les, "lesion_id"), lambda rows: _teeth(rows, "det_id")
+    honest, swapped = (de.enumeration_counts(images, truth, found(rows), IOU) for rows in (det.filter(F.col("score") >= SCORE), det))
+    return de.copy_effect(honest, swapped, SEED, N_BOOT)
+
+
 def tooth_inventory(spark, d):
     _, _, det = _boxes(spark, d)
     fdi = (F.floor((F.col("box.y1") / 40.0)) % 4 + 1) * 10 + F.floor(F.col("box.x1") / 50.0) % 8 + 1
@@ -341,7 +350,7 @@ def not_computable_ledger(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    iou_pairs, greedy_match, detection_sens, fp_per_image, froc, ap_pooled, ap_interval, ap_by_level, enumeration_pr, tooth_inventory, content_overlap_matrix, exact_elsewhere,
+    iou_pairs, greedy_match, detection_sens, fp_per_image, froc, ap_pooled, ap_interval, ap_by_level, enumeration_pr, copy_effect, tooth_inventory, content_overlap_matrix, exact_elsewhere,
     within_subset_dups, near_pairs, near_pairs_two_signals, threshold_grid, nn_cosine, mixture_cut, recovered_by_both_signals, reencoded_matrix, any_copy, crossing_pairs, partner_in_train, side_by_side, training_sets,
     prevalence_intervals, site_probe_auc, recovered_groups, recovered_group_sizes, split_sensitivity, pair_quality, prevalence_by_cluster,
     chi2_stat, chi2_yates, mann_whitney_u, summary_counts, record_round_trip, findings_by_reader, constraint_counts, label_mapping_classify, tooth_numbers,

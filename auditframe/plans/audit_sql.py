@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditframe.plans.evaluation_sql import CONTENT, EVENTS, N_BOOT, READINGS, SEED, UNITS, _difference, boot, ending, h, r
+from auditframe.plans.evaluation_sql import CONTENT, EVENTS, N_BOOT, READINGS, SEED, UNITS, _difference, boot, boot_parts, ending, h, r
 
 BOXES = f"""{UNITS},
 les AS (SELECT image_id, group_key, uid AS lesion_id, level, (part % 50 * 8)::DOUBLE AS x1, (line * 40)::DOUBLE AS y1 FROM units WHERE level > 0),
@@ -75,6 +75,11 @@ SELECT level, n_pos, {r('coalesce(gain, 0) / n_pos', 'ap')} FROM ps LEFT JOIN gn
     "enumeration_pr": f"""WITH {BOXES}, t AS (SELECT *, {TEETH} AS fdi FROM les), p AS (SELECT *, {TEETH} AS fdi FROM det), b AS (SELECT greatest(0, least(p.x1, t.x1) + 30 - greatest(p.x1, t.x1)) * greatest(0, least(p.y1, t.y1) + 30 - greatest(p.y1, t.y1)) AS inter FROM p JOIN t USING (image_id, fdi)),
 c AS (SELECT (SELECT count(*) FROM les) AS n_true, (SELECT count(*) FROM det) AS n_pred, count(*) AS correct FROM b WHERE inter / (1800 - inter) >= 0.5)
 SELECT n_true, n_pred, correct, {r('correct::DOUBLE / n_pred', 'precision')}, {r('correct::DOUBLE / n_true', 'recall')} FROM c""",
+    "copy_effect": f"""WITH {BOXES}, im AS (SELECT image_id, min(group_key) AS group_key FROM units GROUP BY 1), t AS (SELECT *, {TEETH} AS fdi FROM les), p AS (SELECT *, {TEETH} AS fdi FROM det),
+q AS (SELECT p.image_id, p.score, greatest(0, least(p.x1, t.x1) + 30 - greatest(p.x1, t.x1)) * greatest(0, least(p.y1, t.y1) + 30 - greatest(p.y1, t.y1)) AS inter FROM p JOIN t ON p.image_id = t.image_id AND p.fdi = t.fdi),
+ct AS (SELECT image_id, group_key, (SELECT count(*) FROM t WHERE t.image_id = im.image_id) AS nt, (SELECT count(*) FROM p WHERE p.image_id = im.image_id) AS np, (SELECT count(*) FROM p WHERE p.image_id = im.image_id AND score >= 0.3) AS hp,
+  (SELECT count(*) FROM q WHERE q.image_id = im.image_id AND inter / (1800 - inter) >= 0.5) AS nc, (SELECT count(*) FROM q WHERE q.image_id = im.image_id AND score >= 0.3 AND inter / (1800 - inter) >= 0.5) AS hc FROM im),
+{boot_parts('ct', {c: c for c in ('nt', 'np', 'hp', 'nc', 'hc')}, {'precision': 'nc / nullif(np, 0) - hc / nullif(hp, 0)', 'recall': 'nc / nullif(nt, 0) - hc / nullif(nt, 0)'}, [], SEED)}{ending([], 0.95)}""",
     "tooth_inventory": f"WITH {BOXES}, b AS (SELECT image_id, {TEETH} AS fdi, max(score) AS score FROM det WHERE score >= 0.3 GROUP BY 1, 2) SELECT fdi::INT AS fdi, count(*) AS n, sum(floor(score * 1000 + 0.5)::BIGINT)::BIGINT AS score_sum FROM b GROUP BY 1",
     "content_overlap_matrix": f"WITH {CONTENT}, c AS (SELECT DISTINCT subset, sha FROM content) SELECT x.subset AS a, y.subset AS b, count(*) AS shared FROM c x JOIN c y ON x.sha = y.sha AND x.subset < y.subset GROUP BY 1, 2",
     "exact_elsewhere": f"WITH {CONTENT} SELECT subset, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM content y WHERE y.sha = x.sha AND y.subset <> x.subset)) AS elsewhere FROM content x GROUP BY 1",

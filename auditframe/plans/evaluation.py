@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.functions.numeric import age_band, div, grade_at, region, rounded
+from auditframe.functions.numeric import age_band, div, grade_at, region, rounded, uniform
 from auditframe.operators import agreement as ag
+from auditframe.operators import diagnostics as dg
 from auditframe.operators import metrics as me
 from auditframe.operators import ratings as ra
 from auditframe.operators import records as rc
@@ -309,6 +310,32 @@ def auc_by_level(spark, d):
     return _r(me.auc_by_level(fx.units(spark, d), [1, 2]), "auc")
 
 
+def auc_interval(spark, d):
+    """AUC by level and deep minus shallow, with intervals; scores in whole percents."""
+    rows = fx.units(spark, d).withColumn("s", F.floor(F.col("p_lesion") * 100.0).cast("int"))
+    return estimate(*me.resampled_auc(rows, "s", SEED, N_BOOT), [])
+
+
+def _heads(spark, d):
+    """Units with the depth that a head of three classes calls, and the probability by a head of two."""
+    u = lambda name: uniform(F.concat(F.lit(f"{name}:"), "uid"))
+    rows = fx.units(spark, d)
+    return rows.withColumn("called_deep", u("dp") < 0.1 + 0.3 * F.col("level")).withColumn("p_binary", F.least(F.lit(0.999), F.col("p_lesion") + 0.1 * u("bh")))
+
+
+def depth_rates(spark, d):
+    """Detected, right in depth, and by a head of two classes, for shallow and deep lesions."""
+    return dg.depth_rates(_heads(spark, d), THRESHOLD, THRESHOLD, SEED, N_BOOT)
+
+
+def missed_margins(spark, d):
+    return _r(dg.margins(_heads(spark, d), THRESHOLD), "just_below", "median_missed")
+
+
+def krippendorff_ci(spark, d):
+    return ag.alpha_intervals(_readings(spark, d), K, ["nominal", "ordinal", "interval"], SEED, N_BOOT)
+
+
 # --- Calibration ------------------------------------------------------------------
 
 
@@ -397,7 +424,7 @@ QUERIES = {f.__name__: f for f in (
     test_seen_patient_rate, eligible_training, swap_sets, ratings_long, image_ratings, consensus, contingency, kappa_two_raters, pairwise_kappa_ci, fleiss, fleiss_ci,
     tooth_ratings, image_ratings_from_records, tooth_table, tooth_table_of_reader, region_crosstab, per_image, kappa_sweep_summary, model_vs_readers,
     loo_ceiling, ceiling_difference, kappa_sweep, stratified_report, boot_bonferroni, subgroup_age, subgroup_sex, subgroup_cells, event_rate_ci, boot_diff_unpaired,
-    auc_by_level, brier, ece_uniform, ece_quantile, reliability_curve, recalibration, risk_coverage, aurc, operating_point_sens, operating_point_spec, selective_eval, tripwire,
+    auc_by_level, auc_interval, depth_rates, missed_margins, krippendorff_ci, brier, ece_uniform, ece_quantile, reliability_curve, recalibration, risk_coverage, aurc, operating_point_sens, operating_point_spec, selective_eval, tripwire,
 )}
 QUERIES |= {f"cohen_kappa_{w}": _kappa(w) for w in ("none", "linear", "quadratic")}
 QUERIES |= {f"krippendorff_{m}": _alpha(m) for m in ("nominal", "ordinal", "interval")}

@@ -72,6 +72,8 @@ def ending(keys: list[str], level: float, p: str = "") -> str:
 SELECT {ks}statistic, {r('v', 'value')}, {r('lo', 'lo')}, {r('hi', 'hi')}, coalesce(n_valid, 0) AS n_valid FROM {p}val LEFT JOIN {p}ci USING ({using})"""
 
 
+DRAWS = f"""idx AS (SELECT group_key, row_number() OVER (ORDER BY group_key) - 1 AS g FROM (SELECT DISTINCT group_key FROM %s)), n AS (SELECT count(*) AS n FROM idx),
+w AS (SELECT b, (('0x' || substr(md5('{SEED}:' || b || ':' || slot), 1, 8))::BIGINT %% n) AS g, count(*) AS w FROM n, range({N_BOOT}) t(b), LATERAL (SELECT unnest(range(n)) AS slot) GROUP BY 1, 2 UNION ALL SELECT -1, g, 1 FROM idx)"""
 K = 3
 CELLS = {f"c{i}{j}": f"(a = {i} AND b = {j})::INT" for i in range(K) for j in range(K)}
 
@@ -97,6 +99,7 @@ LEVEL_FINALS = {
     "sensitivity_1": "t1 / nullif(n1, 0)", "sensitivity_2": "t2 / nullif(n2, 0)", "specificity": "t0 / nullif(n0, 0)", "sensitivity_pooled": "(t1 + t2) / nullif(n1 + n2, 0)",
     "depth_gap": "t2 / nullif(n2, 0) - t1 / nullif(n1, 0)", "accuracy_minus_sound": "(t0 + t1 + t2 - n0) / nullif(n0 + n1 + n2, 0)",
 }
+HEADS = f"""{UNITS}, heads AS (SELECT *, {h("'dp:' || uid")} < 0.1::DOUBLE + 0.3::DOUBLE * level AS called_deep, least(0.999::DOUBLE, p_lesion + 0.1::DOUBLE * ({h("'bh:' || uid")})) AS p_binary FROM units)"""
 AGE = "CASE WHEN age < 18 THEN '<18' WHEN age < 35 THEN '18-34' WHEN age < 50 THEN '35-49' WHEN age < 65 THEN '50-64' WHEN age >= 65 THEN '65+' END"
 SUB_FINALS = {k: LEVEL_FINALS[k] for k in ("sensitivity_pooled", "specificity")}
 QBINS = """edges AS (SELECT list_sort(list_distinct(quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS e FROM ev),
@@ -250,6 +253,28 @@ e AS (SELECT sum(n * n)::DOUBLE / (sum(n) * sum(n)) AS pe FROM s) SELECT n_units
 rk AS (SELECT level, l, rank() OVER (PARTITION BY level ORDER BY s) + (count(*) OVER (PARTITION BY level, s) - 1) / 2.0 AS rk FROM x),
 a AS (SELECT level, count(*) FILTER (l > 0) AS n_pos, count(*) FILTER (l = 0) AS n_neg, sum(rk) FILTER (l > 0) AS rs FROM rk GROUP BY 1)
 SELECT level, n_pos, n_neg, {r('(rs - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg)', 'auc')} FROM a""",
+    "auc_interval": f"""WITH {UNITS}, {DRAWS % 'units'}, cn AS (SELECT group_key, floor(p_lesion * 100.0::DOUBLE)::INT AS s, level, count(*) AS n FROM units GROUP BY ALL),
+cv AS (SELECT b, s, level, sum(w * n) AS n FROM cn JOIN idx USING (group_key) JOIN w USING (g) GROUP BY ALL), tt AS (SELECT b, level, sum(n) AS t FROM cv GROUP BY ALL),
+sd AS (SELECT b, s, n, sum(n) OVER (PARTITION BY b ORDER BY s) AS upto FROM cv WHERE level = 0),
+ps AS (SELECT c.b, c.level, c.n, coalesce(sd.upto, 0) AS upto, CASE WHEN sd.s = c.s THEN sd.n ELSE 0 END AS ties FROM (SELECT * FROM cv WHERE level > 0) c ASOF LEFT JOIN sd ON c.b = sd.b AND c.s >= sd.s),
+wn AS (SELECT b, level, sum(n * (upto - ties / 2.0::DOUBLE)) AS wins FROM ps GROUP BY ALL),
+au AS (SELECT wn.b, wn.level, wins / (p.t::DOUBLE * q.t::DOUBLE) AS v FROM wn JOIN tt p ON p.b = wn.b AND p.level = wn.level JOIN tt q ON q.b = wn.b AND q.level = 0),
+st AS (SELECT b, 'auc_' || level AS statistic, v FROM au UNION ALL SELECT x.b, 'auc_gap', y.v - x.v FROM au x JOIN au y ON x.b = y.b AND x.level = 1 AND y.level = 2),
+val AS (SELECT statistic, v FROM st WHERE b < 0), smp AS (SELECT * FROM st WHERE b >= 0){ending([], 0.95)}""",
+    "depth_rates": boot(HEADS, "heads", {f"{c}_{k}": f"(level = {k} AND {test})::INT" for k in (1, 2) for c, test in (
+        ("n", "true"), ("detected", "p_lesion >= 0.3"), ("correct", f"p_lesion >= 0.3 AND {'NOT' if k == 1 else ''} called_deep"), ("binary", "p_binary >= 0.3"))},
+        {f"{c}_{k}": f"{c}_{k} / nullif(n_{k}, 0)" for k in (1, 2) for c in ("detected", "correct", "binary")} | {f"gain_{k}": f"binary_{k} / nullif(n_{k}, 0) - detected_{k} / nullif(n_{k}, 0)" for k in (1, 2)}, []),
+    "missed_margins": f"""WITH {HEADS} SELECT count(*) AS n, count(*) FILTER (called_deep) AS called_deep, count(*) FILTER (p_lesion < 0.3) AS missed,
+  {r('(count(*) FILTER (p_lesion < 0.3 AND p_lesion >= 0.15))::DOUBLE / nullif(count(*) FILTER (p_lesion < 0.3), 0)', 'just_below')}, {r('quantile_cont(p_lesion, 0.5) FILTER (p_lesion < 0.3)', 'median_missed')} FROM heads WHERE level = 2""",
+    "krippendorff_ci": f"""WITH {READINGS}, cnt AS (SELECT uid, group_key, grade, count(*) AS n FROM readings GROUP BY ALL), m AS (SELECT uid, sum(n) AS m FROM cnt GROUP BY 1 HAVING sum(n) >= 2),
+bym AS (SELECT x.group_key, x.grade AS a, y.grade AS b, m, sum(x.n * (y.n - (x.grade = y.grade)::INT)) AS s FROM cnt x JOIN cnt y USING (uid) JOIN m USING (uid) GROUP BY ALL),
+{DRAWS % 'bym'},
+o AS (SELECT w.b AS rs, bym.a, bym.b, sum(w * s::DOUBLE * 6 / (m - 1))::DOUBLE / 6 AS o FROM bym JOIN idx USING (group_key) JOIN w USING (g) GROUP BY ALL),
+mg AS (SELECT rs, a AS c, sum(o) AS nc FROM o GROUP BY ALL), tot AS (SELECT rs, sum(nc) AS n FROM mg GROUP BY 1),
+gr AS (SELECT p.rs, p.c AS a, q.c AS b, p.nc AS na, q.nc AS nb, (SELECT sum(nc) FROM mg z WHERE z.rs = p.rs AND z.c BETWEEN least(p.c, q.c) AND greatest(p.c, q.c)) - (p.nc + q.nc) / 2 AS between FROM mg p JOIN mg q ON p.rs = q.rs AND p.c <> q.c),
+dl AS (SELECT gr.*, k.metric, CASE k.metric WHEN 'nominal' THEN 1.0::DOUBLE WHEN 'interval' THEN (a - b) * (a - b) ELSE between * between END AS delta FROM gr, (VALUES ('nominal'), ('ordinal'), ('interval')) k(metric)),
+al AS (SELECT dl.rs, metric, 1 - (sum(coalesce(o.o, 0) * delta) / any_value(n)) / nullif(sum(na * nb * delta) / (any_value(n) * (any_value(n) - 1)), 0) AS v FROM dl LEFT JOIN o ON dl.rs = o.rs AND dl.a = o.a AND dl.b = o.b JOIN tot ON tot.rs = dl.rs GROUP BY ALL),
+val AS (SELECT metric AS statistic, v FROM al WHERE rs < 0), smp AS (SELECT rs AS b, metric AS statistic, v FROM al WHERE rs >= 0){ending([], 0.95)}""",
     "brier": f"WITH {EVENTS} SELECT count(*) AS n, {r('avg((p - y) * (p - y))', 'brier')} FROM ev",
     "ece_uniform": f"WITH {EVENTS}, {UBINS}, {ECE}",
     "ece_quantile": f"WITH {EVENTS}, {QBINS}, {ECE}",
