@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditframe.functions.numeric import FDI
+from auditframe.functions.numeric import FDI, div, region
 
 BOX = "STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE>"
 ANNOTATION = f"STRUCT<finding: STRING, annotator_id: STRING, bbox: {BOX}, tooth_fdi: INT, stage: INT, confidence: DOUBLE, meta: MAP<STRING, STRING>>"
@@ -132,6 +132,20 @@ def summary(records: DataFrame) -> DataFrame:
     return one.join(maps)
 
 
+def region_crosstab(records: DataFrame) -> DataFrame:
+    """(finding, region, n, share): findings by part of the mouth, with the share of each part in its finding."""
+    rows = flatten(records).groupBy("finding", region(F.col("tooth_fdi")).alias("region")).agg(F.count("*").alias("n"))
+    total = rows.groupBy("finding").agg(F.sum("n").alias("total"))
+    return rows.join(total, "finding").select("finding", "region", "n", div(F.col("n"), F.col("total")).alias("share"))
+
+
+def per_image(records: DataFrame) -> DataFrame:
+    """(what, median, largest, without): findings and inventoried teeth of an image; images without an inventory count for findings only."""
+    each = F.array(F.struct(F.lit("findings").alias("what"), F.size("annotations").alias("n")), F.struct(F.lit("teeth").alias("what"), F.when(F.col("teeth_present").isNotNull(), F.size("teeth_present")).alias("n")))
+    sizes = records.select(F.explode(each).alias("x")).select("x.*").filter("n IS NOT NULL")
+    return sizes.groupBy("what").agg(F.percentile("n", 0.5).alias("median"), F.max("n").alias("largest"), F.count_if(F.col("n") == 0).alias("without"))
+
+
 def from_readings(units: DataFrame, readings: DataFrame, teeth: bool = False) -> DataFrame:
     """Records of the fixtures: an annotation per reader and unit with a lesion; with ``teeth`` (``fdi`` of both tables) its tooth and an inventory."""
     tooth = F.col("fdi") if teeth else F.lit(None).cast("int")

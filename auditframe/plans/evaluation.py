@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.functions.numeric import age_band, div, grade_at, region, rounded, uniform
+from auditframe.functions.numeric import age_band, div, grade_at, rounded, uniform
 from auditframe.operators import agreement as ag
 from auditframe.operators import diagnostics as dg
 from auditframe.operators import metrics as me
@@ -228,15 +228,12 @@ def tooth_table_of_reader(spark, d):
 
 def region_crosstab(spark, d):
     """Findings by part of the mouth, with the share of each part in its finding."""
-    rows = rc.flatten(_teeth(spark, d)[0]).groupBy("finding", region(F.col("tooth_fdi")).alias("region")).agg(F.count("*").alias("n"))
-    total = rows.groupBy("finding").agg(F.sum("n").alias("total"))
-    return _r(rows.join(F.broadcast(total), "finding").select("finding", "region", "n", div(F.col("n"), F.col("total")).alias("share")), "share")
+    return _r(rc.region_crosstab(_teeth(spark, d)[0]), "share")
 
 
 def per_image(spark, d):
     """Findings and inventoried teeth of an image: median, largest number, images without."""
-    sizes = _teeth(spark, d)[0].select(F.explode(F.array(F.struct(F.lit("findings").alias("what"), F.size("annotations").alias("n")), F.struct(F.lit("teeth").alias("what"), F.size("teeth_present").alias("n")))).alias("x")).select("x.*")
-    return sizes.groupBy("what").agg(F.percentile("n", 0.5).alias("median"), F.max("n").alias("largest"), F.count_if(F.col("n") == 0).alias("without"))
+    return rc.per_image(_teeth(spark, d)[0])
 
 
 # --- Resampled rates ------------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from auditframe.functions.numeric import age_band, div
 from auditframe.operators import metrics as me
 from auditframe.operators import splits as sp
+from auditframe.operators.mapping import read_config
 from auditframe.operators.bootstrap import Resampled, difference, estimate
 
 #: A value above this is suspicious; cells below this size are listed apart.
@@ -36,6 +37,8 @@ class Study:
     target: float = 0.8
     coverage: float = 0.85
     alpha: float = 0.05
+    iou: float = 0.5
+    box_score: float | None = None
 
     def __post_init__(self) -> None:
         sp.check_fractions(dict(self.fractions))
@@ -51,6 +54,14 @@ class Study:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         return cls(**data)
 
+    @classmethod
+    def from_file(cls, path: str) -> Study:
+        """Settings from a YAML or JSON file; ``box_score: operating_point`` stands for the fitted threshold."""
+        data = dict(read_config(path))
+        if data.get("box_score") == "operating_point":
+            data["box_score"] = None
+        return cls.from_mapping(data)
+
     @classmethod
     def from_json(cls, text: str) -> Study:
         return cls.from_mapping(json.loads(text))
@@ -67,6 +78,12 @@ def level_statistics(threshold: float) -> tuple[dict, dict]:
     return {k: v.cast("long") for k, v in sums.items()}, finals
 
 
+def make_split(images: DataFrame, cfg: Study) -> DataFrame:
+    """The split that the settings ask for, checked; only a naive one may leak."""
+    make = sp.group_split if cfg.split == "patient" else sp.naive_image_split
+    return sp.checked(make(images, cfg.seed, dict(cfg.fractions)), allow_leakage=cfg.split == "image_naive")
+
+
 def evaluate(units: DataFrame, external: DataFrame | None, cfg: Study) -> dict[str, DataFrame]:
     """Result tables of a study over units (uid, image_id, group_key, level, p_lesion, age, sex)."""
     spark = units.sparkSession
@@ -74,9 +91,7 @@ def evaluate(units: DataFrame, external: DataFrame | None, cfg: Study) -> dict[s
     one_group = units.groupBy("image_id").agg(F.count_distinct("group_key").alias("n")).filter("n > 1").limit(1).count() == 0
     key = "group_key" if one_group else "image_id"
     images = images.withColumn("group_key", F.col(key))
-    make = sp.group_split if cfg.split == "patient" else sp.naive_image_split
-    split = make(images, cfg.seed, dict(cfg.fractions))
-    sp.checked(split, allow_leakage=cfg.split == "image_naive")
+    split = make_split(images, cfg)
     rows = units.join(split.select("image_id", "partition"), "image_id")
     ledger: list[tuple[str, str, str]] = []
     out: dict[str, DataFrame] = {"split": split.groupBy("partition").agg(F.count("*").alias("images"), F.count_distinct("group_key").alias("groups")), "leakage": sp.leakage(split)}
