@@ -253,6 +253,51 @@ def test_crowded_buckets_lose_no_class(spark, few):
     assert sum(got[i] == j for i, j in twin.items()) >= 0.95 * len(twin)
 
 
+@pytest.mark.parametrize("few", [300_000, 0])
+@pytest.mark.parametrize("part", [512, 7])
+def test_no_link_within_a_bucket_is_lost(spark, monkeypatch, few, part):
+    """Chains of lightly edited texts among many that share a passage: every two alike texts with a common bucket are in one class."""
+    import random
+
+    from auditframe.llm import neardup as nd
+
+    monkeypatch.setattr(nd, "PART", part)
+    rng = random.Random(5)
+    passage, texts = [f"p{i}" for i in range(30)], []
+    for _ in range(60):
+        own = [f"w{rng.randint(0, 9999)}" for _ in range(rng.randint(60, 90))]
+        for _ in range(rng.randint(1, 5)):
+            texts.append(" ".join(passage + own))
+            for k in rng.sample(range(len(own)), 18):
+                own[k] = f"x{rng.randint(0, 9999)}"
+    sketches = [set(x.tolist()) for x in nd.sketch(*nd.labelled_shingles([t.split() for t in texts], nd.WordHashes()))]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sketches[i] & sketches[j] and nd.similarity_of(texts[i].split(), texts[j].split(), 0.8) is not None:
+                old, new = sorted((label[i], label[j]), reverse=True)
+                label = [new if v == old else v for v in label]
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), broadcast_keys=few).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
+def test_parities_bound_the_distance():
+    import random
+
+    from auditframe.llm import neardup as nd
+
+    rng, hashes = random.Random(6), nd.WordHashes()
+    for n in (0, 1, 5, 200, 3000):
+        a = [f"w{rng.randint(0, 300)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(n // 10):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], ["new"], [b[k], f"y{rng.randint(0, 9)}"]])
+        x, y = nd.parities([a, b], hashes)
+        assert np.bitwise_count(x ^ y).sum() <= 2 * (n // 10)
+    assert np.array_equal(nd.parities([["a"]] * 1025, hashes), np.repeat(nd.parities([["a"]], hashes), 1025, 0))
+
+
 def test_sketch_of_very_long_texts(monkeypatch):
     from auditframe.llm import neardup as nd
 
