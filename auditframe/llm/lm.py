@@ -169,13 +169,17 @@ class EliasFano:
         place = (word << 6) + _select(self.high[word], i - self.ones[word])
         return ((place - i).astype(U64) << U64(self.bits)) | self.lower(i)
 
-    def _bucket(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, end) of the values whose upper part is k: the ones between two zeros."""
-        zeros = (np.arange(len(self.ones), dtype=np.int64) << 6) - self.ones
+    def _zero(self, k: np.ndarray, zeros: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, bits, place) of the zero behind the values whose upper part is k: the ones before it, the zeros of its word, its place there."""
         word = np.minimum(np.searchsorted(zeros, k, "right") - 1, len(self.high) - 1)
         bits = ~self.high[word]
         place = _select(bits, k - zeros[word])
-        end = (word << 6) + place - k
+        return (word << 6) + place - k, bits, place
+
+    def _bucket(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) of the values whose upper part is k: the ones between two zeros."""
+        zeros = (np.arange(len(self.ones), dtype=np.int64) << 6) - self.ones
+        end, bits, place = self._zero(k, zeros)
         bits &= (U64(1) << place.astype(U64)) - U64(1)
         for shift in (1, 2, 4, 8, 16, 32):
             bits |= bits >> U64(shift)
@@ -183,7 +187,7 @@ class EliasFano:
         far = np.flatnonzero((bits == 0) & (k > 0))
         begin[(bits == 0) & (k == 0)] = 0
         if len(far):
-            begin[far] = self._bucket(k[far] - 1)[1]
+            begin[far] = self._zero(k[far] - 1, zeros)[0]  # in an earlier word; no further, however long the runs of ones
         return begin, end
 
     def find(self, values: np.ndarray) -> np.ndarray:

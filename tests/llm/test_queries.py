@@ -281,21 +281,40 @@ def test_no_link_within_a_bucket_is_lost(spark, monkeypatch, few, part):
     assert [got[i] for i in range(len(texts))] == label
 
 
-def test_parities_bound_the_distance():
+@pytest.mark.parametrize("gap", [1, 3])
+def test_elias_fano_of_dense_values_far_from_zero(gap):
+    """A late piece of a large trie: buckets of hundreds of values, each zero alone in its word."""
+    from auditframe.llm.lm import EliasFano
+
+    values = (np.arange(400_000) * gap + 400_000 * 300 * gap).astype(np.uint64)
+    head, arrays = EliasFano.arrays(values)
+    coded = EliasFano(head["n"], head["bits"], *arrays)
+    asked = np.arange(int(values[0]) - 5, int(values[-1]) + 5, 41).astype(np.uint64)
+    place = (asked.astype(np.int64) - int(values[0])) // gap
+    there = (place >= 0) & (place < len(values)) & ((asked - values[0]) % np.uint64(gap) == 0)
+    assert np.array_equal(coded.find(asked), np.where(there, place, -1))
+
+
+def test_word_counts_leave_out_no_link():
     import random
 
     from auditframe.llm import neardup as nd
 
-    rng, hashes = random.Random(6), nd.WordHashes()
-    for n in (0, 1, 5, 200, 3000):
-        a = [f"w{rng.randint(0, 300)}" for _ in range(n)]
-        b = list(a)
-        for _ in range(n // 10):
-            k = rng.randrange(len(b))
-            b[k : k + 1] = rng.choice([[], ["new"], [b[k], f"y{rng.randint(0, 9)}"]])
-        x, y = nd.parities([a, b], hashes)
-        assert np.bitwise_count(x ^ y).sum() <= 2 * (n // 10)
-    assert np.array_equal(nd.parities([["a"]] * 1025, hashes), np.repeat(nd.parities([["a"]], hashes), 1025, 0))
+    rng, hashes, words = random.Random(6), nd.WordHashes(), [[], ["a"], ["a", "b"]]
+    for n in (5, 200, 3000):
+        base = [f"w{rng.randint(0, n // 2)}" if rng.random() < 0.7 else "often" for _ in range(n)]
+        for _ in range(20):
+            b = list(base)
+            for _ in range(rng.randint(0, n // 3)):
+                k = rng.randrange(len(b))
+                b[k : k + 1] = rng.choice([["z"], ["new"], [b[k], f"y{rng.randint(0, 9)}"]])
+            words.append(b)
+    n, marks = np.array([len(w) for w in words]), np.ones(len(words), bool)
+    counts = nd.word_counts(words, hashes)
+    pairs = set(zip(*(x.tolist() for x in nd.possible(n, counts, np.arange(len(words)), marks, marks, 0.8))))
+    alike = {(i, j) for i in range(len(words)) for j in range(len(words)) if i != j and nd.similarity_of(words[i], words[j], 0.8) is not None}
+    assert alike and alike <= pairs
+    assert np.array_equal(nd.word_counts([["a"]] * 1025, hashes), np.repeat(nd.word_counts([["a"]], hashes), 1025, 0))
 
 
 def test_sketch_of_very_long_texts(monkeypatch):
