@@ -16,10 +16,10 @@ three texts these are all pairs) and with its successors in two orders by anothe
 place alike texts side by side; in other orders in each turn, until a turn links no more than one
 in ``WORTH`` of its candidates. The turns are the quick way to most classes, not the end: then *every*
 two texts that share a bucket and are not of one class are compared, in cells of two parts of a
-bucket of about ``PART`` texts each. A cell compares word counts and 1,024 parity bits of the
-words, two bounds of the edit distance from below, so a pair that it leaves out is no link; what
-is left is aligned. So every two alike texts with a common bucket are in one class. The bits are
-quadratic in the texts of a bucket (some nanoseconds a pair), all that is written or moved is not.
+bucket of about ``PART`` texts each. A cell compares lengths, parities of the numbers of words in
+``PLACES`` places, and these numbers: bounds of the edit distance from below, so a pair that it
+leaves out is no link; what is left is aligned. So every two alike texts with a common bucket are
+in one class. These comparisons are quadratic in the texts of a bucket (some nanoseconds a pair).
 
 Candidates are verified by banded alignment of their words: the edit distance within a band
 of ``floor((1 - similarity) * longer)`` diagonals, as a bit-parallel dynamic program; the pair
@@ -43,6 +43,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,8 @@ SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 20
 #: Pairs of the three sampled shingles, and so buckets of each text for each hash function.
 PAIRS = 3
 BROADCAST_KEYS, HOT, WORTH = 300_000, 200_000, 1000
-#: Texts in a part of a bucket; 64-bit words of parity bits; pairs compared at once.
-PART, PARITY, AT_ONCE = 512, 16, 1 << 16
+#: Texts in a part of a bucket; places of a text's words, a multiple of 64; pairs of texts, and of their word counts, compared at once.
+PART, PLACES, AT_ONCE, COUNTS_AT_ONCE = 512, 512, 1 << 16, 1 << 13
 SLICE_CHARS, CACHE_WORDS = 600_000, 200_000
 #: Bits for a place in a text while a hash function samples; longer texts get as many as they need.
 POSITION_BITS = 24
@@ -141,15 +142,14 @@ def sketch(shingles: np.ndarray, begins: np.ndarray, sketches: int = SKETCHES) -
     return out
 
 
-def parities(words: list[list[str]], hashes: WordHashes) -> np.ndarray:
-    """(text, PARITY) array: bit i tells if the number of words with this place is odd. An edit of a word changes two bits at most."""
+def word_counts(words: list[list[str]], hashes: WordHashes) -> np.ndarray:
+    """(text, PLACES) array: how many words of a text have each place, 255 at most. An edit of a word changes two by one at most."""
     if len(words) > PART:
-        return np.concatenate([parities(words[k : k + PART], hashes) for k in range(0, len(words), PART)])
+        return np.concatenate([word_counts(words[k : k + PART], hashes) for k in range(0, len(words), PART)])
     counts = np.array([len(w) for w in words])
-    flat = np.fromiter((hashes[x] for w in words for x in w), np.uint64, int(counts.sum()))
-    place = (_mixed(flat) >> np.uint64(32)) % np.uint64(64 * PARITY) + np.repeat(np.arange(len(words), dtype=np.uint64), counts) * np.uint64(64 * PARITY)
-    odd = np.bincount(place.astype(np.int64), minlength=64 * PARITY * len(words)) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, 64 * PARITY), axis=1).view(np.uint64)
+    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+    place = (_mixed(flat) >> np.uint64(32)) % np.uint64(PLACES) + np.repeat(np.arange(len(words), dtype=np.uint64), counts) * np.uint64(PLACES)
+    return np.minimum(np.bincount(place.astype(np.int64), minlength=PLACES * len(words)), 255).astype(np.uint8).reshape(-1, PLACES)
 
 
 def distance_within(a: list, b: list, most: int) -> int | None:
@@ -221,8 +221,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = sketch(*labelled_shingles(words, hashes)).view(np.int64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.int64()))
             sizes = pa.array([len(w) for w in words], pa.int32())
-            bits = pa.array([row.tobytes() for row in parities(words, hashes)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("node").slice(a, b - a), sizes, lists, bits], ["doc_id", "node", "n", "sketches", "bits"])
+            places = pa.array([row.tobytes() for row in word_counts(words, hashes)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("node").slice(a, b - a), sizes, lists, places], ["doc_id", "node", "n", "sketches", "places"])
 
 
 def _verified(least: float):
@@ -240,11 +240,12 @@ def _verified(least: float):
     return run
 
 
-def possible(n: np.ndarray, bits: np.ndarray, label: np.ndarray, one: np.ndarray, two: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the texts of two classes, i of those marked ``one``, j of those marked ``two``, that may be links by length and parity."""
+def possible(n: np.ndarray, places: np.ndarray, label: np.ndarray, one: np.ndarray, two: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of texts of two classes, i of those marked ``one``, j of those marked ``two``, that may be links by their lengths and word counts."""
     rows, columns = np.flatnonzero(one), np.flatnonzero(two)
     rows, columns = rows[np.argsort(n[rows], kind="stable")], columns[np.argsort(n[columns], kind="stable")]
-    lengths, found = n[columns], ([], [])
+    lengths, found = n[columns], ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+    bits = np.packbits(places & 1, axis=1).view(np.uint64)
     step = max(1, AT_ONCE // max(len(columns), 1))
     for k in range(0, len(rows), step):
         i = rows[k : k + step]
@@ -252,24 +253,32 @@ def possible(n: np.ndarray, bits: np.ndarray, label: np.ndarray, one: np.ndarray
         a, b = np.searchsorted(lengths, int(n[i[0]] * similarity) - 1), np.searchsorted(lengths, int(n[i[-1]] / similarity) + 2)
         j = columns[a:b]
         most = np.floor((1 - similarity) * np.maximum(n[i][:, None], n[j][None, :]) + 1e-9).astype(np.int64)
-        live = (label[i][:, None] != label[j][None, :]) & (np.abs(n[i][:, None] - n[j][None, :]) <= most)
-        x, y = np.nonzero(live)
-        apart = np.bitwise_count(bits[i[x]] ^ bits[j[y]]).sum(axis=1, dtype=np.int64)
-        keep = apart <= 2 * most[x, y]
-        found[0].append(i[x[keep]])
-        found[1].append(j[y[keep]])
-    return np.concatenate([*found[0], np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*found[1], np.empty(0, np.int64)]).astype(np.int64)
+        x, y = np.nonzero((label[i][:, None] != label[j][None, :]) & (np.abs(n[i][:, None] - n[j][None, :]) <= most))
+        most, x, y = most[x, y], i[x], j[y]
+        apart = np.zeros(len(x), np.int64)
+        for word in range(bits.shape[1]):
+            apart += np.bitwise_count(bits[x, word] ^ bits[y, word])
+        live = np.flatnonzero(apart <= 2 * most)
+        for c in range(0, len(live), COUNTS_AT_ONCE):
+            at = live[c : c + COUNTS_AT_ONCE]
+            p, q = places[x[at]], places[y[at]]
+            shared = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+            apart = np.maximum(p.sum(axis=1, dtype=np.int64), q.sum(axis=1, dtype=np.int64)) - shared
+            at = at[apart <= most[at]]
+            found[0].append(x[at])
+            found[1].append(y[at])
+    return np.concatenate(found[0]), np.concatenate(found[1])
 
 
 def _cells(similarity: float):
-    """Pairs (x, y), x > y, that may be links, from rows (bucket, i, j, part, node, n, bits, label) sorted by their cell (bucket, i, j)."""
+    """Pairs (x, y), x > y, that may be links, from rows (bucket, i, j, part, node, n, places, label) sorted by their cell (bucket, i, j)."""
 
     def compare(cell: pa.Table) -> pa.RecordBatch:
         node, n = cell.column("node").combine_chunks(), cell.column("n").to_numpy().astype(np.int64)
-        bits = np.frombuffer(b"".join(cell.column("bits").to_pylist()), np.uint64).reshape(-1, PARITY)
+        places = np.frombuffer(b"".join(cell.column("places").to_pylist()), np.uint8).reshape(-1, PLACES)
         label = np.unique(np.array([x.hex() for x in cell.column("label").to_pylist()]), return_inverse=True)[1]
         part, i, j = cell.column("part").to_numpy(), cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        a, b = possible(n, bits, label, part == i, part == j, similarity)
+        a, b = possible(n, places, label, part == i, part == j, similarity)
         names = node.to_pylist()
         pairs = {(max(names[x], names[y]), min(names[x], names[y])) for x, y in zip(a.tolist(), b.tolist())}
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in range(2)], ["x", "y"])
@@ -301,10 +310,10 @@ def _rest(shared: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: fl
     mixed = stored(mixed.select("bucket", F.ceil(F.col("m") / PART).cast("int").alias("parts")), f"{path}/mixed")
     rows = stored(named.join(few(mixed, broadcast_keys), "bucket"), f"{path}/rows")
     wanted = stored(rows.select("node").distinct(), f"{path}/open")
-    bits = stored(nodes.select("node", "bits").join(few(wanted, broadcast_keys), "node", "left_semi"), f"{path}/bits")
+    places = stored(nodes.select("node", "places").join(few(wanted, broadcast_keys), "node", "left_semi"), f"{path}/places")
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
-    rows = rows.join(few(bits, broadcast_keys // 10), "node").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "bits", "label")
+    rows = rows.join(few(places, broadcast_keys // 20), "node").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "places", "label")
     cells = rows.repartition(int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return cells.mapInArrow(tidy(_cells(similarity)), "x binary, y binary").distinct()
 
@@ -334,7 +343,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     path = shared_dir(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), node_of(text).alias("node"), text.alias("text"))
-    known = stored(rows.mapInArrow(tidy(_sketches), "doc_id long, node binary, n int, sketches array<long>, bits binary"), f"{path}/sketches")
+    known = stored(rows.mapInArrow(tidy(_sketches), "doc_id long, node binary, n int, sketches array<long>, places binary"), f"{path}/sketches")
     nodes = known.groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     # Buckets are found by lean numbers; u only brings the few texts back that share one.
     entries = nodes.select(F.xxhash64("node").alias("u"), F.explode("sketches").alias("bucket"))
@@ -369,8 +378,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
         beside = [_pairs(_next(again.filter("m > 3"), f"near.o{k}"), ["next"], similarity) for k in range(2)]
         pairs = _pairs(again, ["lo", "hi"], similarity).unionByName(beside[0]).unionByName(beside[1])
     # What the turns did not compare, so that no link within a bucket is lost.
-    bits = known.groupBy("node").agg(F.first("bits").alias("bits"))
-    rest = _rest(shared, bits, labels, similarity, broadcast_keys, f"{path}/rest").join(tried, ["x", "y"], "left_anti")
+    places = known.groupBy("node").agg(F.first("places").alias("places"))
+    rest = _rest(shared, places, labels, similarity, broadcast_keys, f"{path}/rest").join(tried, ["x", "y"], "left_anti")
     rest = stored(rest.select(F.col("x").alias("a"), F.col("y").alias("b")), f"{path}/rest/pairs")
     new = stored(_verify(rows, rest, similarity, broadcast_keys, f"{path}/rest"), f"{path}/rest/links")
     if new.count():
