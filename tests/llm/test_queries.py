@@ -253,15 +253,12 @@ def test_crowded_buckets_lose_no_class(spark, few):
     assert sum(got[i] == j for i, j in twin.items()) >= 0.95 * len(twin)
 
 
-@pytest.mark.parametrize("few", [300_000, 0])
-@pytest.mark.parametrize("part", [512, 7])
-def test_no_link_within_a_bucket_is_lost(spark, monkeypatch, few, part):
-    """Chains of lightly edited texts among many that share a passage: every two alike texts with a common bucket are in one class."""
+def chained_texts() -> tuple[list[str], list[int]]:
+    """Chains of lightly edited texts among many that share a passage, and their classes by all pairs with a common bucket."""
     import random
 
     from auditframe.llm import neardup as nd
 
-    monkeypatch.setattr(nd, "PART", part)
     rng = random.Random(5)
     passage, texts = [f"p{i}" for i in range(30)], []
     for _ in range(60):
@@ -277,10 +274,30 @@ def test_no_link_within_a_bucket_is_lost(spark, monkeypatch, few, part):
             if sketches[i] & sketches[j] and nd.similarity_of(texts[i].split(), texts[j].split(), 0.8) is not None:
                 old, new = sorted((label[i], label[j]), reverse=True)
                 label = [new if v == old else v for v in label]
+    return texts, label
+
+
+@pytest.mark.parametrize("few", [300_000, 0])
+@pytest.mark.parametrize("part", [512, 7])
+def test_no_link_within_a_bucket_is_lost(spark, monkeypatch, few, part):
+    """Chains of lightly edited texts among many that share a passage: every two alike texts with a common bucket are in one class."""
+    from auditframe.llm import neardup as nd
+
+    monkeypatch.setattr(nd, "PART", part)
+    texts, label = chained_texts()
     got = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), broadcast_keys=few).collect()}
     assert [got[i] for i in range(len(texts))] == label
 
 
+def test_keep_one_of_chained_texts(spark, tmp_path):
+    """The pipeline stage keeps the first of each class, though links lie between others than the classes' representatives."""
+    from auditframe.llm import neardup as nd
+
+    texts, label = chained_texts()
+    kept = nd.keep_one(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
 @pytest.mark.parametrize("gap", [1, 3])
 def test_elias_fano_of_dense_values_far_from_zero(gap):
     """A late piece of a large trie: buckets of hundreds of values, each zero alone in its word."""
