@@ -18,8 +18,10 @@ in ``WORTH`` of its candidates. The turns are the quick way to most classes, not
 two texts that share a bucket and are not of one class are compared, in cells of two parts of a
 bucket of about ``PART`` texts each. A cell compares lengths, parities of the numbers of words in
 ``PLACES`` places, and these numbers: bounds of the edit distance from below, so a pair that it
-leaves out is no link; what is left is aligned. So every two alike texts with a common bucket are
-in one class. These comparisons are quadratic in the texts of a bucket (some nanoseconds a pair).
+leaves out is no link. The texts of the pairs that are left meet once more, in smaller cells, which
+align them and tell the links that join their classes. So every two alike texts with a common bucket
+are in one class, and no pair but links is ever written. These comparisons are quadratic in the texts
+of a bucket that are not of its largest class (some nanoseconds a pair; an alignment where bounds do not tell).
 
 Candidates are verified by banded alignment of their words: the edit distance within a band
 of ``floor((1 - similarity) * longer)`` diagonals, as a bit-parallel dynamic program; the pair
@@ -57,9 +59,9 @@ from auditframe.llm.components import components
 SHINGLE, SIMILARITY, SKETCHES = 5, 0.8, 20
 #: Pairs of the three sampled shingles, and so buckets of each text for each hash function.
 PAIRS = 3
-BROADCAST_KEYS, HOT, WORTH = 300_000, 200_000, 1000
+BROADCAST_KEYS, HOT, WORTH = 300_000, 200_000, 4
 #: Texts in a part of a bucket; places of a text's words, a multiple of 64; pairs of texts, and of their word counts, compared at once.
-PART, PLACES, AT_ONCE, COUNTS_AT_ONCE = 512, 512, 1 << 16, 1 << 13
+PART, PLACES, AT_ONCE, COUNTS_AT_ONCE = 2048, 512, 1 << 16, 1 << 13
 SLICE_CHARS, CACHE_WORDS = 600_000, 200_000
 #: Bits for a place in a text while a hash function samples; longer texts get as many as they need.
 POSITION_BITS = 24
@@ -270,18 +272,12 @@ def possible(n: np.ndarray, places: np.ndarray, label: np.ndarray, one: np.ndarr
     return np.concatenate(found[0]), np.concatenate(found[1])
 
 
-def _cells(similarity: float):
-    """Pairs (x, y), x > y, that may be links, from rows (bucket, i, j, part, node, n, places, label) sorted by their cell (bucket, i, j)."""
+def _by_cell(compare):
+    """``compare`` (table, first, second) of each cell, from rows (bucket, i, j, part, ...) sorted by their cell (bucket, i, j); ``first``, ``second``: which rows are of part i, of part j."""
 
-    def compare(cell: pa.Table) -> pa.RecordBatch:
-        node, n = cell.column("node").combine_chunks(), cell.column("n").to_numpy().astype(np.int64)
-        places = np.frombuffer(b"".join(cell.column("places").to_pylist()), np.uint8).reshape(-1, PLACES)
-        label = np.unique(np.array([x.hex() for x in cell.column("label").to_pylist()]), return_inverse=True)[1]
-        part, i, j = cell.column("part").to_numpy(), cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-        a, b = possible(n, places, label, part == i, part == j, similarity)
-        names = node.to_pylist()
-        pairs = {(max(names[x], names[y]), min(names[x], names[y])) for x, y in zip(a.tolist(), b.tolist())}
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in range(2)], ["x", "y"])
+    def each(cell: pa.Table) -> pa.RecordBatch:
+        part = cell.column("part").to_numpy()
+        return compare(cell, part == cell.column("i")[0].as_py(), part == cell.column("j")[0].as_py())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -294,28 +290,90 @@ def _cells(similarity: float):
             cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             begin = 0
             for end in cuts.tolist():
-                yield compare(rows.slice(begin, end - begin))
+                yield each(rows.slice(begin, end - begin))
                 begin = end
             held = rows.slice(begin)
         if held is not None:
-            yield compare(held)
+            yield each(held)
 
     return run
 
 
-def _rest(shared: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float, broadcast_keys: int, path: str) -> DataFrame:
-    """(x, y) of all texts of different classes with a common bucket that may be links: none that is one is left out."""
+def _candidates(cell: pa.Table, first: np.ndarray, second: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of texts of a cell that may be links, and the numbers of the classes of all its texts."""
+    n = cell.column("n").to_numpy().astype(np.int64)
+    places = np.frombuffer(b"".join(cell.column("places").to_pylist()), np.uint8).reshape(-1, PLACES)
+    label = np.unique(np.array([x.hex() for x in cell.column("label").to_pylist()]), return_inverse=True)[1]
+    return *possible(n, places, label, first, second, similarity), label
+
+
+def _open(similarity: float):
+    """The texts of a cell that some text of another class may be alike to."""
+
+    def compare(cell: pa.Table, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
+        a, b, _ = _candidates(cell, first, second, similarity)
+        return pa.RecordBatch.from_arrays([cell.column("node").take(pa.array(np.union1d(a, b), pa.int64())).combine_chunks()], ["node"])
+
+    return _by_cell(compare)
+
+
+def _joined(similarity: float):
+    """Links of a cell that join its classes. A pair is aligned in the least bucket that its texts share, unless its classes are joined by then."""
+
+    def compare(cell: pa.Table, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
+        a, b, label = _candidates(cell, first, second, similarity)
+        bucket, node, words, buckets = cell.column("bucket")[0].as_py(), {}, {}, {}
+        for k in np.union1d(a, b).tolist():
+            node[k], words[k] = cell.column("node")[k].as_py(), cell.column("text")[k].as_py().lower().split()
+            buckets[k] = frozenset(cell.column("buckets")[k].as_py())
+        of, found = list(range(int(label.max()) + 1)), []
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = of[label[x]], of[label[y]]
+            if p == q or node[x] <= node[y] and first[y] and second[x] or min(buckets[x] & buckets[y]) != bucket:  # a cell of one part has each pair twice
+                continue
+            if (value := similarity_of(words[x], words[y], similarity)) is not None:
+                of = [p if k == q else k for k in of]
+                found.append((node[x], node[y], value))
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.float64()))], ["a", "b", "similarity"])
+
+    return _by_cell(compare)
+
+
+def _in_cells(rows: DataFrame, more: list[tuple[DataFrame, int]], size: int, broadcast_keys: int, path: str) -> DataFrame:
+    """``rows`` (bucket, node, n, label), with the columns that ``more`` has of their nodes, in every cell (bucket, i, j) that they are part of.
+
+    A part has about ``size`` texts of a bucket, of its largest class or of all others. Every two parts make a cell, but for two of the largest class, so its texts do not meet each other.
+    """
+    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("m"), F.count("*").alias("c")).filter("c > 1")
+    parts = lambda k: F.ceil(k / size).cast("int")
+    mixed = stored(sizes.select("bucket", F.col("top.label").alias("top"), parts(F.col("top.k")).alias("tops"), parts(F.col("m") - F.col("top.k")).alias("others")), f"{path}/parts")
+    rows = rows.join(few(mixed, broadcast_keys), "bucket")
+    for table_, most in more:
+        rows = rows.join(few(table_, most), "node")
+    hashed, top = F.xxhash64("node", F.lit(1)), F.col("label") == F.col("top")
+    rows = rows.withColumn("part", F.when(top, F.pmod(hashed, F.col("tops"))).otherwise(F.col("tops") + F.pmod(hashed, F.col("others"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(top, F.col("tops")).otherwise(0), F.col("tops") + F.col("others") - 1)))
+    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("top", "tops", "others", "other")
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _rest(shared: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, similarity: float, broadcast_keys: int, path: str) -> DataFrame:
+    """Links (a, b, similarity) that join all classes with alike texts in a common bucket. ``nodes``: (node, places), ``texts``: (node, text), repeated or not.
+
+    Cells of word counts leave the texts that may have links; cells of these align them. No pair is written that is not a link.
+    """
     named = shared.select("bucket", F.col("who.node").alias("node"), F.col("who.n").alias("n")).join(few(labels, broadcast_keys), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    mixed = stored(mixed.select("bucket", F.ceil(F.col("m") / PART).cast("int").alias("parts")), f"{path}/mixed")
+    mixed = stored(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket"), f"{path}/mixed")
     rows = stored(named.join(few(mixed, broadcast_keys), "bucket"), f"{path}/rows")
     wanted = stored(rows.select("node").distinct(), f"{path}/open")
-    places = stored(nodes.select("node", "places").join(few(wanted, broadcast_keys), "node", "left_semi"), f"{path}/places")
-    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
-    rows = rows.join(few(places, broadcast_keys // 20), "node").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "places", "label")
-    cells = rows.repartition(int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return cells.mapInArrow(tidy(_cells(similarity)), "x binary, y binary").distinct()
+    places = stored(nodes.join(few(wanted, broadcast_keys), "node", "left_semi").groupBy("node").agg(F.first("places").alias("places")), f"{path}/places")
+    cells = _in_cells(rows, [(places, broadcast_keys // 20)], PART, broadcast_keys, f"{path}/1")
+    left = stored(cells.mapInArrow(tidy(_open(similarity)), "node binary").distinct(), f"{path}/left")
+    rows = rows.join(few(left, broadcast_keys), "node", "left_semi")
+    own = texts.join(few(left, broadcast_keys), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    own = own.join(places, "node").join(rows.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node")
+    cells = _in_cells(rows, [(stored(own, f"{path}/own"), broadcast_keys // 100)], max(PART // 8, 1), broadcast_keys, f"{path}/2")
+    return cells.mapInArrow(tidy(_joined(similarity)), "a binary, b binary, similarity double")
 
 
 def node_of(text) -> "F.Column":
@@ -378,10 +436,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
         beside = [_pairs(_next(again.filter("m > 3"), f"near.o{k}"), ["next"], similarity) for k in range(2)]
         pairs = _pairs(again, ["lo", "hi"], similarity).unionByName(beside[0]).unionByName(beside[1])
     # What the turns did not compare, so that no link within a bucket is lost.
-    places = known.groupBy("node").agg(F.first("places").alias("places"))
-    rest = _rest(shared, places, labels, similarity, broadcast_keys, f"{path}/rest").join(tried, ["x", "y"], "left_anti")
-    rest = stored(rest.select(F.col("x").alias("a"), F.col("y").alias("b")), f"{path}/rest/pairs")
-    new = stored(_verify(rows, rest, similarity, broadcast_keys, f"{path}/rest"), f"{path}/rest/links")
+    new = stored(_rest(shared, known.select("node", "places"), rows.select("node", "text"), labels, similarity, broadcast_keys, f"{path}/rest"), f"{path}/rest/links")
     if new.count():
         labels = stored(components(found.unionByName(new)), f"{path}/rest/labels")
     return known.select("doc_id", "node"), labels

@@ -289,6 +289,25 @@ def test_no_link_within_a_bucket_is_lost(spark, monkeypatch, few, part):
     assert [got[i] for i in range(len(texts))] == label
 
 
+def test_unlinked_candidates_are_not_written(spark, tmp_path, monkeypatch):
+    """Texts of the same words in other orders pass every bound but are no links: what the rest writes grows with the texts, not with their pairs."""
+    import random
+
+    from auditframe.llm import neardup as nd
+
+    rng, passage = random.Random(9), [f"p{i}" for i in range(30)]
+    words, docs = [f"w{i}" for i in range(60)], []
+    for i in range(100):
+        rng.shuffle(words)
+        docs.append((i, " ".join(passage + words)))
+    monkeypatch.setattr(nd, "shared_dir", lambda _: str(tmp_path / "shared"))
+    _, labels = nd.links(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert labels.count() == 0
+    sizes = {str(f.parent.relative_to(tmp_path)): spark.read.parquet(str(f.parent)).count() for f in (tmp_path / "shared" / "rest").rglob("_SUCCESS")}
+    buckets = spark.read.parquet(str(tmp_path / "shared" / "shared")).count()
+    assert sizes and max(sizes.values()) <= max(buckets, 100) < 100 * 99 // 2, (sizes, buckets)
+
+
 def test_keep_one_of_chained_texts(spark, tmp_path):
     """The pipeline stage keeps the first of each class, though links lie between others than the classes' representatives."""
     from auditframe.llm import neardup as nd
