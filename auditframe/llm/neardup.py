@@ -382,10 +382,16 @@ def node_of(text) -> "F.Column":
 
 
 def _pairs(members: DataFrame, others: list[str], similarity: float) -> DataFrame:
-    """(a, b) of the candidates in ``members``: column ``who`` (node, n) with each of the columns ``others``; ``b`` is the end that many may share."""
-    longer = F.greatest("who.n", "to.n")
-    to = F.col(others[0]) if len(others) == 1 else F.explode(F.array(*others))
-    both = members.select("who", to.alias("to")).filter((F.col("who.node") != F.col("to.node")) & (F.abs(F.col("who.n") - F.col("to.n")) <= (1 - similarity) * longer + 1e-9))
+    """(a, b) of the candidates in ``members``: column ``who`` (node, n) with each of the columns ``others``; ``b`` is the end that many may share.
+
+    The buckets of a text name few different ends, so these are gathered for each text, and a row is made for an end that the text may be alike to, not for each bucket.
+    """
+    may = lambda who, to: (who.node != to.node) & (F.abs(who.n - to.n) <= (1 - similarity) * F.greatest(who.n, to.n) + 1e-9)
+    if len(others) == 1:
+        both = members.select("who", F.col(others[0]).alias("to")).filter(may(F.col("who"), F.col("to")))
+    else:
+        ends = [F.collect_set(F.when(may(F.col("who"), F.col(c)), F.col(c))) for c in others]
+        both = members.groupBy("who").agg(F.array_union(*ends).alias("ends")).select("who", F.explode("ends").alias("to"))
     both = both.groupBy(F.greatest("who.node", "to.node").alias("x"), F.least("who.node", "to.node").alias("y")).agg(F.max("to.node").alias("b"))
     return both.select(F.when(F.col("b") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("a"), "b")
 

@@ -289,6 +289,29 @@ def test_no_link_within_a_bucket_is_lost(spark, monkeypatch, few, part):
     assert [got[i] for i in range(len(texts))] == label
 
 
+def test_candidates_are_made_once_for_each_text(spark):
+    """A text's buckets that name the same ends make one row for each end (the code before made two for each bucket)."""
+    from auditframe.llm import neardup as nd
+
+    who = lambda k, n=100: (bytes([k]), n)
+    rows = [(b, who(k), who(0), who(1)) for k in range(8) for b in range(60)] + [(60, who(8, 10), who(0), who(8, 10)), (61, who(9), who(9), who(7)), (61, who(7), who(9), who(7))]
+    kind = "struct<node: binary, n: int>"
+    members = spark.createDataFrame(rows, f"bucket long, who {kind}, lo {kind}, hi {kind}")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = nd._pairs(members, ["lo", "hi"], 0.8)
+        got = {(r.a[0], r.b[0]) for r in found.collect()}
+
+        def made(node) -> int:
+            own = node.metrics().get("numOutputRows").get().value() if node.nodeName() == "Generate" else 0
+            return own + sum(made(node.children().apply(i)) for i in range(node.children().size()))
+
+        assert 0 < made(found._jdf.queryExecution().executedPlan()) <= 2 * 10
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {frozenset(p) for p in got} == {frozenset(p) for p in [(0, 1), *((k, e) for k in range(2, 8) for e in (0, 1)), (7, 9)]}
+
+
 def test_unlinked_candidates_are_not_written(spark, tmp_path, monkeypatch):
     """Texts of the same words in other orders pass every bound but are no links: what the rest writes grows with the texts, not with their pairs."""
     import random
