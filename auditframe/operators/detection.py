@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditframe.functions import draws
 from auditframe.functions.numeric import div, iou
 from auditframe.operators.bootstrap import Resampled, difference, estimate, group_index, weights
 from auditframe.operators.running import running
+from auditframe.operators.storage import written
+
+#: Scores of groups that are broadcast to make whole resamples in a task (some 20 bytes each on the driver, a third of it in a worker), and how many of them are summed at once.
+IN_ARRAYS, AT_ONCE = 16_000_000, 1 << 18
 
 
 def overlaps(lesions: DataFrame, detections: DataFrame, threshold: float) -> DataFrame:
@@ -63,17 +72,23 @@ def average_precision(rows: DataFrame, positives: DataFrame, keys: list[str]) ->
     return joined.select(*keys, "n_pos", value.alias("ap"))
 
 
-def resampled_average_precision(rows: DataFrame, lesions: DataFrame, keys: list[str], seed: int, n_boot: int) -> tuple[DataFrame, DataFrame]:
+def resampled_average_precision(rows: DataFrame, lesions: DataFrame, keys: list[str], seed: int, n_boot: int, in_arrays: int = IN_ARRAYS) -> tuple[DataFrame, DataFrame]:
     """``(values, samples)`` of the average precision by groups drawn with replacement: (keys, statistic, v), (keys, b, statistic, v).
 
     ``rows``: (keys, group_key, score, tp), ``lesions``: one row for each positive, (keys, group_key). Detections of one
     score enter together, so a resample costs as many rows as there are distinct scores. No detections: 0; no
-    positives in a resample: NULL.
+    positives in a resample: NULL. Without keys, and with no more than ``in_arrays`` scores of groups, these are broadcast
+    and a task makes whole resamples; else weights are joined to them, which gives the same.
     """
-    index = group_index(rows.select("group_key").unionByName(lesions.select("group_key")))
+    # What the rows come from is computed once.
+    counts = written(rows.groupBy(*keys, "group_key", "score").agg(F.count("*").alias("n"), F.sum(F.col("tp").cast("long")).alias("hits")))
+    positives = written(lesions.groupBy(*keys, "group_key").agg(F.count("*").alias("n_pos")))
+    index = written(group_index(counts.select("group_key").unionByName(positives.select("group_key"))))
     n = index.count()
-    counts = rows.groupBy(*keys, "group_key", "score").agg(F.count("*").alias("n"), F.sum(F.col("tp").cast("long")).alias("hits")).join(index, "group_key")
-    positives = lesions.groupBy(*keys, "group_key").agg(F.count("*").alias("n_pos")).join(index, "group_key")
+    counts, positives = counts.join(index, "group_key"), positives.join(index, "group_key")
+    if not keys and n > 1 and counts.count() <= in_arrays:
+        ap = _resampled_in_arrays(counts, positives, n, seed, n_boot)
+        return ap.filter("b < 0").drop("b"), ap.filter("b >= 0")
     w = weights(index, n, seed, n_boot).unionByName(index.select(F.lit(-1).alias("b"), "g", F.lit(1).cast("long").alias("w")))
 
     times = lambda c: F.sum(F.col(c) * F.col("w")).alias(c)
@@ -87,6 +102,57 @@ def resampled_average_precision(rows: DataFrame, lesions: DataFrame, keys: list[
     return ap.filter("b < 0").drop("b"), ap.filter("b >= 0")
 
 
+def _resampled_in_arrays(counts: DataFrame, positives: DataFrame, n_groups: int, seed: int, n_boot: int) -> DataFrame:
+    """(b, statistic, v), b = -1 for the data itself, from ``counts`` (g, score, n, hits) and ``positives`` (g, n_pos)."""
+    spark = counts.sparkSession
+    table = counts.select(F.col("g").cast("int").alias("g"), F.col("score").cast("double").alias("score"), "n", F.coalesce("hits", F.lit(0)).alias("hits")).toArrow()
+    score, known = table.column("score").fill_null(0.0).to_numpy(), table.column("score").is_valid().to_numpy()
+    order = np.lexsort((score, known))[::-1]  # from the highest score; NULL is the lowest, as in Spark
+    score, known = score[order], known[order]
+    same = (known[1:] == known[:-1]) & ((score[1:] == score[:-1]) | (np.isnan(score[1:]) & np.isnan(score[:-1])))
+    ends = np.flatnonzero(np.append(~same, True)) if len(order) else np.empty(0, np.int64)
+    lean = lambda x: x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x
+    g, n, hits = (lean(table.column(c).to_numpy()[order]) for c in ("g", "n", "hits"))
+    found = positives.select("g", "n_pos").toArrow()
+    n_pos = np.zeros(n_groups, np.int64)
+    n_pos[found.column("g").to_numpy()] = found.column("n_pos").to_numpy()
+    shared = spark.sparkContext.broadcast((g, n, hits, ends, n_pos))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, n, hits, ends, n_pos = shared.value
+        slots = [np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), -1) for _, texts in draws.numbered(n_groups, "{}")]
+        for batch in batches:
+            kept, values = [], []
+            for b in batch.column("id").to_pylist():
+                w = np.ones(n_groups, np.int64)
+                if b >= 0:
+                    drawn = [d.ravel() % np.uint32(n_groups) for tails in slots for _, d in draws.digests([f"{seed}:{b}:".encode()], tails)]
+                    w = np.bincount(np.concatenate(drawn), minlength=n_groups)
+                if (total := int(w @ n_pos)) > 0:
+                    kept.append(b)
+                    values.append(_area(w, g, n, hits, ends) / total)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(values, pa.float64())], ["b", "v"])
+
+    tasks = min(n_boot + 1, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(-1, n_boot, 1, tasks).mapInArrow(run, "b int, v double").select("b", F.lit("ap").alias("statistic"), "v")
+
+
+def _area(w: np.ndarray, g: np.ndarray, n: np.ndarray, hits: np.ndarray, ends: np.ndarray) -> float:
+    """Sum over scores of the hits of each by the best precision there or below; rows from the highest score, ``ends``: the last row of each score."""
+    upto = np.zeros((2, len(ends)), np.int64)
+    carry, done = np.zeros(2, np.int64), 0
+    for lo in range(0, len(g), AT_ONCE):
+        times = w[g[lo : lo + AT_ONCE]]
+        stop = int(np.searchsorted(ends, lo + len(times)))
+        for k, x in enumerate((n, hits)):
+            sums = np.cumsum(times * x[lo : lo + AT_ONCE])
+            upto[k, done:stop] = carry[k] + sums[ends[done:stop] - lo]
+            carry[k] += sums[-1]
+        done = stop
+    precision = upto[1] / np.maximum(upto[0], 1)
+    return float(np.diff(upto[1], prepend=0) @ np.maximum.accumulate(precision[::-1])[::-1])
+
+
 def false_positives(images: DataFrame, matched: DataFrame, threshold: float) -> DataFrame:
     """(image_id, group_key, fp) of every image, those without boxes included."""
     counted = matched.filter(F.col("lesion_id").isNull() & (F.col("score") >= threshold)).groupBy("image_id").agg(F.count("*").alias("fp"))

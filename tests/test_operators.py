@@ -579,3 +579,22 @@ def test_resampled_average_precision(spark):
         for k, (hits, _) in enumerate(steps):
             total += hits * max(p for _, p in steps[k:])
         assert one.get(b) is None if not n_pos else abs(one[b] - total / n_pos) < 1e-9
+
+
+def test_resampled_average_precision_in_arrays_or_joined(spark, monkeypatch):
+    """Whole resamples in a task give what joined weights give, without a join of weights (the code before joined them always)."""
+    monkeypatch.setattr(de, "AT_ONCE", 7)
+    odd = [None, float("nan"), 0.0, -0.0, -1.5]
+    rows = [(None if i % 29 == 0 else f"g{i % 13}", odd[i % 5] if i % 4 == 0 else (i * 7 % 10) / 10, i % 3 == 0) for i in range(200)]
+    lesions = [(f"g{i % 17}",) for i in range(90)]
+    rows, lesions = spark.createDataFrame(rows, "group_key string, score double, tp boolean"), spark.createDataFrame(lesions, "group_key string")
+    whole, joined = (de.resampled_average_precision(rows, lesions, [], 5, 40, most) for most in (de.IN_ARRAYS, 0))
+    plans = [part[1]._jdf.queryExecution().optimizedPlan().toString() for part in (whole, joined)]
+    assert "Join" not in plans[0] and "MapInArrow" in plans[0] and "Join" in plans[1]
+    a, b = ({r.b: r.v for r in part[1].collect()} for part in (whole, joined))
+    assert len(a) == 40 and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    assert abs(whole[0].first().v - joined[0].first().v) < 1e-12
+    none = rows.filter("false")
+    for most in (de.IN_ARRAYS, 0):
+        values, samples = de.resampled_average_precision(none, lesions, [], 5, 4, most)
+        assert values.first().v == 0 and [r.v for r in samples.collect()] == [0.0] * 4
