@@ -57,6 +57,13 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def give_back() -> None:
+    """Free memory of this Python worker goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` of a Python worker that gives its free memory back when a task ends: workers live on, beside the JVM's next stages."""
 
@@ -64,9 +71,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 

@@ -41,13 +41,15 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditframe.llm.common import shared_dir, table, tidy
+from auditframe.llm.common import give_back, shared_dir, table, tidy
 
 PRUNE, DISCOUNT = 1, 0.75
 #: Tokens counted at once in a map task; bytes of text per vocabulary piece, tokens per trie piece.
 SLICE_TOKENS, PIECE_BYTES, PIECE_TOKENS = 1_200_000, 24_000_000, 4_000_000
 #: Mapped files that a worker keeps open.
 MAPPED = 1024
+#: Entries that a merge orders, and an encoder packs, at once: their working arrays are as large as this, not as a piece.
+AT_ONCE = 1 << 18
 #: Backoff of a context whose successors leave nothing but a rounding error.
 LEAST = 1e-12
 #: Quantisation of log10: codes from 0 (one) to 254 (the least value of the array); code 255 means none.
@@ -139,17 +141,19 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
         low = np.zeros(n * bits // 64 + 2, U64)
-        if bits and n:
-            part = values & U64((1 << bits) - 1)
-            at = np.arange(n, dtype=U64) * U64(bits)
-            word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
-            np.bitwise_or.at(low, word, part << shift)
-            over = shift > U64(64 - bits)
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64(64) - shift[over]))
-        place = (values >> U64(bits)).astype(np.int64) + np.arange(n)
         size = (top >> bits) + n + 2
         high = np.zeros(size // 64 + 1, U64)
-        np.bitwise_or.at(high, place >> 6, U64(1) << (place & 63).astype(U64))
+        for a in range(0, n, AT_ONCE):
+            part, index = values[a : a + AT_ONCE], np.arange(a, min(a + AT_ONCE, n))
+            place = (part >> U64(bits)).astype(np.int64) + index
+            np.bitwise_or.at(high, place >> 6, U64(1) << (place & 63).astype(U64))
+            if bits:
+                part = part & U64((1 << bits) - 1)
+                at = index.astype(U64) * U64(bits)
+                word, shift = (at >> U64(6)).astype(np.int64), at & U64(63)
+                np.bitwise_or.at(low, word, part << shift)
+                over = shift > U64(64 - bits)
+                np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64(64) - shift[over]))
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
         return {"n": n, "bits": bits}, [low, high, ones]
 
@@ -288,6 +292,13 @@ def _unpacked(blob: bytes, n: int, *kinds: type) -> list[np.ndarray]:
 # --- Counting -------------------------------------------------------------------------------------
 
 
+def _taken(parts: list[np.ndarray]) -> np.ndarray:
+    """All ``parts`` in one array, out of the list, so that who gets it holds it alone."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def _token_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
     """(hashes of all words with an end after each text, words per text with the end, ids of the texts) of slices of whole texts."""
     parts, sizes, ids, held = [], [], [], 0
@@ -312,10 +323,10 @@ def _token_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
                 ids += docs[start:stop]
                 held, start = held + len(parts[-1]), stop
                 if held >= SLICE_TOKENS:
-                    yield np.concatenate(parts), np.concatenate(sizes), ids
-                    parts, sizes, ids, held = [], [], [], 0
+                    yield _taken(parts), _taken(sizes), ids
+                    ids, held = [], 0
     if ids:
-        yield np.concatenate(parts), np.concatenate(sizes), ids
+        yield _taken(parts), _taken(sizes), ids
 
 
 ROWS = "piece int, n int, blob binary"
@@ -344,11 +355,16 @@ def _count_words(pieces: int) -> Callable:
 
 def _merge_words(path: str) -> Callable:
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        try:
+            return merge(key[0].as_py(), group)
+        finally:
+            give_back()
+
+    def merge(piece: int, group: pa.Table) -> pa.Table:
         parts = [_unpacked(b, n, U64, np.int64) for n, b in zip(group.column("n").to_pylist(), group.column("blob").to_pylist())]
         keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([p[1] for p in parts])).astype(np.int64)
         cumulative = np.concatenate([[0], np.cumsum(counts)]).astype(U64)
-        piece = key[0].as_py()
         (words, a), (totals, b) = EliasFano.arrays(keys), EliasFano.arrays(cumulative)
         write_arrays(f"{path}/words-{piece}", {"words": words, "totals": totals}, a + b)
         return pa.table({"piece": pa.array([piece], pa.int32()), "types": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
@@ -415,7 +431,7 @@ class Sequence:
         keys, inverse = np.unique(flat, return_inverse=True)
         ids = words.ids(keys)
         ends = np.cumsum(lengths)
-        at = np.insert(inverse, ends - lengths, np.searchsorted(keys, U64(END_HASH)))
+        at = np.insert(inverse.astype(np.int32), ends - lengths, np.searchsorted(keys, U64(END_HASH)))
         return Sequence(at, ends - lengths + np.arange(len(lengths)), ids, *words.counts(ids))
 
 
@@ -423,77 +439,155 @@ def _count_trigrams(words: Words, pieces: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flat, lengths, _ in _token_slices(batches):
             slice_ = Sequence.of(flat, lengths, words)
-            s, begins, count, before = slice_.ids[slice_.at], slice_.begins, slice_.counts[slice_.at], slice_.before[slice_.at]
-            second = np.append(s[1:], 0)
-            third = np.append(s[2:], [words.types, words.types])
-            last = np.append(begins[1:], len(s)) - 1  # each text's final end begins nothing
+            del flat
+            s = slice_.ids[slice_.at]
+            third = np.append(s[2:], [words.types, words.types]).astype(np.uint32)
+            last = np.append(slice_.begins[1:], len(s)) - 1  # each text's final end begins nothing
             third[last - 1] = words.types  # and nothing follows it
             keep = np.ones(len(s), bool)
             keep[last] = False
-            first, second, third, count, before = (x[keep] for x in (s, second, third, count, before))
-            piece = trie_piece(count, before, second, words, pieces)
-            pair = first.astype(U64) * U64(words.types + 1) + second.astype(U64)
+            keep = np.flatnonzero(keep)
+            second, first, third = s[keep + 1], slice_.at[keep], third[keep]
+            del s, keep
+            piece = trie_piece(slice_.counts[first], slice_.before[first], second, words, pieces).astype(np.int32)
+            pair = slice_.ids[first].astype(U64)
+            pair *= U64(words.types + 1)
+            pair += second.astype(U64)
+            del slice_, first, second
             order = np.lexsort((third, pair))
             piece, pair, third = piece[order], pair[order], third[order]
+            del order
             new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])]))
-            seen = np.diff(np.append(new, len(pair)))
+            seen = np.diff(np.append(new, len(pair))).astype(np.uint32)
             piece, pair, third = piece[new], pair[new], third[new]
             by_piece = np.argsort(piece, kind="stable")
-            yield _rows(piece[by_piece], [pair[by_piece], third[by_piece].astype(np.uint32), seen[by_piece].astype(np.uint32)])
+            rows = _rows(piece[by_piece], [pair[by_piece], third[by_piece], seen[by_piece]])
+            del piece, pair, third, seen, new, by_piece
+            yield rows
 
     return run
 
 
 def quantised(p: np.ndarray) -> tuple[np.ndarray, float]:
     """8-bit codes of positive probabilities, rounded down, and their steps per power of ten: 1/40 or less as long as the least fits, so none reads as zero."""
-    cost = np.maximum(-np.log10(p), 0.0)
-    steps = min(40.0, (NONE - 1) / cost.max()) if len(p) and cost.max() > 0 else 40.0
-    return np.minimum(np.ceil(cost * steps - 1e-9), NONE - 1).astype(np.uint8), steps
+    most = max(0.0, -float(np.log10(p.min()))) if len(p) else 0.0
+    steps = min(40.0, (NONE - 1) / most) if most > 0 else 40.0
+    codes = np.empty(len(p), np.uint8)
+    for a in range(0, len(p), AT_ONCE):
+        cost = np.maximum(-np.log10(p[a : a + AT_ONCE]), 0.0)
+        codes[a : a + AT_ONCE] = np.minimum(np.ceil(cost * steps - 1e-9), NONE - 1)
+    return codes, steps
 
 
 def levels(steps: float) -> np.ndarray:
     return np.append(10.0 ** (-np.arange(NONE) / steps), 0.0)
 
 
+def merged(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, third, count) of count lists, each sorted by pair and third; every n-gram once, in order.
+
+    Ranges of the key are put in order one after the other; a pair of more entries than ``AT_ONCE`` is ranges of its thirds.
+    """
+    n = sum(len(p[0]) for p in parts)
+    out, size = (np.empty(n, U64), np.empty(n, np.uint32), np.empty(n, np.int64)), 0
+
+    def ranges(parts: list[list[np.ndarray]], by: int) -> Iterator[list[list[np.ndarray]]]:
+        step = max(1, AT_ONCE // 4096)
+        sample = np.sort(np.concatenate([p[by][::step] for p in parts]))
+        cuts = np.unique(sample[AT_ONCE // step :: AT_ONCE // step])
+        ends = [[0, *np.searchsorted(p[by], cuts, "left").tolist(), len(p[by])] for p in parts]
+        for i in range(len(cuts) + 1):
+            here = [[x[e[i] : e[i + 1]] for x in p] for p, e in zip(parts, ends) if e[i] < e[i + 1]]
+            if not here:
+                continue
+            if by == 0 and sum(len(p[0]) for p in here) > 2 * AT_ONCE and min(p[0][0] for p in here) == max(p[0][-1] for p in here):
+                yield from ranges(here, 1)
+            else:
+                yield here
+
+    for here in ranges(parts, 0) if n else ():
+        pair, third, seen = (np.concatenate([p[i] for p in here]) for i in range(3))
+        order = np.lexsort((third, pair))
+        pair, third = pair[order], third[order]
+        new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])]))
+        end = size + len(new)
+        out[0][size:end], out[1][size:end], out[2][size:end] = pair[new], third[new], np.add.reduceat(seen[order].astype(np.int64), new)
+        size = end
+    return out[0][:size], out[1][:size], out[2][:size]
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal ``keys`` begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+
+
 def _merge_trigrams(path: str, words: Words) -> Callable:
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        try:
+            return merge(key[0].as_py(), group)
+        finally:
+            give_back()
+
+    def merge(piece: int, group: pa.Table) -> pa.Table:
         width = U64(words.types + 1)
-        parts = [_unpacked(b, n, U64, np.uint32, np.uint32) for n, b in zip(group.column("n").to_pylist(), group.column("blob").to_pylist())]
-        pair, third, seen = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((third, pair))
-        pair, third, seen = pair[order], third[order], seen[order].astype(np.int64)
-        new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])]))
-        seen, pair, third = np.add.reduceat(seen, new), pair[new], third[new]
+        parts = [_unpacked(b.as_py(), n, U64, np.uint32, np.uint32) for n, b in zip(group.column("n").to_pylist(), group.column("blob"))]
+        pair, third, seen = merged(parts)
+        del parts
         # Level 2: pairs, their counts summed over what follows.
-        start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        start = _runs(pair)
         pairs, total = pair[start], np.add.reduceat(seen, start)
         kept = total >= PRUNE
         context = (pairs // width).astype(np.int64)
-        distinct, inverse = np.unique(context, return_inverse=True)
-        sum_of = words.counts(distinct)[0]
-        share = np.where(kept, total - DISCOUNT, 0.0) / sum_of[inverse]
-        # Level 3: under kept pairs, at their place among the kept.
-        rank = np.cumsum(kept) - 1
-        of = np.repeat(np.arange(len(pairs)), np.diff(np.append(start, len(pair))))
-        deep = kept[of] & (seen >= PRUNE) & (third < words.types)
-        node, share3 = rank[of[deep]], (seen[deep] - DISCOUNT) / total[of[deep]]
+        first = _runs(context)
+        distinct, successors = context[first], np.diff(np.append(first, len(context)))
+        del context
+        share = np.where(kept, total - DISCOUNT, 0.0)
+        share /= np.repeat(words.counts(distinct)[0], successors)
         # What the codes give to the successors leaves the rest to the backoff: their sum is one.
-        (code2, s2), (code3, s3) = quantised(share[kept]), quantised(share3)
-        mass = np.bincount(inverse[kept], levels(s2)[code2], len(distinct))
-        mass3 = np.bincount(node, levels(s3)[code3], int(kept.sum()))
+        code2, s2 = quantised(share[kept])
+        del share
+        mass = np.bincount(np.repeat(np.arange(len(distinct)), successors)[kept], levels(s2)[code2], len(distinct))
+        pairs = pairs[kept]
+        h2, a2 = EliasFano.arrays(pairs)
+        del pairs
+        # Level 3: under kept pairs, at their place among the kept. Their keys take the place of ``pair``, their shares that of ``seen``.
+        rank = np.cumsum(kept) - 1
+        keys3, share3, size = pair, seen.view(np.float64), 0
+        lengths = np.diff(np.append(start, len(pair)))
+        for a, b in blocks(start, len(pair)):
+            of = np.repeat(np.arange(a, b), lengths[a:b])
+            low, high = int(start[a]), int(start[a]) + len(of)
+            deep = kept[of] & (seen[low:high] >= PRUNE) & (third[low:high] < words.types)
+            of = of[deep]
+            share_of, key_of = (seen[low:high][deep] - DISCOUNT) / total[of], rank[of].astype(U64) * width + third[low:high][deep].astype(U64)
+            share3[size : size + len(of)], keys3[size : size + len(of)] = share_of, key_of
+            size += len(of)
+        del start, lengths, total, third
+        keys3 = keys3[:size]
+        code3, s3 = quantised(share3[:size])
+        del share3, seen
+        mass3, level3 = np.zeros(int(kept.sum())), levels(s3)
+        for a in range(0, size, AT_ONCE):
+            np.add.at(mass3, (keys3[a : a + AT_ONCE] // width).astype(np.int64), level3[code3[a : a + AT_ONCE]])
         (code_back3, sb3), (code_back, sb) = quantised(np.maximum(1 - mass3, LEAST)), quantised(np.maximum(1 - mass, LEAST))
         code_back3[mass3 == 0] = NONE
-        keys3 = node.astype(U64) * width + third[deep].astype(U64)
-        (h2, a2), (h3, a3), (hc, ac) = EliasFano.arrays(pairs[kept]), EliasFano.arrays(keys3), EliasFano.arrays(distinct.astype(U64))
+        (h3, a3), (hc, ac) = EliasFano.arrays(keys3), EliasFano.arrays(distinct.astype(U64))
         arrays = a2 + a3 + ac + [code2, code3, code_back3, code_back]
-        piece = key[0].as_py()
         write_arrays(f"{path}/trie-{piece}", {"pairs": h2, "triples": h3, "contexts": hc, "steps": [s2, s3, sb3, sb]}, arrays)
         edge = sorted({0, len(distinct) - 1})
         return pa.table({
             "piece": pa.array([piece] * len(edge), pa.int32()), "context": pa.array(distinct[edge], pa.int64()), "mass": pa.array(mass[edge], pa.float64()),
-            "pairs": pa.array([int(kept.sum())] * len(edge), pa.int64()), "triples": pa.array([len(keys3)] * len(edge), pa.int64()),
+            "pairs": pa.array([len(code2)] * len(edge), pa.int64()), "triples": pa.array([len(keys3)] * len(edge), pa.int64()),
         })
 
+    def blocks(start: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+        """Ranges of pairs with about ``AT_ONCE`` trigrams each, one pair at least."""
+        a = 0
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(start, start[a] + AT_ONCE, "right")) - 1) if start[a] + AT_ONCE < n else len(start)
+            yield a, b
+            a = b
+
     return run
 
 
@@ -511,42 +605,52 @@ class Trie:
 
     def probabilities(self, texts: Sequence) -> tuple[np.ndarray, np.ndarray]:
         """(count, probability) of every token but the end before each text."""
-        words, begins = self.words, texts.begins
-        sequence, count, before = texts.ids[texts.at], texts.counts[texts.at], texts.before[texts.at]
-        floor = (count + 1.0) / (words.tokens + words.types + 1.0)
-        width = U64(words.types + 1)
-        first, second = sequence[:-1], sequence[1:]
-        pair = first.astype(U64) * width + second.astype(U64)
-        usable = np.flatnonzero((first < words.types) & (second < words.types) & (count[:-1] > 0))
-        keys, one, inverse = np.unique(pair[usable], return_index=True, return_inverse=True)
-        one = usable[one]
-        place = trie_piece(count[one], before[one], second[one], words, self.pieces)
+        words, begins, at_word = self.words, texts.begins, texts.at
+        width, second = U64(words.types + 1), texts.ids[at_word[1:]]
+        live = (texts.ids < words.types) & (texts.counts > 0)
+        usable = np.flatnonzero(live[at_word[:-1]] & (second < words.types)).astype(np.int32)
+        pair = texts.ids[at_word[usable]].astype(U64)
+        pair *= width
+        pair += second[usable].astype(U64)
+        keys, one, inverse = np.unique(pair, return_index=True, return_inverse=True)
+        del pair
+        one, inverse = usable[one], inverse.astype(np.int32)
+        word = at_word[one]
+        place = trie_piece(texts.counts[word], texts.before[word], second[one], words, self.pieces).astype(np.int32)
         node, share = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
         back3 = np.zeros(len(keys))  # 0: no successors
-        for i in np.unique(place):
+        for i in np.unique(place).tolist():
             if i in self.present:
                 pairs, _, _, (code2, level2), _, (code_back3, level_back3), _ = self._piece(i)
                 at = np.flatnonzero(place == i)
                 found = pairs.find(keys[at])
                 at, found = at[found >= 0], found[found >= 0]
                 node[at], share[at], back3[at] = found, level2[code2[found]], level_back3[code_back3[found]]
-        p = self._backoff(texts.ids, texts.counts, texts.before)[texts.at[:-1]] * floor[1:]
+        del keys, one, word
+        p = self._backoff(texts.ids, texts.counts, texts.before)[at_word[:-1]]
+        p *= ((texts.counts + 1.0) / (words.tokens + words.types + 1.0))[at_word[1:]]
         p[usable] += share[inverse]
         # A trigram's context is the pair one place before, if that has successors.
-        at_pair = np.full(len(pair), -1, np.int64)
+        at_pair = np.full(len(p), -1, np.int32)
         at_pair[usable] = inverse
-        before_pair = np.append([-1], at_pair[:-1])
-        starts = np.zeros(len(sequence), bool)
+        del usable, inverse, share
+        before_pair = np.append(np.array([-1], np.int32), at_pair[:-1])
+        del at_pair
+        starts = np.zeros(len(at_word), bool)
         starts[begins] = True
         before_pair[starts[:-1]] = -1
-        deep = np.flatnonzero((before_pair >= 0) & (second < words.types))
+        deep = np.flatnonzero((before_pair >= 0) & (second < words.types)).astype(np.int32)
         deep = deep[back3[before_pair[deep]] > 0]
         if len(deep):
             known = before_pair[deep]
+            del before_pair
             p[deep] *= back3[known]
             where = place[known]
-            target = node[known].astype(U64) * width + second[deep].astype(U64)
-            for i in np.unique(where):
+            target = node[known].astype(U64)
+            target *= width
+            target += second[deep].astype(U64)
+            del known, second
+            for i in np.unique(where).tolist():
                 _, triples, _, _, (code3, level3), _, _ = self._piece(i)
                 at = np.flatnonzero(where == i)
                 # Sorted and once each: neighbours in the file are read together.
@@ -556,7 +660,7 @@ class Trie:
                 share3[found >= 0] = level3[code3[found[found >= 0]]]
                 p[deep[at]] += share3[back]
         real = ~starts[1:]
-        return count[1:][real], p[real]
+        return texts.counts[at_word[1:][real]], p[real]
 
     def _backoff(self, contexts: np.ndarray, count: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Backoff weight of distinct word ids; 1 without successors."""
@@ -598,7 +702,10 @@ def _score(trie: Trie) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = trie.words
         for flat, lengths, ids in _token_slices(batches):
-            count, p = trie.probabilities(Sequence.of(flat, lengths, words))
+            texts = Sequence.of(flat, lengths, words)
+            del flat
+            count, p = trie.probabilities(texts)
+            del texts
             at = np.cumsum(lengths) - lengths
             base = np.log10((count + 1.0) / (words.tokens + words.types + 1.0))
             columns = [lengths, np.add.reduceat((count > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)]

@@ -858,6 +858,63 @@ def test_successors_and_backoff_sum_to_one(spark, tmp_path):
     assert 0 < left and abs(np.log10(lm.levels(head["steps"][2])[back3][0] / left)) <= 1.01 / head["steps"][2]
 
 
+def packed_trigrams(lm, n: int, parts: int):
+    """Count lists of ``parts`` slices, as one group, of a vocabulary of 50,000; one pair has a tenth of the entries."""
+    rng, blobs, lists = np.random.default_rng(5), [], []
+    for _ in range(parts):
+        pair = rng.integers(0, 50_000, n) * 50_001 + rng.integers(0, 50_000, n) % 97
+        pair[: n // 10] = 7 * 50_001 + 7
+        rows = np.unique(np.stack([pair, rng.integers(0, 50_001, n)]), axis=1)
+        seen = rng.integers(1, 5, rows.shape[1])
+        lists.append([rows[0].astype(np.uint64), rows[1].astype(np.uint32), seen.astype(np.uint32)])
+        blobs.append(lm._packed(*lists[-1]))
+    group = lm.pa.table({"piece": lm.pa.array([0] * parts, lm.pa.int32()), "n": lm.pa.array([len(x[0]) for x in lists], lm.pa.int32()), "blob": lm.pa.array(blobs, lm.pa.binary())})
+    return lists, group
+
+
+class FrequentWords:
+    types, tokens = 50_000, 10**9
+
+    def counts(self, ids):
+        return np.full(len(ids), 10**7), None
+
+
+def test_merges_of_trigrams_need_little_memory(tmp_path):
+    """Two workers of an executor merge at a time: the working arrays follow ``AT_ONCE``, not the piece (before: 204 bytes an entry here)."""
+    import tracemalloc
+
+    from auditframe.llm import lm
+
+    lists, group = packed_trigrams(lm, 150_000, 8)
+    entries = sum(len(x[0]) for x in lists)
+    tracemalloc.start()
+    try:
+        lm._merge_trigrams(f"file://{tmp_path}", FrequentWords())((lm.pa.scalar(0, lm.pa.int32()),), group)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 110 * entries
+
+
+def test_merges_of_trigrams_do_not_depend_on_their_ranges(tmp_path, monkeypatch):
+    from auditframe.llm import lm
+
+    lists, group = packed_trigrams(lm, 6_000, 5)
+    want = Counter()
+    for pair, third, seen in lists:
+        for key in zip(pair.tolist(), third.tolist(), seen.tolist()):
+            want[key[:2]] += key[2]
+    files = []
+    for size in (1 << 18, 500, 1):  # the frequent pair is more than a range of 500
+        monkeypatch.setattr(lm, "AT_ONCE", size)
+        pair, third, seen = lm.merged(lists)
+        assert list(zip(zip(pair.tolist(), third.tolist()), seen.tolist())) == sorted(want.items())
+        if size > 1:
+            lm._merge_trigrams(f"file://{tmp_path}/{size}", FrequentWords())((lm.pa.scalar(0, lm.pa.int32()),), group)
+            files.append((tmp_path / str(size) / "trie-0").read_bytes())
+    assert files[0] == files[1]
+
+
 def test_elias_fano():
     from auditframe.llm.lm import EliasFano
 
