@@ -48,6 +48,8 @@ VOCABULARY, END_ID, WINDOW = "word_bpe_49k.json", 2, 4096
 OPEN = 1024
 #: Distinct chunks in each of the two generations of the cache; pieces in an output batch.
 CACHE_CHUNKS, BATCH_IDS = 500_000, 1_000_000
+#: Rows of an Arrow batch that are Python objects at once.
+ROWS_AT_ONCE = 512
 #: Characters whose chunks are looked up at once; new chunks tokenised together, and what stands between them.
 SLICE_CHARS, TOGETHER, MARK = 1_000_000, 2_000, "~"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -107,6 +109,14 @@ def token_bytes(texts: list[str], known: Chunks) -> Iterator[bytes]:
             yield b"".join(map(ids, part))
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of ``ROWS_AT_ONCE`` rows at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(k, ROWS_AT_ONCE)
+            yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+
+
 Piece = tuple[object, int, bytes, int]
 
 
@@ -191,9 +201,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             held = 0
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), token_bytes(texts, known)):
+        for docs, texts in pieces_of(batches):
+            for doc, ids in zip(docs, token_bytes(texts, known)):
                 data = ids + end
                 total, start = len(data) // 4, 0
                 while total - start >= window:

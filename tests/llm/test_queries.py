@@ -858,6 +858,20 @@ def test_successors_and_backoff_sum_to_one(spark, tmp_path):
     assert 0 < left and abs(np.log10(lm.levels(head["steps"][2])[back3][0] / left)) <= 1.01 / head["steps"][2]
 
 
+def test_packing_takes_a_batch_in_parts():
+    """Texts of few rows of an Arrow batch are Python objects at once; rows and their order stay."""
+    import pyarrow as pa
+
+    from auditframe.llm.packing import ROWS_AT_ONCE, pieces_of
+
+    n = 2 * ROWS_AT_ONCE + 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None if i % 5 == 0 else f"t{i}" for i in range(n)])], ["doc_id", "text"])
+    parts = list(pieces_of(iter([batch, batch.slice(0, 0), batch.slice(3, 4)])))
+    assert [len(d) for d, _ in parts] == [ROWS_AT_ONCE, ROWS_AT_ONCE, 7, 4]
+    rows = [(i, "" if i % 5 == 0 else f"t{i}") for i in range(n)]
+    assert [row for d, t in parts for row in zip(d, t)] == rows + rows[3:7]
+
+
 def packed_trigrams(lm, n: int, parts: int):
     """Count lists of ``parts`` slices, as one group, of a vocabulary of 50,000; one pair has a tenth of the entries."""
     rng, blobs, lists = np.random.default_rng(5), [], []
